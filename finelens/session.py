@@ -31,6 +31,7 @@ def build_session(master: str | None = None, app: str = "finelens", shuffle_part
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FINELENS_DRIVER_MEMORY", "16g"))
     )
     for k, v in _DEFAULTS.items():
