@@ -13,6 +13,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finelens.functions import query_text as Q
 
@@ -27,7 +28,7 @@ JUDGE_DEFAULT_MAX_SAMPLES = 50
 PRIORITY = {"eval_outcomes": 8, "eval_syntax": 10, "eval_semantic": 20, "eval_judge": 60}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """``SequenceMatcher(a=a, b=b).ratio()`` (Python's default junk heuristic)."""
     out = []
