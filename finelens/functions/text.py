@@ -67,3 +67,13 @@ def normalize_query_text(col: Column | str) -> Column:
     lines = F.split(F.coalesce(_c(col), F.lit("")), "\n")
     cleaned = F.transform(lines, lambda ln: F.regexp_replace(py_strip(ln), PY_WS_RUN, " "))
     return F.array_join(F.filter(cleaned, lambda ln: ln != ""), "\n")
+
+
+def py_strip_length(col: Column | str) -> Column:
+    """``len(s.strip())`` from two anchored matches (leading whitespace of the
+    text and of its reverse): linear, no unanchored scan of long texts."""
+    s = _c(col)
+    n = F.length(s)
+    lead = F.length(F.regexp_extract(s, f"^{PY_WS}*", 0))
+    trail = F.length(F.regexp_extract(F.reverse(s), f"^{PY_WS}*", 0))
+    return F.when(lead >= n, F.lit(0)).otherwise(n - lead - trail)

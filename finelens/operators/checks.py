@@ -29,7 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finelens.functions.text import normalize_pair_text, py_split, py_str, py_strip
+from finelens.functions.text import normalize_pair_text, py_split, py_str, py_strip, py_strip_length
+from finelens.session import spread
 
 # ---------------------------------------------------------------------------
 # fixed values that must equal the reference (defaults and priorities)
@@ -132,10 +133,10 @@ def text_profile(samples: DataFrame, by: list[str], text: Column | None = None,
     txt = text if text is not None else py_str("text")
     # Per-row values are computed before the explode: an expression placed in
     # the same select as the generator would be evaluated once per token.
-    rows = samples.select(*by, txt.alias("_t")).select(
+    rows = spread(samples.select(*by, txt.alias("_t"))).select(
         *by,
         F.length("_t").alias("_len"),
-        (F.length(py_strip("_t")) < min_chars).cast("int").alias("_short"),
+        (py_strip_length("_t") < min_chars).cast("int").alias("_short"),
         py_split(F.lower("_t")).alias("_toks"),
     )
     per_row = rows.select(*by, "_len", "_short", F.posexplode_outer("_toks").alias("_pos", "_tok"))

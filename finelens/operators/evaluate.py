@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finelens.functions import query_text as Q
+from finelens.session import spread
 
 # ---------------------------------------------------------------------------
 # fixed values that must equal the reference
@@ -50,7 +51,7 @@ def semantic_match(samples: DataFrame, candidate: str = "model_answer", expected
     """Per-sample semantic match details (score clamped to [0, 1], exact -> 1)."""
     cn = Q.normalize_query_text(candidate)
     en = Q.normalize_query_text(expected)
-    base = samples.select(
+    base = spread(samples).select(
         "*",
         cn.alias("_cn"),
         en.alias("_en"),

@@ -141,10 +141,10 @@ FROM (
   FROM documents GROUP BY source)""",
 )
 def empty_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from finelens.functions.text import py_strip
+    from finelens.functions.text import py_strip_length
 
     t = Tables(spark, sf_dir)
-    short = F.length(py_strip(py_str("text"))) < C.EMPTY_MIN_CHARS
+    short = py_strip_length(py_str("text")) < C.EMPTY_MIN_CHARS
     s = t.text_samples.groupBy(*BY).agg(
         F.count(F.lit(1)).cast("bigint").alias("total_checked"),
         F.count_if(short).cast("bigint").alias("empty_count"),
@@ -264,11 +264,11 @@ FROM issues GROUP BY dataset, error_type""",
 )
 def error_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample-level issues of the text and preference checks grouped by type, first 5 indices."""
-    from finelens.functions.text import py_strip
+    from finelens.functions.text import py_strip_length
 
     t = Tables(spark, sf_dir)
     s = t.text_samples
-    short = s.where(F.length(py_strip(py_str("text"))) < C.EMPTY_MIN_CHARS).select(
+    short = s.where(py_strip_length(py_str("text")) < C.EMPTY_MIN_CHARS).select(
         *BY, "row_idx", F.lit("short_text").alias("error_type")
     )
     dups = C.duplicate_pairs(s, BY).select(*BY, F.col("dup_idx").alias("row_idx"), F.lit("duplicate").alias("error_type"))

@@ -61,3 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin repartition when a scan yields fewer partitions than cores.
+
+    CPU-heavy per-row text work (regex, tokenising, ratio kernels) on a file
+    with one row group would otherwise run in a single task.  On a cluster
+    reading many splits the partition count already exceeds the cores and
+    this is a no-op (no extra shuffle).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

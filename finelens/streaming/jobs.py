@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finelens.functions.text import py_split, py_str, py_strip
+from finelens.functions.text import py_split, py_str, py_strip_length
 from finelens.operators import checks as C
 from finelens.operators import events as EV
 from finelens.session import ensure_checkpoint_dir
@@ -75,7 +75,7 @@ def stream_text_metrics(samples: DataFrame, by: list[str], text: Column | None =
     rows = samples.select(*by, txt.alias("_t")).select(
         *by,
         F.length("_t").alias("_len"),
-        (F.length(py_strip("_t")) < C.EMPTY_MIN_CHARS).cast("int").alias("_short"),
+        (py_strip_length("_t") < C.EMPTY_MIN_CHARS).cast("int").alias("_short"),
         F.size(py_split(F.lower("_t"))).alias("_tok"),
     )
     return rows.groupBy(*by).agg(

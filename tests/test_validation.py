@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from finelens.functions.text import py_split, py_strip
+from finelens.functions.text import py_split, py_strip, py_strip_length
 from finelens.operators import checks as C
 
 from .conftest import SF001
@@ -23,10 +23,11 @@ def _text_df(spark, texts, dataset="d"):
 def test_python_whitespace_semantics(spark):
     samples = ["a\x1cb c", " 　lead\xa0trail  ", "\t\n", "x\x0by\x85z", ""]
     df = spark.createDataFrame([(s,) for s in samples], "s string")
-    got = df.select(py_split("s").alias("t"), py_strip("s").alias("p")).collect()
+    got = df.select(py_split("s").alias("t"), py_strip("s").alias("p"), py_strip_length("s").alias("n")).collect()
     for s, r in zip(samples, got):
         assert r["t"] == s.split()
         assert r["p"] == s.strip()
+        assert r["n"] == len(s.strip())
 
 
 def test_duplicates_seven_equal_rows(spark):
