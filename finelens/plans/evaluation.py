@@ -312,3 +312,103 @@ def eval_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = r.select("raw_score", ((F.col("raw_score") - 1) / F.lit(4.0)).alias("score"), F.lit(1).alias("_g"))
     agg = EVAL.aggregate_scores(scored, ["_g"], failed=F.col("raw_score").isNull()).drop("_g")
     return agg.withColumn("passed", (F.col("sample_count") > 0) & F.col("passed"))
+
+
+# ---------------------------------------------------------------------------
+# compile outcomes: memoised per (schema, query) pair, joined back
+# ---------------------------------------------------------------------------
+SEP = "\x1f"
+
+
+def pair_key(schema, query):
+    return F.sha2(F.concat_ws(SEP, F.coalesce(schema, F.lit("")), F.coalesce(query, F.lit(""))), 256)
+
+
+def outcomes_table(t: Tables) -> DataFrame:
+    """Compile outcomes (stand-in): labels of the item's ``doc_id`` decide ok /
+    error type for both the generated and the gold query of that item."""
+    items = eval_items(t).select("sample_idx", Q.fenced_schema("question").alias("schema"), "model_answer", "expected_answer")
+    lab = t.labels.select(F.col("doc_id").alias("sample_idx"), "quality", "toxic")
+    j = items.join(lab, "sample_idx")
+    ok = F.col("quality") == 1
+    err = F.when(ok, F.lit(None).cast("string")).when(F.col("toxic") == 1, "compile_error").otherwise("schema_error")
+    gen = j.select(pair_key(F.col("schema"), F.col("model_answer")).alias("pair_key"), ok.alias("ok"), err.alias("error_type"))
+    gold = j.select(pair_key(F.col("schema"), F.col("expected_answer")).alias("pair_key"), ok.alias("ok"), err.alias("error_type"))
+    return gen.unionByName(gold).dropDuplicates(["pair_key"])
+
+
+def with_outcome(t: Tables, query_col: str) -> DataFrame:
+    """Eval items with the outcome of (schema, query): distinct pairs are joined once."""
+    items = eval_items(t).select("sample_idx", Q.fenced_schema("question").alias("schema"), F.col(query_col).alias("query"))
+    keyed = items.withColumn("pair_key", pair_key(F.col("schema"), F.col("query")))
+    pairs = keyed.select("pair_key").distinct()
+    resolved = pairs.join(outcomes_table(t), "pair_key", "left")
+    return keyed.join(resolved, "pair_key", "left")
+
+
+OUT_SQL = ITEMS_SQL + r""",
+sch AS (SELECT sample_idx, regexp_replace(regexp_extract(question, '```helixschema\n([\s\S]*?)\n```', 1), '^@WS@+|@WS@+$', '', 'g')
+  AS schema, model_answer, expected_answer FROM ev_items),
+lab AS (SELECT s.*, l.quality, l.toxic FROM sch s JOIN labels l ON l.doc_id = s.sample_idx),
+outc AS (SELECT DISTINCT ON (pair_key) pair_key, ok, error_type FROM (
+  SELECT sha256(coalesce(schema, '') || chr(31) || coalesce(model_answer, '')) AS pair_key, quality = 1 AS ok,
+    CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'compile_error' ELSE 'schema_error' END AS error_type FROM lab
+  UNION ALL
+  SELECT sha256(coalesce(schema, '') || chr(31) || coalesce(expected_answer, '')), quality = 1,
+    CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'compile_error' ELSE 'schema_error' END FROM lab)),
+gen AS (SELECT s.sample_idx, s.schema, s.model_answer AS query, o.ok, o.error_type FROM sch s
+  LEFT JOIN outc o ON o.pair_key = sha256(coalesce(s.schema, '') || chr(31) || coalesce(s.model_answer, ''))),
+gold AS (SELECT s.sample_idx, s.schema, s.expected_answer AS query, o.ok, o.error_type FROM sch s
+  LEFT JOIN outc o ON o.pair_key = sha256(coalesce(s.schema, '') || chr(31) || coalesce(s.expected_answer, '')))"""
+
+
+@job("join_outcomes", sql="WITH " + OUT_SQL + """
+SELECT DISTINCT sha256(coalesce(schema, '') || chr(31) || coalesce(query, '')) AS pair_key, ok, error_type FROM gen""")
+def join_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (schema, query) pairs of generated answers with their compile outcome."""
+    return with_outcome(Tables(spark, sf_dir), "model_answer").select("pair_key", "ok", "error_type").distinct()
+
+
+def _taxonomy(df: DataFrame) -> DataFrame:
+    blank = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", "") == ""
+    return df.select(
+        "sample_idx",
+        F.when(blank("schema"), "missing_schema").when(blank("query"), "missing_query")
+        .when(F.col("ok"), "ok").when(F.col("ok").isNull(), "unknown").otherwise(F.col("error_type")).alias("outcome"),
+    )
+
+
+TAX_SQL = """CASE WHEN trim(coalesce(schema, '')) = '' THEN 'missing_schema' WHEN trim(coalesce(query, '')) = '' THEN 'missing_query'
+  WHEN ok THEN 'ok' WHEN ok IS NULL THEN 'unknown' ELSE error_type END"""
+
+
+@job("eval_outcomes", sql="WITH " + OUT_SQL + f"""
+SELECT {TAX_SQL} AS outcome, CAST(count(*) AS BIGINT) AS n FROM gen GROUP BY 1""")
+def eval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome taxonomy of generated answers (missing schema / query, ok, error types, unknown)."""
+    tax = _taxonomy(with_outcome(Tables(spark, sf_dir), "model_answer"))
+    return tax.groupBy("outcome").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@job("gold_outcomes", sql="WITH " + OUT_SQL + f""",
+g AS (SELECT {TAX_SQL} AS outcome FROM gold)
+SELECT CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (WHERE outcome = 'ok') AS BIGINT) AS compiled,
+  CAST(count(*) FILTER (WHERE outcome = 'ok') AS DOUBLE) / count(*) AS ratio,
+  CAST(count(*) FILTER (WHERE outcome = 'ok') AS DOUBLE) / count(*) >= 1.0 AS passed FROM g""")
+def gold_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold answers that compile / checked (missing schema or query count as checked)."""
+    tax = _taxonomy(with_outcome(Tables(spark, sf_dir), "expected_answer"))
+    g = tax.agg(F.count(F.lit(1)).cast("bigint").alias("checked"), F.count_if(F.col("outcome") == "ok").cast("bigint").alias("compiled"))
+    r = F.col("compiled") / F.col("checked")
+    return g.select("checked", "compiled", r.alias("ratio"), (r >= 1.0).alias("passed"))
+
+
+@job("reward_compile", sql="WITH " + OUT_SQL + """
+SELECT sample_idx, CASE WHEN trim(coalesce(schema, '')) = '' OR trim(coalesce(query, '')) = '' THEN -1
+  WHEN ok IS NULL THEN 0 WHEN ok THEN 1 ELSE -1 END AS reward FROM gen""")
+def reward_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """-1 blank or failing, +1 compiling, 0 without an outcome (no compiler result)."""
+    w = with_outcome(Tables(spark, sf_dir), "model_answer")
+    blank = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", "") == ""
+    r = F.when(blank("schema") | blank("query"), -1).when(F.col("ok").isNull(), 0).when(F.col("ok"), 1).otherwise(-1)
+    return w.select("sample_idx", r.alias("reward"))
