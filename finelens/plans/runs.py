@@ -311,3 +311,49 @@ def checkpoint_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("checkpoint-"), (F.col("l_linenumber") * 500).cast("string")).alias("name"),
     )
     return R.checkpoint_retention(ck)
+
+
+@job("latest_metric_values", sql="""SELECT user_id AS run_id,
+  CASE event_type WHEN 'view' THEN 'train_loss' WHEN 'click' THEN 'eval_accuracy' WHEN 'signup' THEN 'grad_norm'
+    WHEN 'purchase' THEN 'system/gpu_0_memory_usage_megabytes' WHEN 'error' THEN 'system/gpu_0_utilization_percentage'
+    ELSE event_type END AS key,
+  arg_max(value, event_id) AS value, max(event_id) AS step
+FROM events WHERE value IS NOT NULL GROUP BY 1, 2""")
+def latest_metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most recent non-null value of every metric of every run (max_by, no sort)."""
+    from finelens.plans.metrics import metric_points
+
+    mp = metric_points(Tables(spark, sf_dir)).where(F.col("value").isNotNull())
+    return mp.groupBy("run_id", "key").agg(F.max_by("value", "step").alias("value"), F.max("step").alias("step"))
+
+
+@job("run_progress", sql="WITH " + ATT_SQL + """
+SELECT run_id, CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS completed, CAST(count(*) AS BIGINT) AS total,
+  100.0 * count(*) FILTER (WHERE status = 'completed') / count(*) AS percent FROM att GROUP BY run_id""")
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed / total attempts and percent per run."""
+    a = attempts(Tables(spark, sf_dir))
+    g = a.groupBy("run_id").agg(
+        F.count_if(F.col("status") == "completed").cast("bigint").alias("completed"), F.count(F.lit(1)).cast("bigint").alias("total")
+    )
+    return g.withColumn("percent", F.lit(100.0) * F.col("completed") / F.col("total"))
+
+
+@job("resume_phase", sql="WITH " + ATT_SQL + """
+SELECT run_id, min(attempt_no) FILTER (WHERE status IN ('running', 'interrupted', 'failed', 'pending')) AS resume_attempt_no
+FROM att GROUP BY run_id""")
+def resume_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First phase (attempt) of each run that is running, interrupted, failed or pending."""
+    a = attempts(Tables(spark, sf_dir))
+    bad = F.col("status").isin("running", "interrupted", "failed", "pending")
+    return a.groupBy("run_id").agg(F.min(F.when(bad, F.col("attempt_no"))).alias("resume_attempt_no"))
+
+
+@job("runs_grouped", sql="WITH " + TREE_SQL + ", " + EXP_SQL + """
+SELECT experiment AS grp, CAST(count(*) AS BIGINT) AS runs, max(start_ms) AS newest_start_ms FROM exp GROUP BY experiment""")
+def runs_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs grouped by their top folder (experiment)."""
+    e = experiment_runs(run_tree(Tables(spark, sf_dir)))
+    return e.groupBy(F.col("experiment").alias("grp")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("runs"), F.max("start_ms").alias("newest_start_ms")
+    )
