@@ -84,3 +84,15 @@ def join_model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     j = samples.join(answers, "sample_idx", "left")
     return j.select("sample_idx", "question", "expected_answer", F.coalesce("answer", F.lit("")).alias("model_answer"))
+
+
+@job("extract_nested_text", sql="""SELECT conv_id AS row_idx,
+  array_to_string(list_filter(list(coalesce(text, '') ORDER BY turn), lambda x: x <> ''), chr(10)) AS text
+FROM conversations GROUP BY conv_id""")
+def extract_nested_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A messages list -> its non-empty contents joined by newlines (content key of each message)."""
+    from finelens.sources.chat import chat_samples
+
+    chats = chat_samples(Tables(spark, sf_dir))
+    parts = F.transform("messages", lambda m: F.coalesce(m["content"], F.lit("")))
+    return chats.select("row_idx", F.array_join(F.filter(parts, lambda p: p != ""), "\n").alias("text"))

@@ -412,3 +412,50 @@ def reward_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", "") == ""
     r = F.when(blank("schema") | blank("query"), -1).when(F.col("ok").isNull(), 0).when(F.col("ok"), 1).otherwise(-1)
     return w.select("sample_idx", r.alias("reward"))
+
+
+@job("flatten_eval_metrics", sql="WITH " + JUDGE_SQL + """,
+agg AS (SELECT CAST(count(score) AS DOUBLE) AS sample_count, coalesce(avg((score - 1) / 4.0), 0.0) AS mean_score,
+  coalesce(quantile_cont((score - 1) / 4.0, 0.5), 0.0) AS p50_score,
+  CASE WHEN count(score) > 0 AND coalesce(avg((score - 1) / 4.0), 0.0) >= 0.6 THEN 1.0 ELSE 0.0 END AS passed FROM judged)
+SELECT 'eval.judge.' || k AS metric, v AS value FROM (
+  SELECT 'sample_count' AS k, sample_count AS v FROM agg UNION ALL SELECT 'mean_score', mean_score FROM agg
+  UNION ALL SELECT 'p50_score', p50_score FROM agg UNION ALL SELECT 'passed', passed FROM agg)""")
+def flatten_eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``eval.<plugin>.<metric>`` numeric rows plus ``passed`` as 0/1."""
+    j = eval_judge(spark, sf_dir)
+    m = F.create_map(
+        F.lit("sample_count"), F.col("sample_count").cast("double"), F.lit("mean_score"), F.col("mean_score"),
+        F.lit("p50_score"), F.col("p50_score"), F.lit("passed"), F.col("passed").cast("double"),
+    )
+    return j.select(F.explode(m).alias("k", "value")).select(F.concat(F.lit("eval.judge."), "k").alias("metric"), "value")
+
+
+@job("prompt_contract", sql="WITH " + ITEMS_SQL + r""",
+c AS (SELECT sample_idx, trim(coalesce(question, '')) = '' AS no_prompt,
+  regexp_replace(regexp_extract(question, '```helixschema\n([\s\S]*?)\n```', 1), '^@WS@+|@WS@+$', '', 'g') = '' AS no_schema,
+  trim(coalesce(model_answer, '')) = '' AS no_reference FROM ev_items)
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE NOT (no_prompt OR no_schema OR no_reference)) AS BIGINT) AS clean,
+  CAST(count(*) FILTER (WHERE NOT (no_prompt OR no_schema OR no_reference)) AS DOUBLE) / count(*) AS ratio,
+  CAST(count(*) FILTER (WHERE NOT (no_prompt OR no_schema OR no_reference)) AS DOUBLE) / count(*) >= 1.0 AS passed,
+  CAST(count(*) FILTER (WHERE no_prompt) AS BIGINT) AS missing_prompt,
+  CAST(count(*) FILTER (WHERE no_schema) AS BIGINT) AS missing_schema_context,
+  CAST(count(*) FILTER (WHERE no_reference) AS BIGINT) AS missing_reference_answer
+FROM c""")
+def prompt_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without contract issues / rows >= 1.0 (prompt = question, schema context = fenced
+    block, reference answer = the generated answer column)."""
+    items = eval_items(Tables(spark, sf_dir))
+    blank = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "") == ""
+    c = items.select(
+        blank(F.col("question")).alias("p"), (Q.fenced_schema("question") == "").alias("s"), blank(F.col("model_answer")).alias("r")
+    )
+    clean = ~(F.col("p") | F.col("s") | F.col("r"))
+    g = c.agg(
+        F.count(F.lit(1)).cast("bigint").alias("total"), F.count_if(clean).cast("bigint").alias("clean"),
+        F.count_if("p").cast("bigint").alias("missing_prompt"), F.count_if("s").cast("bigint").alias("missing_schema_context"),
+        F.count_if("r").cast("bigint").alias("missing_reference_answer"),
+    )
+    r = F.col("clean") / F.col("total")
+    return g.select("total", "clean", r.alias("ratio"), (r >= 1.0).alias("passed"),
+                    "missing_prompt", "missing_schema_context", "missing_reference_answer")

@@ -196,7 +196,7 @@ def attempts(t: Tables) -> DataFrame:
     )
 
 
-def stage_runs(t: Tables) -> DataFrame:
+def stage_runs(t: Tables, extra: list | None = None) -> DataFrame:
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
     st = (
         F.when((rf == "R") & (ls == "F"), "failed").when(rf == "R", "interrupted")
@@ -204,7 +204,7 @@ def stage_runs(t: Tables) -> DataFrame:
     )
     return t.lineitem.select(
         F.col("l_orderkey").alias("attempt_no"), F.concat(F.lit("stage_"), F.col("l_linenumber").cast("string")).alias("stage_name"),
-        st.alias("status"),
+        st.alias("status"), *(extra or []),
     )
 
 
@@ -357,3 +357,22 @@ def runs_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("experiment").alias("grp")).agg(
         F.count(F.lit(1)).cast("bigint").alias("runs"), F.max("start_ms").alias("newest_start_ms")
     )
+
+
+@job("stage_timeline", sql="""SELECT l_orderkey AS attempt_no, 'stage_' || l_linenumber AS stage_name,
+  CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'failed' WHEN l_returnflag = 'R' THEN 'interrupted'
+       WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'running' WHEN l_returnflag = 'N' THEN 'pending' ELSE 'completed' END AS status,
+  l_shipdate AS started_at,
+  CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'ERROR' WHEN l_returnflag = 'R' THEN 'WARN' ELSE 'INFO' END AS severity,
+  printf('Stage %s %s', 'stage_' || l_linenumber,
+    CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'failed' WHEN l_returnflag = 'R' THEN 'interrupted'
+         WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'running' WHEN l_returnflag = 'N' THEN 'pending' ELSE 'completed' END)
+    AS message
+FROM lineitem""")
+def stage_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage rows with start time, message and severity (failed -> ERROR, interrupted -> WARN)."""
+    t = Tables(spark, sf_dir)
+    s = stage_runs(t, extra=[F.col("l_shipdate").alias("started_at")])
+    sev = F.when(F.col("status") == "failed", "ERROR").when(F.col("status") == "interrupted", "WARN").otherwise("INFO")
+    return s.select("attempt_no", "stage_name", "status", "started_at", sev.alias("severity"),
+                    F.format_string("Stage %s %s", F.col("stage_name"), F.col("status")).alias("message"))
