@@ -376,3 +376,41 @@ def stage_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     sev = F.when(F.col("status") == "failed", "ERROR").when(F.col("status") == "interrupted", "WARN").otherwise("INFO")
     return s.select("attempt_no", "stage_name", "status", "started_at", sev.alias("severity"),
                     F.format_string("Stage %s %s", F.col("stage_name"), F.col("status")).alias("message"))
+
+
+@job("epoch_durations", sql="""SELECT user_id AS run_id, CAST(floor((epoch_us(ts) // 1000) / 86400000) AS BIGINT) AS epoch,
+  min(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'signup') AS start_ms,
+  max(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'purchase') AS end_ms,
+  CASE WHEN max(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'purchase') IS NOT NULL
+        AND min(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'signup') IS NOT NULL
+       THEN greatest(max(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'purchase')
+                     - min(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'signup'), 0) / 1000.0 END AS duration_seconds
+FROM events GROUP BY 1, 2""")
+def epoch_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch start / end pairs -> duration (floor 0); epoch = a run's day, start = first
+    signup event, end = last purchase event (conditional aggregation, no self-join)."""
+    e = Tables(spark, sf_dir).events.select(F.col("user_id").alias("run_id"), "event_type", epoch_ms("ts").alias("ts_ms"))
+    g = e.groupBy("run_id", F.floor(F.col("ts_ms") / 86_400_000).alias("epoch")).agg(
+        F.min(F.when(F.col("event_type") == "signup", F.col("ts_ms"))).alias("start_ms"),
+        F.max(F.when(F.col("event_type") == "purchase", F.col("ts_ms"))).alias("end_ms"),
+    )
+    d = F.when(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull(),
+               F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)) / F.lit(1000.0))
+    return g.withColumn("duration_seconds", d)
+
+
+@job("config_hashes")
+def config_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sha-256 hashes per config over key-sorted JSON of its sections (config = a part row:
+    training-critical = brand/type, late-stage = size, model/dataset = name/price)."""
+    p = Tables(spark, sf_dir).part
+
+    def h(*cols: str):
+        return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)])), 256)
+
+    return p.select(
+        F.col("p_partkey").alias("config_id"),
+        h("p_brand", "p_type").alias("training_critical_hash"),
+        h("p_size").alias("late_stage_hash"),
+        h("p_name", "p_retailprice").alias("model_dataset_hash"),
+    )

@@ -18,3 +18,19 @@ def test_oracles_have_jobs_and_job_names_are_clean():
     assert all(callable(f) for f in q.values())
     assert not any(k.startswith("op") and k[2:3].isdigit() for k in q)
     assert "pipeline" not in q
+
+
+def test_config_hashes_match_python(spark):
+    import hashlib
+    import json
+
+    import pyarrow.parquet as pq
+
+    from .conftest import SF001
+
+    rows = {r["config_id"]: r for r in E.queries()["config_hashes"](spark, SF001).collect()}
+    t = pq.read_table(f"{SF001}/part.parquet").to_pylist()
+    for p in t[:50]:
+        sec = {"p_brand": p["p_brand"], "p_type": p["p_type"]}
+        want = hashlib.sha256(json.dumps(sec, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        assert rows[p["p_partkey"]]["training_critical_hash"] == want
