@@ -47,8 +47,8 @@ QUALITY_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS (
   SELECT doc_id, text,
-         list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-         list_filter(string_split(text, chr(10)), x -> translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> '') AS lines,
+         list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> '') AS lines,
          translate(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS solid
   FROM t
 ),
