@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finelens.llm import exact_dedup, quality_rules
+from finelens.llm import exact_dedup, hyperminhash, quality_rules
 from finelens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ def quality_sql() -> str:
 @query("op6_line_first_quality", quality_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_hyperminhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_groups(read_table(spark, sf_dir, "documents"))
