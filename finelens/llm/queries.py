@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from finelens.llm import exact_dedup, hyperminhash, quality_rules
+from finelens.llm import exact_dedup, hyperminhash, pii_surrogates, quality_rules
 from finelens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_hyperminhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_groups(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_pii_surrogates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_surrogates.replaced(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.size("__pii").cast("long").alias("n_entities"), F.col("__pii").alias("entities"))
