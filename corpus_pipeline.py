@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finelens.llm import exact_dedup, quality_rules
+from finelens.llm import exact_dedup, hyperminhash, packing, pii_surrogates, quality_rules
 from finelens.llm.common import read_table, stored
 
 
@@ -23,9 +23,27 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return hyperminhash.keep_one_of_each(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by surrogates."""
+    return pii_surrogates.anonymised(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in the training sequences."""
+    return packing.packed_documents(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
     ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("pii_surrogates", private),
+    ("packing", pack),
 ]
 
 #: Near-dedup, surrogates and packing are no SQL; the whole is tested against brute force.

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finelens.llm import exact_dedup, hyperminhash, pii_surrogates, quality_rules
+from finelens.llm import exact_dedup, hyperminhash, packing, pii_surrogates, quality_rules
 from finelens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii_surrogates.replaced(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", F.size("__pii").cast("long").alias("n_entities"), F.col("__pii").alias("entities"))
+
+
+@query("op9_certified_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read_table(spark, sf_dir, "documents"))
