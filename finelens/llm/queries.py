@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finelens.llm import exact_dedup, hyperminhash, packing, pii_surrogates, quality_rules
+from finelens.llm import exact_dedup, hyperminhash, packing, pii_surrogates, quality_rules, repair
 from finelens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_certified_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_repair_tokens")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(read_table(spark, sf_dir, "documents"))
