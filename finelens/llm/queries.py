@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finelens.llm import exact_dedup, hyperminhash, packing, pii_surrogates, quality_rules, repair
+from finelens.llm import exact_dedup, hyperminhash, merge_replay, packing, pii_surrogates, quality_rules, repair
 from finelens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_repair_tokens")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_bpe_merge_replay")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_replay.encoded(read_table(spark, sf_dir, "documents"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -112,38 +113,53 @@ class Encoder:
         starts = np.flatnonzero(cut)
         return starts, np.r_[starts[1:], len(data)], np.searchsorted(starts, offsets)
 
-    def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For every segment its place in ``first`` / ``count``; unknown ones are encoded first."""
-        h = W.span_hashes(W.prefix(data), starts, ends)
-        distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHE or len(self.pretokens) > CACHE:
-            self.reset()
-            self.pretokens.clear()
-        pos = np.searchsorted(self.known, distinct)
-        old = np.zeros(len(distinct), bool)
-        if len(self.known):
-            old = self.known[np.minimum(pos, len(self.known) - 1)] == distinct
-        new = np.flatnonzero(~old)
-        raw = data.tobytes()
-        lists = [self.ids_of(raw[a:b]) for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]
+    def ids_of_all(self, raws: list[bytes]) -> list[list[int]]:
+        """Ids of many distinct segments."""
+        return [self.ids_of(raw) for raw in raws]
+
+    def learn(self, hashes: np.ndarray, raws: list[bytes]) -> None:
+        """Encodes segments that are not known yet; ``hashes`` are distinct and sorted."""
+        lists = self.ids_of_all(raws)
         counts = np.array([len(x) for x in lists], np.int64)
-        slots = len(self.first) + np.arange(len(new))
+        slots = len(self.first) + np.arange(len(raws))
         self.first = np.r_[self.first, len(self.flat) + np.cumsum(counts) - counts]
         self.count = np.r_[self.count, counts]
-        self.flat = np.r_[self.flat, np.array([i for x in lists for i in x], np.int32)]
-        self.known = np.insert(self.known, pos[new], distinct[new])
-        self.slot = np.insert(self.slot, pos[new], slots)
-        return self.slot[np.searchsorted(self.known, distinct)][back]
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))]
+        pos = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, pos, hashes)
+        self.slot = np.insert(self.slot, pos, slots)
 
     def encode(self, column: pa.Array):
-        """Yields the int32 ids of every row, in order."""
+        """Yields the int32 ids of every row, in order.
+
+        A first pass over the slices gathers the batch's distinct segments, the
+        unknown ones are encoded together, a second pass puts the ids in place.
+        """
+        if len(self.known) > CACHE or len(self.pretokens) > CACHE:
+            self.reset()
+            self.pretokens.clear()
         data, offsets = W.text_bytes(column)
+        parts, fresh = [], {}
         for _, _, raw, offs in W.slices(data, offsets):
             starts, ends, at = self.segments(raw, offs)
-            if not len(starts):
-                yield from (np.zeros(0, np.int32) for _ in range(len(offs) - 1))
-                continue
-            place = self.places(raw, starts, ends)
+            h = W.span_hashes(W.prefix(raw), starts, ends)
+            distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+            parts.append((distinct, back.astype(np.int32), at))
+            new = distinct if not len(self.known) else distinct[
+                self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct
+            ]
+            where = first[np.searchsorted(distinct, new)]
+            text = raw.tobytes()
+            for x, a, b in zip(new.tolist(), starts[where].tolist(), ends[where].tolist()):
+                if x not in fresh:
+                    fresh[x] = text[a:b]
+        if fresh:
+            hashes = np.fromiter(fresh, np.uint64, len(fresh))
+            order = np.argsort(hashes)
+            raws = list(fresh.values())
+            self.learn(hashes[order], [raws[i] for i in order.tolist()])
+        for distinct, back, at in parts:
+            place = self.slot[np.searchsorted(self.known, distinct)][back]
             n = self.count[place]
             upto = np.r_[0, np.cumsum(n)]
             flat = self.flat[np.arange(upto[-1]) + np.repeat(self.first[place] - upto[:-1], n)]
