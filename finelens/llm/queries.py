@@ -12,7 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finelens.llm import exact_dedup, hyperminhash, merge_replay, packing, pii_surrogates, quality_rules, repair
+from finelens.llm import (
+    exact_dedup,
+    hyperminhash,
+    merge_replay,
+    packing,
+    pii_surrogates,
+    quality_rules,
+    repair,
+    toxicity_mil,
+)
 from finelens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +149,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe_merge_replay")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_replay.encoded(read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity_mil")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_mil.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

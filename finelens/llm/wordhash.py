@@ -72,12 +72,14 @@ def slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np
         lo = hi
 
 
-def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and each row's n + 1 word offsets."""
+def bounds(
+    data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word (run of bytes not in ``blank``), and each row's n + 1 word offsets."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~BLANK[data]
+    solid = ~blank[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     heads = offsets[:-1][offsets[:-1] < n]
