@@ -20,6 +20,7 @@ from finelens.llm import (
     pii_surrogates,
     quality_rules,
     repair,
+    reply_trees,
     toxicity_mil,
 )
 from finelens.llm.common import read_table
@@ -154,3 +155,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity_mil")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+THREADS_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+e AS (
+  SELECT *, regexp_replace(text, '@CONTROL@', '\1\\\2\3', 'g') AS esc,
+         regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '@CONTROL@', '\1\\\2\3', 'g') AS esc_role
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(length(esc_role) + length(esc) + 24)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""".replace("@CONTROL@", reply_trees._FIRST + r"(\\*)" + reply_trees._REST)
+
+
+@query("op4_reply_trees", THREADS_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string"
+    )
+    return reply_trees.conversation_digests(rows.unionByName(extra))
