@@ -24,6 +24,7 @@ Defined results
 ---------------
 * null or blank text: empty set, linked with nothing, its own component;
 * a single word is one shingle of its own; repeated rows share a component;
+* rows of one doc_id are one document: a link of any of them holds for all;
 * rows without doc_id join the class of their text but never name one; a class
   of such rows alone has a null component and is not kept;
 * an empty table gives an empty result; only the id and text columns are read.
@@ -49,16 +50,18 @@ BANDS, ROWS = 42, 6
 LINK_PCT = 80
 #: The estimate rules a pair out only beyond so many standard errors.
 SIGMAS = 5.0
-#: Sets of up to SMALL shingles have too few filled buckets for a sharp estimate; beside
-#: the registers they carry the top 32 bits of all their hashes, which bound |A and B| from above.
+#: Sets of up to SMALL shingles have too few filled buckets for a sharp estimate; in the
+#: exhaustive search they carry the top 32 bits of all their hashes, which bound |A and B| from above.
 SMALL = 512
+#: Ids hash to so many slots; a broadcast of slots is bounded by it whatever the input.
+SLOTS = 1 << 20
 #: Bucket members in one block of the exhaustive search.
 BLOCK = 4096
 
 #: rank[j, b]: the order in which empty bucket j tries the buckets b.
 _RANK = np.argsort(np.random.default_rng(20240229).random((K, K)), axis=1).argsort(axis=1).astype(np.uint8)
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, digest binary, regs binary, small binary"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, digest binary, regs binary"
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -115,7 +118,8 @@ def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     """Pairs of register rows that the estimate does not rule out."""
     j = LINK_PCT / 100
     size_ok = 100 * np.minimum(n, m) >= LINK_PCT * np.maximum(n, m)
-    return size_ok & (estimate(x, y, n, m) >= j - SIGMAS * np.sqrt(j * (1 - j) / K))
+    filled = K * -np.expm1(-np.minimum(n, m) / K)  # borrowed registers add no evidence
+    return size_ok & (estimate(x, y, n, m) >= j - SIGMAS * np.sqrt(j * (1 - j) / filled))
 
 
 def small_may_link(one: bytes, others: list[bytes]) -> np.ndarray:
@@ -134,18 +138,27 @@ def small_may_link(one: bytes, others: list[bytes]) -> np.ndarray:
 
 def _sketch(batches):
     for b in batches:
-        n, digest, regs, small = [], [], [], []
+        n, digest, regs = [], [], []
         for u in shingle_sets(b.column(1)):
             n.append(len(u))
             digest.append(blake2b(u.tobytes(), digest_size=16).digest())
             regs.append(registers(u).tobytes() if len(u) else None)
-            small.append((u >> np.uint64(32)).astype(np.uint32).tobytes() if 0 < len(u) <= SMALL else None)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (digest, regs, small)]],
-            ["doc_id", "n_shingles", "digest", "regs", "small"],
+            [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())],
+            ["doc_id", "n_shingles", "digest", "regs"],
         )
 
 
+def _small(batches):
+    """(node, small) of (node, text): top halves of a small set's hashes, null for a larger set."""
+    for b in batches:
+        tops = [
+            (u >> np.uint64(32)).astype(np.uint32).tobytes() if 0 < len(u) <= SMALL else None
+            for u in shingle_sets(b.column(1))
+        ]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tops, pa.binary())], ["node", "small"])
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_sketch, SKETCH_SCHEMA)
@@ -174,13 +187,10 @@ def _bands(batches):
 
 
 def _estimated(batches):
-    """Keeps (a, b) of rows a, b, na, nb, ra, rb, sa, sb that may be linked."""
+    """Keeps (a, b) of rows a, b, na, nb, ra, rb that may be linked."""
     for b in batches:
         if b.num_rows:
             ok = may_link(_regs(b.column(4)), _regs(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy())
-            for i, (x, y) in enumerate(zip(b.column(6).to_pylist(), b.column(7).to_pylist())):
-                if x is not None and y is not None:
-                    ok[i] = small_may_link(x, [y])[0]
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
 
@@ -227,6 +237,19 @@ def _residual_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": cat(out_a), "b": cat(out_b)})
 
 
+def narrowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``node`` is among ``ids`` (node).
+
+    Ids are first compared by slot, against a broadcast of at most SLOTS
+    numbers, so wide rows that nobody asks for are not shuffled; the rest is
+    settled by an exact semi-join.
+    """
+    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).cast("int")
+    slots = ids.select(slot.alias("__slot")).distinct()
+    near = rows.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
+    return near.join(ids.select("node").distinct(), "node", "left_semi")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over ``links`` (a, b).
 
@@ -255,14 +278,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(node): the distinct ends of ``pairs`` (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the stored ``pairs`` (a, b) whose full shingle sets meet the threshold.
 
     ``docs`` holds (node, text) of the class representatives; only the texts
     that some pair names are hashed again.
     """
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(docs.join(named, "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    named = stored(ends_of(pairs), "named")
+    sets = stored(narrowed(docs, named).mapInArrow(_sets, "node long, shingles array<long>"), "sets")
     sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -280,20 +308,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = (
         sk.where("n_shingles > 0")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("regs").alias("regs"), F.any_value("small").alias("small"))
+        .agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("regs").alias("regs"))
     )
     nodes = stored(nodes, "classes")
-    reps = nodes.where("node is not null").select("node", "n", "regs", "small")
+    reps = nodes.where("node is not null").select("node", "n", "regs")
     bands = reps.select("node", "regs").mapInArrow(_bands, "key long, node long")
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     rows = stored(bands.join(hubs, "key"), "buckets")
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     star = rows.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    ra, rb = (reps.select(*[F.col(c).alias(c[0] + x) for c in ("n", "regs", "small")], F.col("node").alias(x)) for x in "ab")
-    star = star.join(ra, "a").join(rb, "b").select("a", "b", "na", "nb", "ra", "rb", "sa", "sb")
+    star = stored(star, "star-pairs")
+    wide = narrowed(reps, stored(ends_of(star), "star-nodes"))
+    ra, rb = (wide.select(F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in ("n", "regs")]) for x in "ab")
+    star = star.join(ra, "a").join(rb, "b").select("a", "b", "na", "nb", "ra", "rb")
     star = star.mapInArrow(_estimated, "a long, b long")
-    links = stored(verified(stored(star, "star-pairs"), texts).distinct(), "star-links")
+    links = stored(verified(stored(star, "star-estimated"), texts).distinct(), "star-links")
     comps = components(links)
 
     more = residual_links(rows, reps, comps, texts)
@@ -328,7 +358,7 @@ def residual_links(rows: DataFrame, reps: DataFrame, comps: DataFrame, texts: Da
         F.ceil(F.col("size") / BLOCK).cast("int").alias("all_blocks"),
         F.ceil((F.col("size") - F.col("top.members")) / BLOCK).cast("int").alias("minor_blocks"),
     )
-    spread = known.join(top, "key").withColumn("minor", F.col("comp") != F.col("major"))
+    spread = stored(known.join(top, "key").withColumn("minor", F.col("comp") != F.col("major")), "residual-buckets")
     h = F.xxhash64("node")
     left = spread.where("minor").select(
         "key", "node", "hub", "comp", "minor", F.lit(0).alias("side"),
@@ -340,7 +370,12 @@ def residual_links(rows: DataFrame, reps: DataFrame, comps: DataFrame, texts: Da
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks").cast("long") - 1)).alias("p"),
         F.pmod(h, F.col("all_blocks")).alias("q"),
     )
-    members = left.unionByName(right).join(reps, "node")
+    asked = stored(spread.select("node").distinct(), "residual-nodes")
+    small = narrowed(texts, asked).mapInArrow(_small, "node long, small binary")
+    # an id on several rows may have several sets; the estimate alone judges it
+    small = small.groupBy("node").agg(F.when(F.count("*") == 1, F.any_value("small")).alias("small"))
+    wide = stored(narrowed(reps, asked).join(small, "node"), "residual-sketches")
+    members = left.unionByName(right).join(wide, "node")
     pairs = members.groupBy("key", "p", "q").applyInArrow(_residual_pairs, T.StructType().add("a", "long").add("b", "long"))
     pairs = stored(pairs.distinct(), "residual-pairs")
     return stored(verified(pairs, texts).distinct(), "residual-links")
