@@ -22,6 +22,7 @@ from finelens.llm import (
     repair,
     reply_trees,
     toxicity_mil,
+    warc_derivatives,
 )
 from finelens.llm.common import read_table
 
@@ -185,3 +186,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string"
     )
     return reply_trees.conversation_digests(rows.unionByName(extra))
+
+
+@query("op1_warc_derivatives")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc_derivatives.responses(read_table(spark, sf_dir, "pages"))
+    return warc_derivatives.checked(warc_derivatives.round_trip(rows))
