@@ -40,7 +40,8 @@ MALE_NAMES = "James|John|Robert|Michael|William|David|Thomas|Hans|Klaus|Jürgen|
 FEMALE_NAMES = "Mary|Patricia|Jennifer|Linda|Elizabeth|Susan|Sarah|Ursula|Sabine|Marie|Sophie|Camille|María|Carmen|Lucía|Анна|Мария|Ольга|Елена"
 
 _L = r"\p{L}"
-EMAIL = r"[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
+# starts of a run only, possessive: linear on a text that is one long run
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 PHONE = (
     r"\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,3}(?!\d)"
