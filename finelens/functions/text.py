@@ -37,10 +37,6 @@ def py_split(col: Column | str) -> Column:
     return F.filter(F.split(_c(col), PY_WS_RUN), lambda t: t != "")
 
 
-def py_token_count(col: Column | str) -> Column:
-    return F.size(py_split(col))
-
-
 def extract_text(columns: list[str]) -> Column:
     """Text a check looks at, chosen statically from the schema.
 
@@ -62,13 +58,6 @@ def normalize_pair_text(col: Column | str) -> Column:
     return F.lower(py_strip(py_str(col)))
 
 
-def normalize_query_text(col: Column | str) -> Column:
-    """Strip, collapse inner whitespace per line, drop blank lines."""
-    lines = F.split(F.coalesce(_c(col), F.lit("")), "\n")
-    cleaned = F.transform(lines, lambda ln: F.regexp_replace(py_strip(ln), PY_WS_RUN, " "))
-    return F.array_join(F.filter(cleaned, lambda ln: ln != ""), "\n")
-
-
 def py_strip_length(col: Column | str) -> Column:
     """``len(s.strip())`` from two anchored matches (leading whitespace of the
     text and of its reverse): linear, no unanchored scan of long texts."""

@@ -52,10 +52,8 @@ AVG_LENGTH_MIN, AVG_LENGTH_MAX, AVG_LENGTH_NEAR_FACTOR = 50, 8192, 1.2
 EMPTY_MAX_RATIO, EMPTY_MIN_CHARS, EMPTY_CRITICAL = 0.1, 10, 0.2
 DIVERSITY_MIN_SCORE, DIVERSITY_NEAR_FACTOR, DIVERSITY_CRITICAL = 0.7, 1.1, 0.3
 DEDUP_MAX_RATIO, DEDUP_CRITICAL = 0.1, 0.3
-IDENTICAL_MAX_RATIO, IDENTICAL_CRITICAL, IDENTICAL_EXAMPLES = 0.01, 0.05, 3
-PREF_MIN_VALID_RATIO, PREF_CRITICAL, PREF_EXAMPLES = 0.95, 0.8, 5
-FAST_MODE_SAMPLE_SIZE = 10_000
-LARGE_DATASET_ROWS = 100_000
+IDENTICAL_MAX_RATIO, IDENTICAL_CRITICAL = 0.01, 0.05
+PREF_MIN_VALID_RATIO, PREF_CRITICAL = 0.95, 0.8
 
 # The default set used when a dataset configures no checks.
 DEFAULT_CHECKS = {
@@ -109,18 +107,6 @@ def head_n(samples: DataFrame, n: int | None, by: list[str] | None = None) -> Da
     return samples.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def fast_mode(samples: DataFrame, by: list[str], mode: str = "full", sample_size: int = FAST_MODE_SAMPLE_SIZE) -> DataFrame:
-    """``mode='fast'`` checks only the first ``sample_size`` rows of datasets
-    larger than the large-dataset bound; ``mode='full'`` checks every row."""
-    if mode == "full":
-        return samples
-    w = Window.partitionBy(*by)
-    sized = samples.withColumn("_n", F.count(F.lit(1)).over(w))
-    ranked = sized.withColumn("_rn", F.row_number().over(w.orderBy("row_idx")))
-    keep = (F.col("_n") <= LARGE_DATASET_ROWS) | (F.col("_rn") <= sample_size)
-    return ranked.where(keep).drop("_n", "_rn")
-
-
 # ---------------------------------------------------------------------------
 # fused text profile
 # ---------------------------------------------------------------------------
@@ -288,15 +274,17 @@ def error_groups(issues: DataFrame, by: list[str], max_examples: int = 5) -> Dat
     """Group sample-level issues (``by + [error_type, row_idx]``) by type.
 
     Returns ``by, error_type, total_count, sample_indices`` with the first
-    ``max_examples`` indices (0 -> empty list).  ``-1`` (all indices) is served by
-    the long ``issues`` table itself rather than an unbounded array.
+    ``max_examples`` indices (0 -> empty list).  ``-1`` (all indices) gives the long
+    table ``by, error_type, sample_index, total_count`` instead of unbounded arrays.
     """
     keys = [*by, "error_type"]
     totals = issues.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("total_count"))
     if max_examples == 0:
         return totals.withColumn("sample_indices", F.array().cast("array<bigint>"))
     if max_examples < 0:
-        raise ValueError("max_examples=-1: read the long issues table instead of an unbounded array")
+        # all indices: the long table, one row per index
+        rows = issues.select(*keys, F.col("row_idx").alias("sample_index"))
+        return rows.join(totals, keys)
     w = Window.partitionBy(*keys).orderBy("row_idx")
     top = (
         issues.select(*keys, "row_idx")

@@ -25,7 +25,6 @@ SCORE_MIN, SCORE_MAX = 1, 5
 DEFAULT_MIN_MEAN_SCORE = 0.6
 SEMANTIC_SAMPLE_FAIL_BELOW = 0.7
 SYNTAX_MIN_VALID_RATIO = 0.8
-JUDGE_DEFAULT_MAX_SAMPLES = 50
 PRIORITY = {"eval_outcomes": 8, "eval_syntax": 10, "eval_semantic": 20, "eval_judge": 60}
 
 
@@ -38,6 +37,12 @@ def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def score_label(score: Column, raw_score: Column) -> Column:
+    """Label of an evaluated row: no score fails; a raw score is shown; else only a full score is OK."""
+    shown = F.concat(F.lit("raw: "), raw_score.cast("string"), F.lit(f"/{SCORE_MAX}"))
+    return F.when(score.isNull(), "FAILED").when(raw_score.isNotNull(), shown).when(score == 1.0, "OK").otherwise("FAILED")
+
+
 def with_sequence_ratio(df: DataFrame, a: str, b: str, out: str = "sequence_ratio") -> DataFrame:
     """Attach the ratio of columns ``a`` and ``b``, computed once per distinct pair."""
     pairs = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()

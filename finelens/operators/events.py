@@ -4,7 +4,7 @@ before the shuffle) plus ``when`` chains; nothing is collected per run."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -24,6 +24,7 @@ OOM_PENALTY_PER_EVENT = 20
 WARN_PENALTY_HIGH = 30
 WARN_PENALTY_LOW = 10
 FRAG_PENALTY = 5
+CONFIG_PENALTY = 15  # an OOM means the configuration was too aggressive
 CACHE_CLEAR_SECONDS = 0.5
 DEFAULT_MAX_RETRIES = 3
 WARN_TO_YELLOW, WARN_TO_RED = 3, 5
@@ -58,12 +59,6 @@ def event_stats(events: DataFrame, by: list[str], order: str = "seq", limit: int
     )
 
 
-def recent_events(events: DataFrame, by: list[str], order: str = "seq", limit: int = EVENTS_DISPLAY_LIMIT) -> DataFrame:
-    """Last ``limit`` events per run (partial group limit before the shuffle)."""
-    w = Window.partitionBy(*by).orderBy(F.col(order).desc())
-    return events.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
-
-
 def memory_events(events: DataFrame) -> DataFrame:
     """Events of the memory manager, typed from their message."""
     msg = F.lower(F.coalesce(F.col("message"), F.lit("")))
@@ -94,6 +89,7 @@ def memory_health(mem_events: DataFrame, by: list[str], max_retries: int = DEFAU
         - F.when(cc > 10, F.floor(cc / 5)).otherwise(0)
         - F.when(wc > 5, WARN_PENALTY_HIGH).when(wc > 3, WARN_PENALTY_LOW).otherwise(0)
         - fw * FRAG_PENALTY
+        - F.when(oom > 0, CONFIG_PENALTY).otherwise(0)
     )
     bad = oom > max_retries
     warn = (oom > 0) | (cc > 10) | (wc > 3) | (fw > 0)
@@ -125,6 +121,7 @@ def memory_insights(health: DataFrame, by: list[str], max_retries: int = DEFAULT
         F.when(cc > 10, F.format_string("Memory protection triggered %d times. Approximate time lost: %.1fs.", cc, cc * CACHE_CLEAR_SECONDS)),
         F.when(wc > 5, F.format_string("High number of memory warnings (%d). The system is near its limit.", wc)),
         F.when(fw > 0, F.format_string("Detected %d high-fragmentation events. Memory is available but fragmented.", fw)),
+        F.when(oom > 0, F.lit("Configuration led to OOM events.")),
     )
     return health.select(*by, F.posexplode(lines).alias("pos", "message")).where(F.col("message").isNotNull())
 

@@ -254,13 +254,22 @@ def index_percentiles(
 # ---------------------------------------------------------------------------
 # phase slices
 # ---------------------------------------------------------------------------
-def slice_by_phase(points: DataFrame, phases: DataFrame, run: str = "run_id", bucket_ms: int = 3_600_000) -> DataFrame:
+def closed(phases: DataFrame, as_of_ms: int | None = None) -> DataFrame:
+    """Started phases; one that still runs (null ``end_ms``) ends at ``as_of_ms``, by default now."""
+    now = F.lit(as_of_ms).cast("bigint") if as_of_ms is not None else F.unix_millis(F.current_timestamp())
+    end = F.greatest("start_ms", F.coalesce("end_ms", now))
+    return phases.where(F.col("start_ms").isNotNull()).withColumn("end_ms", end)
+
+
+def slice_by_phase(
+    points: DataFrame, phases: DataFrame, run: str = "run_id", bucket_ms: int = 3_600_000, as_of_ms: int | None = None
+) -> DataFrame:
     """Points with ``start_ms <= ts_ms <= end_ms`` of a phase of the same run.
 
-    ``phases``: run, phase_idx, start_ms, end_ms (null start -> no slice).
+    ``phases``: run, phase_idx, start_ms, end_ms (null start -> no slice, null end -> still running).
     Range join as an equi-join on (run, bucket).
     """
-    ph = phases.where(F.col("start_ms").isNotNull()).select(
+    ph = closed(phases, as_of_ms).select(
         run,
         "phase_idx",
         "start_ms",
@@ -275,14 +284,16 @@ def slice_by_phase(points: DataFrame, phases: DataFrame, run: str = "run_id", bu
     )
 
 
-def slice_nearest(points: DataFrame, phases: DataFrame, run: str = "run_id", cap_ms: int = NEAREST_CAP_MS) -> DataFrame:
+def slice_nearest(
+    points: DataFrame, phases: DataFrame, run: str = "run_id", cap_ms: int = NEAREST_CAP_MS, as_of_ms: int | None = None
+) -> DataFrame:
     """For (phase, key) pairs with no point inside the phase: the point of the
     run's key series nearest to the phase centre, if closer than ``cap_ms``.
     Ties take the earliest ``seq``."""
     keys = points.select(run, "key").distinct()
-    ph = phases.where(F.col("start_ms").isNotNull())
+    ph = closed(phases, as_of_ms)
     pairs = ph.join(keys, run)
-    inside = slice_by_phase(points, phases, run).select(run, "phase_idx", "key").distinct()
+    inside = slice_by_phase(points, ph, run).select(run, "phase_idx", "key").distinct()
     empty = pairs.join(inside, [run, "phase_idx", "key"], "left_anti")
     centre = (F.col("start_ms") + F.col("end_ms")) / F.lit(2.0)
     q = empty.select(run, "phase_idx", "key", centre.alias("centre")).withColumn(
@@ -297,8 +308,9 @@ def slice_nearest(points: DataFrame, phases: DataFrame, run: str = "run_id", cap
     return best.select(run, "phase_idx", "key", "p.*")
 
 
-def phase_resource_fill(points: DataFrame, phases: DataFrame, run: str = "run_id") -> DataFrame:
+def phase_resource_fill(points: DataFrame, phases: DataFrame, run: str = "run_id", as_of_ms: int | None = None) -> DataFrame:
     """Series of each (phase, key): the points inside the phase, else the nearest one."""
+    phases = closed(phases, as_of_ms)
     inside = slice_by_phase(points, phases, run).withColumn("source", F.lit("slice"))
     near = slice_nearest(points, phases, run).drop("distance_ms").withColumn("source", F.lit("nearest"))
     return inside.unionByName(near)

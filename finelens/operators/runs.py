@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 # fixed values that must equal the reference
 RESUME_STATUSES = ("failed", "interrupted", "pending", "running", "stale")
 LOG_TAIL_LINES = 30
-DESCENDANT_DEPTH = 3
 
 
 def children(runs: DataFrame) -> DataFrame:
@@ -25,21 +24,25 @@ def children(runs: DataFrame) -> DataFrame:
     return c.join(p, "parent_run_id")
 
 
-def descendants(runs: DataFrame, roots: DataFrame, max_depth: int = DESCENDANT_DEPTH) -> DataFrame:
-    """(root_run_id, run_id, depth) for every run up to ``max_depth`` below a root."""
+def descendants(runs: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """(root_run_id, run_id, depth) for every run up to ``max_depth`` below a root.
+
+    A run met again on a cycle of parents is not followed a second time.
+    """
     edges = runs.where(F.col("parent_run_id").isNotNull()).select(F.col("parent_run_id").alias("_p"), "run_id")
-    frontier = roots.select(F.col("run_id").alias("root_run_id"), F.col("run_id").alias("_p"))
+    frontier = roots.select(F.col("run_id").alias("root_run_id"), F.col("run_id").alias("_p"), F.array("run_id").alias("_seen"))
     out = None
     for depth in range(1, max_depth + 1):
-        level = frontier.join(edges, "_p").select("root_run_id", "run_id", F.lit(depth).alias("depth"))
+        level = frontier.join(edges, "_p").where(~F.array_contains("_seen", F.col("run_id")))
+        level = level.select("root_run_id", "run_id", F.lit(depth).alias("depth"), F.array_append("_seen", F.col("run_id")).alias("_seen"))
         out = level if out is None else out.unionByName(level)
-        frontier = level.select("root_run_id", F.col("run_id").alias("_p"))
-    return out
+        frontier = level.select("root_run_id", F.col("run_id").alias("_p"), "_seen")
+    return out.drop("_seen")
 
 
-def phase_runs(runs: DataFrame, roots: DataFrame) -> DataFrame:
+def phase_runs(runs: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """Descendant runs named ``phase_*`` that carry metrics."""
-    d = descendants(runs, roots)
+    d = descendants(runs, roots, max_depth)
     r = runs.where(F.col("run_name").startswith("phase_") & F.col("train_loss").isNotNull())
     return d.join(r.drop("depth"), "run_id")
 
@@ -63,11 +66,17 @@ def best_run(runs: DataFrame, by: str, metric: str, mode: str = "min") -> DataFr
     return r.groupBy(by).agg(F.min_by(F.struct("run_id", "run_name", metric), key).alias("b")).select(by, "b.*")
 
 
-def resume_stage(attempts: DataFrame, stage_runs: DataFrame, enabled: list[str]) -> DataFrame:
-    """First enabled stage of each run's latest attempt that is missing or not finished."""
-    latest = attempts.groupBy("run_id").agg(F.max("attempt_no").alias("attempt_no"))
-    stages = latest.select("run_id", "attempt_no", F.posexplode(F.array(*[F.lit(s) for s in enabled])).alias("pos", "stage_name"))
-    j = stages.join(stage_runs.select("attempt_no", "stage_name", "status"), ["attempt_no", "stage_name"], "left")
+def resume_stage(attempts: DataFrame, stage_runs: DataFrame) -> DataFrame:
+    """First enabled stage of each run's latest attempt that is missing or not finished.
+
+    ``attempts`` carries the attempt's own ``enabled_stages``; attempt numbers count per run.
+    """
+    latest = attempts.groupBy("run_id").agg(
+        F.max("attempt_no").alias("attempt_no"), F.max_by("enabled_stages", "attempt_no").alias("enabled")
+    )
+    stages = latest.select("run_id", "attempt_no", F.posexplode("enabled").alias("pos", "stage_name"))
+    own = stage_runs.select("run_id", "attempt_no", "stage_name", "status")
+    j = stages.join(own, ["run_id", "attempt_no", "stage_name"], "left")
     pending = j.where(F.col("status").isNull() | F.col("status").isin(*RESUME_STATUSES))
     first = pending.groupBy("run_id").agg(F.min_by("stage_name", "pos").alias("resume_stage"))
     return latest.join(first, "run_id", "left").select("run_id", "attempt_no", "resume_stage")
@@ -86,8 +95,8 @@ def attempt_state(attempts: DataFrame) -> DataFrame:
 
 
 def latest_lineage(updates: DataFrame) -> DataFrame:
-    """Latest output per (run, stage); a removal drops the stage."""
-    last = updates.groupBy("run_id", "stage_name").agg(F.max_by(F.struct("action", "output", "seq"), "seq").alias("l"))
+    """Latest output per (run, stage), equal ``seq`` by action and output; a removal drops the stage."""
+    last = updates.groupBy("run_id", "stage_name").agg(F.max(F.struct("seq", "action", "output")).alias("l"))
     return last.where(F.col("l.action") != "remove").select("run_id", "stage_name", "l.output", F.col("l.seq").alias("seq"))
 
 

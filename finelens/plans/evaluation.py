@@ -334,7 +334,9 @@ def outcomes_table(t: Tables) -> DataFrame:
     err = F.when(ok, F.lit(None).cast("string")).when(F.col("toxic") == 1, "compile_error").otherwise("schema_error")
     gen = j.select(pair_key(F.col("schema"), F.col("model_answer")).alias("pair_key"), ok.alias("ok"), err.alias("error_type"))
     gold = j.select(pair_key(F.col("schema"), F.col("expected_answer")).alias("pair_key"), ok.alias("ok"), err.alias("error_type"))
-    return gen.unionByName(gold).dropDuplicates(["pair_key"])
+    # conflicting outcomes of one pair: a failure wins, then the smallest error type
+    one = gen.unionByName(gold).groupBy("pair_key").agg(F.min(F.struct("ok", "error_type")).alias("o"))
+    return one.select("pair_key", "o.ok", "o.error_type")
 
 
 def with_outcome(t: Tables, query_col: str) -> DataFrame:
@@ -355,7 +357,8 @@ outc AS (SELECT DISTINCT ON (pair_key) pair_key, ok, error_type FROM (
     CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'compile_error' ELSE 'schema_error' END AS error_type FROM lab
   UNION ALL
   SELECT sha256(coalesce(schema, '') || chr(31) || coalesce(expected_answer, '')), quality = 1,
-    CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'compile_error' ELSE 'schema_error' END FROM lab)),
+    CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'compile_error' ELSE 'schema_error' END FROM lab)
+  ORDER BY pair_key, ok, error_type),
 gen AS (SELECT s.sample_idx, s.schema, s.model_answer AS query, o.ok, o.error_type FROM sch s
   LEFT JOIN outc o ON o.pair_key = sha256(coalesce(s.schema, '') || chr(31) || coalesce(s.model_answer, ''))),
 gold AS (SELECT s.sample_idx, s.schema, s.expected_answer AS query, o.ok, o.error_type FROM sch s

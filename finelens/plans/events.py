@@ -84,7 +84,7 @@ mh AS (SELECT *,
     - CASE WHEN oom_count > 3 THEN 100 WHEN oom_count > 0 THEN 20 * oom_count ELSE 0 END
     - CASE WHEN cache_clear_count > 10 THEN cache_clear_count // 5 ELSE 0 END
     - CASE WHEN warning_count > 5 THEN 30 WHEN warning_count > 3 THEN 10 ELSE 0 END
-    - frag_warnings * 5)) AS BIGINT) AS efficiency_score,
+    - frag_warnings * 5 - CASE WHEN oom_count > 0 THEN 15 ELSE 0 END)) AS BIGINT) AS efficiency_score,
   CASE WHEN oom_count > 3 THEN 'BAD'
        WHEN oom_count > 0 OR cache_clear_count > 10 OR warning_count > 3 OR frag_warnings > 0 THEN 'WARNING' ELSE 'GOOD' END AS status,
   CASE WHEN oom_count > 3 THEN 'Critical: OOM loop / failure' WHEN oom_count > 0 THEN 'OOM (recovered)'
@@ -184,7 +184,8 @@ iss AS (
            cache_clear_count, cache_clear_count * 0.5) END,
       CASE WHEN warning_count > 5 THEN printf('High number of memory warnings (%d). The system is near its limit.', warning_count) END,
       CASE WHEN frag_warnings > 0 THEN printf('Detected %d high-fragmentation events. Memory is available but fragmented.',
-           frag_warnings) END]) AS msg FROM mh) WHERE msg IS NOT NULL)"""
+           frag_warnings) END,
+      CASE WHEN oom_count > 0 THEN 'Configuration led to OOM events.' END]) AS msg FROM mh) WHERE msg IS NOT NULL)"""
     )
 
 

@@ -171,7 +171,7 @@ def write_eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     sm = EVAL.semantic_match(eval_items(Tables(spark, sf_dir)))
     score = F.round("score", 4)
     raw = EVAL.raw_score_from_unit(score)
-    label = F.when(score < EVAL.SEMANTIC_SAMPLE_FAIL_BELOW, F.lit("FAILED")).otherwise(F.format_string("raw %d of 5", raw))
+    label = EVAL.score_label(score, raw)
     rows = sm.select(
         F.lit("semantic_match").alias("evaluator"), "sample_idx", "question", "model_answer", "expected_answer",
         score.alias("score"), raw.alias("raw_score"), F.array_join("hard_eval_errors", ",").alias("note"), label.alias("label"),

@@ -19,7 +19,7 @@ Stand-ins (fixed rules):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finelens.operators import runs as R
@@ -87,6 +87,10 @@ phase_runs AS (SELECT d.root_run_id, d.depth, r.* EXCLUDE (depth) FROM desc_all
                WHERE starts_with(r.run_name, 'phase_') AND r.train_loss IS NOT NULL)"""
 
 
+#: Levels below a root in the stand-in tree (region, nation, customer, order).
+TREE_DEPTH = 3
+
+
 def _roots(tree: DataFrame) -> DataFrame:
     return tree.where(F.col("depth") == 0).select("run_id")
 
@@ -103,7 +107,7 @@ SELECT root_run_id, run_id, depth, run_name FROM phase_runs""")
 def run_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phase runs (name phase_*, with metrics) up to three levels below each root."""
     tree = run_tree(Tables(spark, sf_dir))
-    return R.phase_runs(tree, _roots(tree)).select("root_run_id", "run_id", "depth", "run_name")
+    return R.phase_runs(tree, _roots(tree), TREE_DEPTH).select("root_run_id", "run_id", "depth", "run_name")
 
 
 @job("training_rollup", sql="WITH " + TREE_SQL + ", " + DESC_SQL + """
@@ -113,7 +117,7 @@ SELECT root_run_id,
 FROM phase_runs GROUP BY root_run_id""")
 def training_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = run_tree(Tables(spark, sf_dir))
-    return R.training_rollup(R.phase_runs(tree, _roots(tree)))
+    return R.training_rollup(R.phase_runs(tree, _roots(tree), TREE_DEPTH))
 
 
 EXP_SQL = """exp AS (SELECT o.run_id, o.run_name, o.status, o.train_loss, o.global_step, o.train_runtime, o.start_ms,
@@ -189,13 +193,24 @@ def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 def attempts(t: Tables) -> DataFrame:
     st = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    per_run = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    last = (F.lit(3) + F.col("o_orderkey") % 5).cast("int")
     return t.orders.select(
-        F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("attempt_no"), st.alias("status"),
+        F.col("o_custkey").alias("run_id"), F.row_number().over(per_run).alias("attempt_no"), st.alias("status"),
         F.col("o_orderdate").alias("started_at"),
         F.when(F.col("o_orderstatus") != "O", F.expr("timestampadd(DAY, o_orderkey % 5, o_orderdate)")).alias("completed_at"),
+        F.col("o_orderkey").alias("attempt_key"),
+        F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(F.lit("stage_"), i.cast("string"))).alias("enabled_stages"),
     )
 
 
+def attempt_stages(t: Tables) -> DataFrame:
+    """Stage runs under their run and per-run attempt number."""
+    own = attempts(t).select("run_id", "attempt_no", "attempt_key")
+    s = stage_runs(t).withColumnRenamed("attempt_no", "attempt_key")
+    return s.join(own, "attempt_key").select("run_id", "attempt_no", "stage_name", "status")
+
+
 def stage_runs(t: Tables, extra: list | None = None) -> DataFrame:
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
     st = (
@@ -208,7 +223,8 @@ def stage_runs(t: Tables, extra: list | None = None) -> DataFrame:
     )
 
 
-ATT_SQL = """att AS (SELECT o_custkey AS run_id, o_orderkey AS attempt_no,
+ATT_SQL = """att AS (SELECT o_custkey AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS attempt_no,
+  o_orderkey AS attempt_key, 3 + o_orderkey % 5 AS last_stage,
   CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
   o_orderdate AS started_at,
   CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5) END AS completed_at FROM orders),
@@ -229,22 +245,22 @@ def attempt_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job("resume_stage", sql="WITH " + ATT_SQL + """,
-latest AS (SELECT run_id, max(attempt_no) AS attempt_no FROM att GROUP BY run_id),
-st AS (SELECT l.run_id, l.attempt_no, s.pos, s.stage_name FROM latest l,
-       (SELECT unnest(range(1, 8)) AS pos, 'stage_' || unnest(range(1, 8)) AS stage_name) s),
+latest AS (SELECT * FROM att QUALIFY attempt_no = max(attempt_no) OVER (PARTITION BY run_id)),
+st AS (SELECT l.run_id, l.attempt_no, l.attempt_key, s.pos, s.stage_name FROM latest l,
+       (SELECT unnest(range(1, 8)) AS pos, 'stage_' || unnest(range(1, 8)) AS stage_name) s WHERE s.pos <= l.last_stage),
 pend AS (SELECT st.run_id, arg_min(st.stage_name, st.pos) AS resume_stage FROM st LEFT JOIN sr
-         ON sr.attempt_no = st.attempt_no AND sr.stage_name = st.stage_name
+         ON sr.attempt_no = st.attempt_key AND sr.stage_name = st.stage_name
          WHERE sr.status IS NULL OR sr.status IN ('failed', 'interrupted', 'pending', 'running', 'stale') GROUP BY st.run_id)
 SELECT latest.run_id, latest.attempt_no, pend.resume_stage FROM latest LEFT JOIN pend USING (run_id)""")
 def resume_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return R.resume_stage(attempts(t), stage_runs(t), ENABLED_STAGES)
+    return R.resume_stage(attempts(t), attempt_stages(t))
 
 
 @job("lineage_latest", sql="""SELECT run_id, stage_name, l.output AS output, l.seq AS seq FROM (
   SELECT l_suppkey AS run_id, 'stage_' || l_linenumber AS stage_name,
     arg_max({'action': CASE WHEN l_returnflag = 'R' THEN 'remove' ELSE 'set' END, 'output': 'part_' || l_partkey,
-             'seq': l_orderkey}, l_orderkey) AS l
+             'seq': l_orderkey}, (l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'remove' ELSE 'set' END, 'part_' || l_partkey)) AS l
   FROM lineitem GROUP BY 1, 2) WHERE l.action <> 'remove'""")
 def lineage_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = Tables(spark, sf_dir).lineitem
@@ -399,18 +415,40 @@ def epoch_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("duration_seconds", d)
 
 
-@job("config_hashes")
-def config_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sha-256 hashes per config over key-sorted JSON of its sections (config = a part row:
-    training-critical = brand/type, late-stage = size, model/dataset = name/price)."""
-    p = Tables(spark, sf_dir).part
+def _json(name: str, value, quoted: bool) -> Column:
+    """``"name": value`` as in default JSON separators; null stays a field."""
+    shown = F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "") if quoted else value.cast("string")
+    return F.concat(F.lit(f'"{name}": '), F.coalesce(shown, F.lit("null")))
 
-    def h(*cols: str):
-        return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)])), 256)
 
-    return p.select(
+@job("config_hashes", sql="""WITH s AS (SELECT p_partkey AS config_id,
+  '"datasets": {"default": {"price": ' || coalesce(CAST(p_retailprice AS VARCHAR), 'null') || '}}, "model": {"name": '
+    || coalesce(CAST(to_json(p_name) AS VARCHAR), 'null') || '}' AS model,
+  '"provider": {"size": ' || coalesce(CAST(p_size AS VARCHAR), 'null') || '}, "provider_name": '
+    || coalesce(CAST(to_json(p_brand) AS VARCHAR), 'null') AS provider,
+  '"training": {"type": ' || coalesce(CAST(to_json(p_type) AS VARCHAR), 'null') || '}' AS training,
+  '{"evaluation": {"size": ' || coalesce(CAST(p_size AS VARCHAR), 'null') || '}, "inference": {"type": '
+    || coalesce(CAST(to_json(p_type) AS VARCHAR), 'null') || '}}' AS late
+  FROM part)
+SELECT config_id, sha256('{' || model || ', ' || provider || ', ' || training || '}') AS training_critical_hash,
+  sha256(late) AS late_stage_hash, sha256('{' || model || ', ' || training || '}') AS model_dataset_hash FROM s""")
+def config_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sha-256 hashes per config over key-sorted JSON with default separators.
+
+    Config = a part row: model name, dataset price, training type; the training
+    hash covers the model-dataset payload and the provider (brand, size), the late
+    hash evaluation (size) and inference (type).
+    """
+    name, price, kind = _json("name", F.col("p_name"), True), _json("price", F.col("p_retailprice"), False), _json("type", F.col("p_type"), True)
+    size, brand = _json("size", F.col("p_size"), False), _json("provider_name", F.col("p_brand"), True)
+    model = F.concat(F.lit('"datasets": {"default": {'), price, F.lit('}}, "model": {'), name, F.lit("}"))
+    provider = F.concat(F.lit('"provider": {'), size, F.lit("}, "), brand)
+    training = F.concat(F.lit('"training": {'), kind, F.lit("}"))
+    late = F.concat(F.lit('{"evaluation": {'), size, F.lit('}, "inference": {'), kind, F.lit("}}"))
+    h = lambda *parts: F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
+    return Tables(spark, sf_dir).part.select(
         F.col("p_partkey").alias("config_id"),
-        h("p_brand", "p_type").alias("training_critical_hash"),
-        h("p_size").alias("late_stage_hash"),
-        h("p_name", "p_retailprice").alias("model_dataset_hash"),
+        h(model, provider, training).alias("training_critical_hash"),
+        F.sha2(late, 256).alias("late_stage_hash"),
+        h(model, training).alias("model_dataset_hash"),
     )

@@ -29,14 +29,16 @@ def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.verdict_of_stream_metrics(m)
 
 
-@job("stream_min_samples")
+@job("stream_min_samples", sql="""SELECT source AS dataset, CAST(count(*) AS BIGINT) AS sample_count, count(*) >= 100 AS passed
+FROM documents GROUP BY 1""")
 def stream_min_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sample count per dataset of an unbounded input, verdict >= 100."""
     agg = _doc_stream(spark, sf_dir).groupBy(*BY).agg(F.count(F.lit(1)).cast("bigint").alias("sample_count"))
     return S.run_complete(agg, "stream_min_samples").withColumn("passed", F.col("sample_count") >= 100)
 
 
-@job("stream_dedup")
+@job("stream_dedup", sql="""SELECT source AS dataset, CAST(count(DISTINCT md5(coalesce(text, 'None'))) AS BIGINT) AS unique_count
+FROM documents GROUP BY 1""")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicates among arriving texts: first occurrences kept in state, counted per dataset."""
     firsts = S.run_append(S.stream_dedup(_doc_stream(spark, sf_dir), BY), "stream_dedup")
@@ -59,7 +61,8 @@ def _write_logs(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@job("log_follow")
+@job("log_follow", sql="""SELECT source AS file, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines
+FROM documents GROUP BY 1""")
 def log_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Follow log files as a file stream: only new lines are delivered, offsets live in the checkpoint."""
     path = _write_logs(spark, sf_dir)
@@ -73,13 +76,17 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.with_event_time(e.select(F.col("user_id").alias("run_id"), "ts", "event_type", "value"))
 
 
-@job("resource_status")
+@job("resource_status", sql="""SELECT user_id AS run_id, time_bucket(INTERVAL 15 SECOND, ts) AS window_start,
+  time_bucket(INTERVAL 15 SECOND, ts) + INTERVAL 15 SECOND AS window_end, arg_max(value, (ts, value)) AS last_value,
+  CAST(count(*) AS BIGINT) AS samples FROM events GROUP BY 1, 2, 3""")
 def resource_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last value per run in 15-second windows; closed windows only (watermark)."""
-    return S.run_append(S.resource_status(_event_stream(spark, sf_dir)), "resource_status")
+    """Last value per run in every 15-second window."""
+    return S.run_complete(S.resource_status(_event_stream(spark, sf_dir)), "resource_status")
 
 
-@job("liveness")
+@job("liveness", sql="""WITH l AS (SELECT user_id AS run_id, max(ts) AS last_event_time FROM events GROUP BY 1),
+i AS (SELECT *, epoch(date_trunc('second', (SELECT max(ts) FROM events))) - epoch(date_trunc('second', last_event_time)) AS idle FROM l)
+SELECT run_id, last_event_time, CAST(idle AS BIGINT) AS idle_seconds, idle > 1200 AS dead FROM i""")
 def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Idle seconds of each run at the time of the newest event; > 1200 s = dead."""
     last = S.run_complete(S.last_seen(_event_stream(spark, sf_dir)), "liveness")

@@ -2,10 +2,10 @@
 monitors.
 
 Every stream is started with ``trigger(availableNow=True)``, keeps its
-offsets and state in a checkpoint under the session's shared
-``spark.checkpoint.dir`` (so a restarted or re-tried query resumes exactly
-once) and writes to a file sink there; the caller gets the sink back as a
-batch DataFrame.  Aggregations that must be re-emitted whole use
+offsets and state in a checkpoint and writes to a file sink beside it; the
+caller gets the sink back as a batch DataFrame.  The folder is an argument, so
+a restarted query resumes where it stopped; without one, a fresh folder under
+``spark.checkpoint.dir`` serves a single run.  Aggregations that must be re-emitted whole use
 ``foreachBatch`` with an idempotent overwrite of the batch result.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from finelens.functions.text import py_split, py_str, py_strip_length
 from finelens.operators import checks as C
 from finelens.operators import events as EV
-from finelens.session import ensure_checkpoint_dir
+from finelens.session import ensure_checkpoint_dir, table_path
 
 IDLE_TIMEOUT_SECONDS = 1200  # fixed value of the reference
 STATUS_INTERVAL = "15 seconds"  # fixed value of the reference
@@ -32,16 +32,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Stream the parquet files of one driver table (schema from the files)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    """Stream the files of one driver table, a single file or a folder of part files."""
+    path = table_path(sf_dir, name)
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # as a glob the path may be a file; it matches this one name
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_complete(agg: DataFrame, name: str) -> DataFrame:
-    """Run a streaming aggregation to completion; return its final result table."""
+def run_complete(agg: DataFrame, name: str, out: str | None = None) -> DataFrame:
+    """Run a streaming aggregation over all input present; return its whole result.
+
+    ``out`` holds the checkpoint and the result: a later run with the same
+    folder reads only what has arrived since.  Without it a fresh folder is used.
+    """
     spark = agg.sparkSession
-    out = scratch(spark, name)
+    out = out or scratch(spark, name)
 
     def sink(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out + "/result")
@@ -54,10 +59,13 @@ def run_complete(agg: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(out + "/result")
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append-mode stream into a parquet sink; return the sink contents."""
+def run_append(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
+    """Run an append-mode stream into a parquet sink; return the sink contents.
+
+    ``out`` holds the checkpoint and the data, as in ``run_complete``.
+    """
     spark = stream.sparkSession
-    out = scratch(spark, name)
+    out = out or scratch(spark, name)
     q = (
         stream.writeStream.outputMode("append").format("parquet").option("path", out + "/data")
         .option("checkpointLocation", out + "/_checkpoint").trigger(availableNow=True).start()
@@ -101,13 +109,9 @@ def verdict_of_stream_metrics(m: DataFrame, th: C.TextThresholds | None = None)
     )
 
 
-def stream_dedup(samples: DataFrame, by: list[str], event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """First occurrence of each text per dataset.  Without an event-time
-    column the state keeps every hash (exact, like the batch check); with one,
-    ``dropDuplicatesWithinWatermark`` bounds the state (an addition)."""
-    h = samples.select(*by, "row_idx", F.md5(py_str("text")).alias("text_md5"), *([event_time] if event_time else []))
-    if event_time:
-        return h.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([*by, "text_md5"])
+def stream_dedup(samples: DataFrame, by: list[str]) -> DataFrame:
+    """First occurrence of each text per dataset; the state keeps every hash (exact, like the batch check)."""
+    h = samples.select(*by, "row_idx", F.md5(py_str("text")).alias("text_md5"))
     return h.dropDuplicates([*by, "text_md5"])
 
 
@@ -119,11 +123,14 @@ def with_event_time(events: DataFrame, col: str = "ts") -> DataFrame:
     return events.withColumn("event_time", F.col(col).cast("timestamp"))
 
 
-def resource_status(events: DataFrame, run: str = "run_id", value: str = "value", watermark: str = "1 minute") -> DataFrame:
-    """Last value of each run in every 15-second window (one status line per interval)."""
-    e = events.withWatermark("event_time", watermark)
-    g = e.groupBy(run, F.window("event_time", STATUS_INTERVAL).alias("w")).agg(
-        F.max_by(value, "event_time").alias("last_value"), F.count(F.lit(1)).cast("bigint").alias("samples")
+def resource_status(events: DataFrame, run: str = "run_id", value: str = "value") -> DataFrame:
+    """Last value of each run in every 15-second window (one status line per interval).
+
+    Of values at one instant the largest counts.  No watermark: late events
+    still reach their window, and the newest windows are reported too.
+    """
+    g = events.groupBy(run, F.window("event_time", STATUS_INTERVAL).alias("w")).agg(
+        F.max(F.struct("event_time", value))[value].alias("last_value"), F.count(F.lit(1)).cast("bigint").alias("samples")
     )
     return g.select(run, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "last_value", "samples")
 

@@ -28,7 +28,13 @@ def test_config_hashes_match_python(spark):
 
     rows = {r["config_id"]: r for r in E.queries()["config_hashes"](spark, SF001).collect()}
     t = pq.read_table(f"{SF001}/part.parquet").to_pylist()
+    digest = lambda x: hashlib.sha256(json.dumps(x, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()
     for p in t[:50]:
-        sec = {"p_brand": p["p_brand"], "p_type": p["p_type"]}
-        want = hashlib.sha256(json.dumps(sec, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-        assert rows[p["p_partkey"]]["training_critical_hash"] == want
+        model = {
+            "model": {"name": p["p_name"]}, "training": {"type": p["p_type"]}, "datasets": {"default": {"price": p["p_retailprice"]}},
+        }
+        training = {**model, "provider_name": p["p_brand"], "provider": {"size": p["p_size"]}}
+        got = rows[p["p_partkey"]]
+        assert got["model_dataset_hash"] == digest(model)
+        assert got["training_critical_hash"] == digest(training)
+        assert got["late_stage_hash"] == digest({"inference": {"type": p["p_type"]}, "evaluation": {"size": p["p_size"]}})

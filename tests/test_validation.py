@@ -145,11 +145,3 @@ def test_default_check_result_rows(spark):
     assert rows["min_samples"]["errors"] == ["Not enough examples: 3 < 100"]
     assert rows["avg_length"]["passed"] is False
     assert rows["empty_ratio"]["metrics"]["empty_count"] == 3.0
-
-
-def test_fast_mode_caps_large_groups_only(spark):
-    df = spark.range(100_050).select(F.lit("big").alias("dataset"), F.col("id").alias("row_idx"))
-    small = spark.range(10).select(F.lit("small").alias("dataset"), F.col("id").alias("row_idx"))
-    out = C.fast_mode(df.unionByName(small), ["dataset"], mode="fast", sample_size=100)
-    counts = {r["dataset"]: r["count"] for r in out.groupBy("dataset").count().collect()}
-    assert counts == {"big": 100, "small": 10}
