@@ -70,44 +70,60 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def choose_markers(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the words whose document frequency differs most by label."""
-    words, inverse = np.unique(hashes, return_inverse=True)
-    pairs = np.unique(inverse.astype(np.int64) * len(toxic) + doc)
-    word, of = pairs // len(toxic), pairs % len(toxic)
-    a = np.bincount(word, toxic[of], minlength=len(words))
-    n = np.bincount(word, minlength=len(words))
+    """Sorted hashes of the words whose document frequency differs most by label.
+
+    ``hashes`` and ``doc`` hold every distinct word of every document once.
+    """
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    n = np.diff(np.r_[edge, len(ordered)])
+    a = np.add.reduceat(toxic[doc[order]], edge)
     size, pos = len(toxic), toxic.sum()
     rate = n / size
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / max(pos, 1) + 1 / max(size - pos, 1)))
     z = (a / max(pos, 1) - (n - a) / max(size - pos, 1)) / spread
     z[n < MIN_DOCS] = 0
     best = np.argsort(-z, kind="stable")[:MARKERS]
-    return np.sort(words[best[z[best] > 3]])
+    return np.sort(ordered[edge[best[z[best] > 3]]])
 
 
 def train(column: pa.Array, toxic: np.ndarray) -> Model:
-    """Fits markers, weights, bias and leak to texts with 0/1 labels by gradient ascent of the noisy-or likelihood."""
+    """Fits markers, weights, bias and leak to texts with 0/1 labels by gradient ascent of the noisy-or likelihood.
+
+    One pass over the texts counts words, a second finds the markers' places;
+    only distinct words and marker hits are held.
+    """
     toxic = np.asarray(toxic, float)
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(leak=float(toxic[0]) if len(toxic) else 0.0)
-    hashes, docs, sentences, base = [], [], [], 0
     data, offsets = W.text_bytes(column)
+    words, owners = [], []
     for lo, _, raw, offs in W.slices(data, offsets):
-        h, starts, at = word_hashes(raw, offs)
-        hashes.append(h)
-        docs.append(np.repeat(np.arange(len(at) - 1), np.diff(at)) + lo)
-        # the document's number keeps sentences of neighbouring texts apart
-        sentences.append(np.cumsum(_END[raw])[starts] + base if len(raw) else starts)
-        base += len(raw)
-    h, doc, sent = (np.concatenate(x) for x in (hashes, docs, sentences))
-    markers = choose_markers(h, doc, toxic)
+        h, _, at = word_hashes(raw, offs)
+        for k, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            words.append(np.unique(h[x:y]))
+            owners.append(np.full(len(words[-1]), lo + k, np.int32))
+    if not sum(map(len, words)):
+        return Model(leak=float(toxic.mean()))
+    markers = choose_markers(np.concatenate(words), np.concatenate(owners), toxic)
+    del words, owners
     if not len(markers):
         return Model(leak=float(toxic.mean()))
-    pos = np.minimum(np.searchsorted(markers, h), len(markers) - 1)
-    hit = markers[pos] == h
+    found = []
+    base = 0
+    for lo, _, raw, offs in W.slices(data, offsets):
+        h, starts, at = word_hashes(raw, offs)
+        pos = np.minimum(np.searchsorted(markers, h), len(markers) - 1)
+        hit = np.flatnonzero(markers[pos] == h)
+        # sentences by their number in the whole sample; the document keeps neighbours apart
+        sent = np.cumsum(_END[raw])[starts[hit]] + base if len(raw) else hit
+        found.append(np.stack([np.searchsorted(at, hit, "right") - 1 + lo, sent, pos[hit]], axis=1))
+        base += len(raw)
+    doc, sent, pos = np.concatenate(found).T
     # one row per (document, sentence), one entry per marker in it
-    bags, row = np.unique(np.stack([doc[hit], sent[hit]], axis=1), axis=0, return_inverse=True)
-    entry = np.unique(np.stack([row.ravel(), pos[hit]], axis=1), axis=0)
+    bags, row = np.unique(np.stack([doc, sent], axis=1), axis=0, return_inverse=True)
+    entry = np.unique(np.stack([row.ravel(), pos], axis=1), axis=0)
     row, col, bag = entry[:, 0], entry[:, 1], bags[:, 0]
     x = np.zeros(len(markers) + 2)
     x[:-2], x[-2], x[-1] = 1.0, -1.0, -2.0  # weights, bias, logit of the leak
