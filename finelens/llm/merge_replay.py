@@ -23,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+from collections.abc import Sequence
 from functools import lru_cache
 from hashlib import sha256
 
@@ -169,16 +170,17 @@ class ReplayEncoder(tokens.Encoder):
         self.replay = MergeReplay(load_ranks(path))
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.by_word = False
-        self.pretokens = {}
         self.shown = self.replay.shown
         self.decimal = {r: str(r).encode() for r in self.shown}
         self.reset()
 
-    def ids_of_all(self, raws: list[bytes]) -> list[list[int]]:
-        parts = [self.split(raw.decode("utf-8")) for raw in raws]
-        known = self.pretokens
-        new = list({w for part in parts for w in part if w not in known})
-        known.update(zip(new, self.replay.encode([w.encode("utf-8") for w in new])))
+    def ids_of_all(self, raws: list[bytes]) -> list[Sequence[int]]:
+        parts = []
+        for raw in raws:
+            text = raw.decode("utf-8")
+            parts.append([text] if tokens.simple(text) else self.split(text))
+        words = list({w for part in parts for w in part})
+        known = dict(zip(words, self.replay.encode([w.encode("utf-8") for w in words])))
         return [known[part[0]] if len(part) == 1 else [i for w in part for i in known[w]] for part in parts]
 
 

@@ -31,6 +31,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finelens.llm import tokens
-from finelens.llm.common import new_path
+from finelens.llm.common import new_path, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -51,7 +53,7 @@ SHARD_IDS = 1 << 20
 #: A rule costs 12 bytes and saves 2 a use: rarer pairs are left alone.
 MIN_USES = 8
 #: A round replaces the pairs with at least this share of the highest count.
-ROUND_SHARE = 0.1
+ROUND_SHARE = 0.05
 
 MAGIC = 0x52504731
 HEAD = struct.Struct("<6I")
@@ -178,20 +180,22 @@ class Shard:
         self.rules, self.lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
         self.sequence = take("<u2", n_symbols)
 
+    @cached_property
+    def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of every symbol in one array, and each symbol's start and length there."""
+        known = [(i,) for i in range(self.first)]
+        for a, b in self.rules.tolist():
+            known.append(known[a] + known[b])
+        size = np.fromiter(map(len, known), np.int64, len(known))
+        flat = np.fromiter(chain.from_iterable(known), "<u4", int(size.sum()))
+        return flat, np.cumsum(size) - size, size
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids that ``symbols`` stand for: each pass opens all nonterminals by one level."""
-        out = symbols.astype(np.int64)
-        while True:
-            inner = out >= self.first
-            if not inner.any():
-                return out.astype("<u4")
-            upto = np.cumsum(1 + inner)
-            nxt = np.empty(upto[-1], np.int64)
-            begin = upto - 1 - inner
-            pair = self.rules[out[inner] - self.first]
-            nxt[begin[~inner]] = out[~inner]
-            nxt[begin[inner]], nxt[begin[inner] + 1] = pair[:, 0], pair[:, 1]
-            out = nxt
+        """Ids that ``symbols`` stand for."""
+        flat, start, size = self.expansions
+        n = size[symbols]
+        upto = np.cumsum(n)
+        return flat[np.arange(int(n.sum())) + np.repeat(start[symbols] - (upto - n), n)]
 
     def all_ids(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the whole shard and the documents' offsets in them."""
@@ -282,7 +286,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     starts = per_part.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("inner", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(starts, "part")
-    first = placed.select("part", "shard", (F.col("part_start") + F.col("inner")).alias("first"))
+    # stored: its size is known when the join is planned, so payloads move only where it is large
+    first = stored(placed.select("part", "shard", (F.col("part_start") + F.col("inner")).alias("first")), "shard-starts")
     whole = shards.join(first, ["part", "shard"]).select("first", "payload")
     return whole.mapInArrow(_unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

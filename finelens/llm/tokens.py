@@ -1,8 +1,9 @@
 """Token ids of Arrow text batches by the tokenizers library, once per distinct segment.
 
 A text is cut where both kinds of vocabulary start afresh: before a single
-blank between two solid characters (byte-level BPE) or at blanks (word BPE).
-Segments are hashed for a whole slice at once; the library encodes each
+blank between two solid characters (byte-level BPE) or at blanks (word BPE),
+and where letters, digits and other signs meet (not behind an apostrophe, nor
+next to a character whose class its bytes do not tell).  Segments are hashed for a whole slice at once; the library encodes each
 distinct segment, and the ids of all texts are gathered from there.  A worker
 keeps what it has encoded, up to ``CACHE`` segments, for its next batches.
 
@@ -13,8 +14,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ import regex
 
 from finelens.llm import wordhash as W
 
-#: Distinct segments and pretokens a worker remembers before it starts anew.
-CACHE = 1_500_000
+#: Distinct segments a worker remembers before it starts anew.
+CACHE = 400_000
+#: Slices whose unknown segments are encoded together.
+STRIDE = 8
 
 #: UTF-8 of blanks beyond ASCII: next to them no cut is made.
 _WIDE_BLANKS = re.compile(
@@ -35,6 +39,29 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
 _SOLID = ~W.BLANK.copy()
 _SOLID[0x1C:0x20] = False
 
+#: Byte classes: 0 blank or unknown, 1 letter, 2 digit, 3 other sign, 4 lead byte of U+00C0 to U+017F.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[0xC3:0xC6] = 4
+_APOSTROPHE = 0x27
+
+
+def class_cuts(data: np.ndarray) -> np.ndarray:
+    """Mask of the bytes at which a letter, digit or sign follows one of another class."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero(kind[:-1] == 4)
+    second = data[lead + 1]
+    # all but the signs of times and division, and the dotted I, whose lower case has a combining dot
+    odd = ((data[lead] == 0xC3) & ((second == 0x97) | (second == 0xB7))) | ((data[lead] == 0xC4) & (second == 0xB0))
+    kind[lead] = kind[lead + 1] = ~odd
+    if len(kind) and kind[-1] == 4:
+        kind[-1] = 0
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (data[:-1] != _APOSTROPHE)
+    return cut
+
 
 def byte_table() -> dict[int, str]:
     """Byte to the printable character that stands for it in byte-level vocabularies."""
@@ -44,6 +71,11 @@ def byte_table() -> dict[int, str]:
     return table
 
 
+def simple(text: str) -> bool:
+    """An ASCII word, with or without a blank before it: one match of any split pattern."""
+    return text.isascii() and (text.isalpha() or (text[0] == " " and text[1:].isalpha()))
+
+
 class Encoder:
     """Ids of text columns for one vocabulary file of the tokenizers library.
 
@@ -68,7 +100,6 @@ class Encoder:
             pattern = public_tokenizers.PATTERN
         self.split = regex.compile(pattern).findall
         self.table = byte_table()
-        self.pretokens: dict[str, list[int]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -78,26 +109,32 @@ class Encoder:
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def ids_of(self, raw: bytes) -> list[int]:
+    def ids_of(self, raw: bytes) -> Sequence[int]:
         """Ids of one segment."""
         text = raw.decode("utf-8")
         if _ODD.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         if self.by_word:
             text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
+        parts = [text] if simple(text) else self.split(text)
         out: list[int] = []
-        for part in self.split(text):
-            ids = self.pretokens.get(part)
-            if ids is None:
-                shown = part.encode("utf-8").decode("latin-1").translate(self.table)
-                ids = self.pretokens[part] = [t.id for t in self.model.tokenize(shown)]
-            out += ids
+        for part in parts:
+            shown = part.encode("utf-8").decode("latin-1").translate(self.table)
+            out += [t.id for t in self.model.tokenize(shown)]
         return out
 
     def segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end byte of every segment, and the rows' segment offsets."""
-        if self.by_word or not len(data):
+        if not len(data):
             return W.bounds(data, offsets)
+        own = class_cuts(data)
+        if self.by_word:
+            starts, ends, _ = W.bounds(data, offsets)
+            own[starts] = True
+            starts = np.flatnonzero(own)
+            # a piece ends at the next cut or where its word ends
+            word = np.searchsorted(ends, starts, "right")
+            return starts, np.minimum(np.r_[starts[1:], len(data)], ends[word]), np.searchsorted(starts, offsets)
         solid = _SOLID[data]
         if _WIDE_BLANKS.search(data):
             solid &= data < 0x80
@@ -109,11 +146,12 @@ class Encoder:
         inner = offsets[1:-1]
         cut[inner[inner < len(data)]] = False
         cut[inner[inner > 0] - 1] = False
+        cut |= own
         cut[filled] = True
         starts = np.flatnonzero(cut)
         return starts, np.r_[starts[1:], len(data)], np.searchsorted(starts, offsets)
 
-    def ids_of_all(self, raws: list[bytes]) -> list[list[int]]:
+    def ids_of_all(self, raws: list[bytes]) -> list[Sequence[int]]:
         """Ids of many distinct segments."""
         return [self.ids_of(raw) for raw in raws]
 
@@ -132,15 +170,19 @@ class Encoder:
     def encode(self, column: pa.Array):
         """Yields the int32 ids of every row, in order.
 
-        A first pass over the slices gathers the batch's distinct segments, the
+        A first pass over a stride of slices gathers its distinct segments, the
         unknown ones are encoded together, a second pass puts the ids in place.
         """
-        if len(self.known) > CACHE or len(self.pretokens) > CACHE:
-            self.reset()
-            self.pretokens.clear()
         data, offsets = W.text_bytes(column)
+        slices = W.slices(data, offsets)
+        while stride := list(islice(slices, STRIDE)):
+            if len(self.known) > CACHE:
+                self.reset()
+            yield from self.encode_stride(stride)
+
+    def encode_stride(self, stride: list):
         parts, fresh = [], {}
-        for _, _, raw, offs in W.slices(data, offsets):
+        for _, _, raw, offs in stride:
             starts, ends, at = self.segments(raw, offs)
             h = W.span_hashes(W.prefix(raw), starts, ends)
             distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
@@ -157,6 +199,7 @@ class Encoder:
             hashes = np.fromiter(fresh, np.uint64, len(fresh))
             order = np.argsort(hashes)
             raws = list(fresh.values())
+            fresh.clear()
             self.learn(hashes[order], [raws[i] for i in order.tolist()])
         for distinct, back, at in parts:
             place = self.slot[np.searchsorted(self.known, distinct)][back]

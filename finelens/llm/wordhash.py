@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Odd multiplier of the polynomial and its inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
