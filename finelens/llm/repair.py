@@ -60,57 +60,64 @@ HEAD = struct.Struct("<6I")
 
 
 def replace_round(seq: np.ndarray, glued: np.ndarray, next_rule: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """One round: (kept positions mask with pairs merged in ``seq`` in place, rules) or None.
+    """One round: merges pairs in ``seq`` in place; (mask of kept positions, rules), or None at the end.
 
-    ``glued[i]``: i and i + 1 belong to one document.  Of overlapping chosen
-    pairs the more frequent wins; a run of equal symbols pairs from its start.
+    ``glued[i]``: i and i + 1 belong to one document.  A rule is made only if it
+    is used MIN_USES times.
     """
     keys = seq[:-1] << np.uint32(16) | seq[1:]
-    valid = np.flatnonzero(glued)
-    ordered = np.sort(keys[valid])
+    ordered = np.sort(keys[glued])
     if not len(ordered):
         return None
     edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
     uses = np.diff(edge)
     floor = max(MIN_USES, int(uses.max() * ROUND_SHARE))
-    often = np.flatnonzero(uses >= floor)
-    if not len(often) or next_rule >= SYMBOLS:
-        return None
-    by_use = often[np.argsort(-uses[often], kind="stable")][: SYMBOLS - next_rule]
-    chosen = ordered[edge[by_use]]
-    # rank of the chosen pair that starts at a position, higher is more frequent, 0: none
+    while next_rule < SYMBOLS:
+        often = np.flatnonzero(uses >= floor)
+        by_use = often[np.argsort(-uses[often], kind="stable")][: SYMBOLS - next_rule]
+        chosen = ordered[edge[by_use]]
+        where, rule = occurrences(seq, keys, glued, chosen)
+        used = np.bincount(rule, minlength=len(chosen))
+        pays = used >= MIN_USES
+        take = pays[rule]
+        if take.any():
+            number = np.cumsum(pays) - 1 + next_rule
+            where = where[take]
+            seq[where] = number[rule[take]]
+            keep = np.ones(len(seq), bool)
+            keep[where + 1] = False
+            return keep, chosen[pays]
+        if floor == MIN_USES:
+            break
+        # the most frequent pairs only overlap each other: look further down
+        floor = max(MIN_USES, floor // 4)
+    return None
+
+
+def occurrences(seq: np.ndarray, keys: np.ndarray, glued: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions at which chosen pairs (most frequent first) are replaced, and the index of each one's pair.
+
+    Of overlapping pairs the more frequent wins; a run of equal symbols pairs from its start.
+    """
     at = np.argsort(chosen)
     table = chosen[at]
     left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
     left[chosen >> np.uint32(16)] = True
     right[chosen & np.uint32(0xFFFF)] = True
-    maybe = valid[left[seq[valid]] & right[seq[valid + 1]]]
+    maybe = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & glued)
     spot = np.minimum(np.searchsorted(table, keys[maybe]), len(table) - 1)
     hit = table[spot] == keys[maybe]
-    where, rank = maybe[hit], len(chosen) - at[spot[hit]]
+    where, rule = maybe[hit], at[spot[hit]]
     # runs of one pair: only every second position is a candidate
-    run_start = np.r_[True, (where[1:] != where[:-1] + 1) | (rank[1:] != rank[:-1])]
+    run_start = np.r_[True, (where[1:] != where[:-1] + 1) | (rule[1:] != rule[:-1])][: len(where)]
     start = np.maximum.accumulate(np.where(run_start, np.arange(len(where)), 0))
     even = (np.arange(len(where)) - start) % 2 == 0
-    where, rank = where[even], rank[even]
+    where, rule = where[even], rule[even]
     touch = where[1:] == where[:-1] + 1
     loses = np.zeros(len(where), bool)
-    loses[1:] |= touch & (rank[1:] < rank[:-1])
-    loses[:-1] |= touch & (rank[:-1] <= rank[1:])
-    where, rank = where[~loses], rank[~loses]
-    used = np.bincount(rank, minlength=len(chosen) + 1)
-    good = used >= min(MIN_USES, int(used.max()))
-    good[0] = False
-    number = np.cumsum(good) - 1 + next_rule
-    take = good[rank]
-    where, rank = where[take], rank[take]
-    if not len(where) or used.max() < 2:
-        return None
-    seq[where] = number[rank]
-    keep = np.ones(len(seq), bool)
-    keep[where + 1] = False
-    rules = chosen[len(chosen) - np.flatnonzero(good)]
-    return keep, rules
+    loses[1:] |= touch & (rule[1:] > rule[:-1])
+    loses[:-1] |= touch & (rule[:-1] >= rule[1:])
+    return where[~loses], rule[~loses]
 
 
 def compress(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
