@@ -160,7 +160,11 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """Documents that pass, their failing lines removed; the columns of ``docs``."""
-    rows = features(docs).where("__q.kept").withColumn(text_col, F.col("__q.clean_text"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # a filter on the verdict would be pushed down and judge every text again; one on a generator's output is not
+    kept = F.filter(F.array("__q"), lambda q: q["kept"])
+    rows = features(docs).withColumn("__kept", kept).select(*names, F.explode_outer("__kept").alias("__q"))
+    rows = rows.where("__q is not null").withColumn(text_col, F.col("__q.clean_text"))
     if chars_col in docs.columns:
         rows = rows.withColumn(chars_col, F.length(text_col).cast("long"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*names)
