@@ -112,6 +112,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # one match a row at most: the key decides, the id narrows it to the kept row
     hit = (F.col("__key") == F.col("__w.key")) & F.col(id_col).eqNullSafe(F.col("__w.keep_id"))
     w = winners.select(F.struct("key", "keep_id", "ties").alias("__w"))
-    single = keyed.join(w.where("__w.ties = 1"), hit, "left_semi")
-    tied = keyed.join(w.where("__w.ties > 1"), hit, "left_semi").dropDuplicates(["__key", id_col])
-    return single.unionByName(tied).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = keyed.join(w.where("__w.ties = 1"), hit, "left_semi")
+    if not winners.where("ties > 1").isEmpty():  # repeated rows of a kept id: the texts move a second time for them
+        tied = keyed.join(w.where("__w.ties > 1"), hit, "left_semi").dropDuplicates(["__key", id_col])
+        out = out.unionByName(tied)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
