@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from finelens.functions.text import normalize_pair_text
 from finelens.operators import evaluate as EVAL
 from finelens.operators import runs as R
+from finelens.plans.events import EV_SQL
 from finelens.plans.registry import job
 from finelens.sources import files as FS
 from finelens.sources.tables import Tables
@@ -200,7 +201,7 @@ def write_validation_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(path).select("dataset", "status", F.size("checks").alias("checks"))
 
 
-@job("write_events")
+@job("write_events", sql="WITH " + EV_SQL + " SELECT category, CAST(count(*) AS BIGINT) AS total FROM ev GROUP BY category")
 def write_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log exported as parquet partitioned by category; returns totals per category."""
     from finelens.plans.events import event_log

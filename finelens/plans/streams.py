@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finelens.operators.checks import TextThresholds
+from finelens.plans.events import TYPE_OF_EVENT
 from finelens.plans.registry import job
 from finelens.sources.tables import Tables
 from finelens.streaming import jobs as S
 
 BY = ["dataset"]
+TH = TextThresholds.defaults()
 
 
 def _doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +25,15 @@ def _doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("source").alias("dataset"), F.col("doc_id").alias("row_idx"), "text")
 
 
-@job("stream_validate")
+@job("stream_validate", sql=r"""WITH t AS (SELECT source AS dataset, coalesce(text, 'None') AS t FROM documents),
+m AS (SELECT dataset, CAST(count(*) AS BIGINT) AS sample_count, CAST(sum(length(t)) AS BIGINT) AS total_length,
+  CAST(count(*) FILTER (WHERE length(regexp_replace(t, '^@WS@+|@WS@+$', '', 'g')) < 10) AS BIGINT) AS empty_count,
+  CAST(sum(len([x for x in regexp_split_to_array(lower(t), '@WS@+') if x <> ''])) AS BIGINT) AS total_tokens FROM t GROUP BY 1)
+SELECT *, sample_count >= @MIN@ AS min_samples_passed, total_length / sample_count AS avg_length,
+  total_length / sample_count BETWEEN @AVG_MIN@ AND @AVG_MAX@ AS avg_length_passed,
+  empty_count / sample_count AS empty_ratio, empty_count / sample_count <= @EMPTY@ AS empty_ratio_passed FROM m"""
+     .replace("@MIN@", str(TH.min_samples)).replace("@AVG_MIN@", str(TH.avg_min)).replace("@AVG_MAX@", str(TH.avg_max))
+     .replace("@EMPTY@", str(TH.empty_max_ratio)))
 def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mergeable text checks (count, mean length, short ratio, tokens) over a stream."""
     m = S.run_complete(S.stream_text_metrics(_doc_stream(spark, sf_dir), BY), "stream_validate")
@@ -95,11 +106,13 @@ def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.liveness(j, F.col("as_of")).drop("as_of")
 
 
-@job("event_ingest")
+@job("event_ingest", sql="""WITH e AS (SELECT user_id AS run_id, event_id AS seq, CAST(ts AS VARCHAR) AS timestamp,
+  CASE event_type @TYPES@ ELSE event_type END AS event_type, 'event ' || event_id AS message FROM events)
+SELECT *, CASE event_type WHEN 'warning' THEN 'WARN' WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS severity,
+  CASE event_type WHEN 'warning' THEN 13 WHEN 'error' THEN 17 ELSE 9 END AS severity_number, event_type = 'error' AS is_error FROM e"""
+     .replace("@TYPES@", " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TYPE_OF_EVENT.items())))
 def event_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed append of JSON event files with severity and error flag."""
-    from finelens.plans.events import TYPE_OF_EVENT
-
     src = S.scratch(spark, "event_json")
     e = Tables(spark, sf_dir).events
     et = F.coalesce(*[F.when(F.col("event_type") == a, F.lit(b)) for a, b in TYPE_OF_EVENT.items()], F.col("event_type"))
