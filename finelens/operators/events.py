@@ -28,6 +28,13 @@ CONFIG_PENALTY = 15  # an OOM means the configuration was too aggressive
 CACHE_CLEAR_SECONDS = 0.5
 DEFAULT_MAX_RETRIES = 3
 WARN_TO_YELLOW, WARN_TO_RED = 3, 5
+# insight lines of the memory analysis, in their order
+OOM_FAILED = "Training failed: %d OOM events (retry limit %d exceeded)."
+OOM_RECOVERED = "There were %d OOM events, but MemoryManager recovered training."
+CACHE_LINE = "Memory protection triggered %d times. Approximate time lost: %.1fs."
+WARN_LINE = "High number of memory warnings (%d). The system is near its limit."
+FRAG_LINE = "Detected %d high-fragmentation events. Memory is available but fragmented."
+CONFIG_LINE = "Configuration led to OOM events."
 
 
 def severity_cols(event_type: Column) -> list[Column]:
@@ -116,12 +123,12 @@ def memory_insights(health: DataFrame, by: list[str], max_retries: int = DEFAULT
     """The insight lines of the memory analysis, one row each (in order)."""
     oom, cc, wc, fw = (F.col(c) for c in ("oom_count", "cache_clear_count", "warning_count", "frag_warnings"))
     lines = F.array(
-        F.when(oom > max_retries, F.format_string("Training failed: %d OOM events (retry limit %d exceeded).", oom, F.lit(max_retries)))
-        .when(oom > 0, F.format_string("There were %d OOM events, but MemoryManager recovered training.", oom)),
-        F.when(cc > 10, F.format_string("Memory protection triggered %d times. Approximate time lost: %.1fs.", cc, cc * CACHE_CLEAR_SECONDS)),
-        F.when(wc > 5, F.format_string("High number of memory warnings (%d). The system is near its limit.", wc)),
-        F.when(fw > 0, F.format_string("Detected %d high-fragmentation events. Memory is available but fragmented.", fw)),
-        F.when(oom > 0, F.lit("Configuration led to OOM events.")),
+        F.when(oom > max_retries, F.format_string(OOM_FAILED, oom, F.lit(max_retries)))
+        .when(oom > 0, F.format_string(OOM_RECOVERED, oom)),
+        F.when(cc > 10, F.format_string(CACHE_LINE, cc, cc * CACHE_CLEAR_SECONDS)),
+        F.when(wc > 5, F.format_string(WARN_LINE, wc)),
+        F.when(fw > 0, F.format_string(FRAG_LINE, fw)),
+        F.when(oom > 0, F.lit(CONFIG_LINE)),
     )
     return health.select(*by, F.posexplode(lines).alias("pos", "message")).where(F.col("message").isNotNull())
 

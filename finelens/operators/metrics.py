@@ -75,7 +75,10 @@ def _fmt(pattern: str, x: Column) -> Column:
 
 
 def verdict(key: Column, tr: dict[str, Column]) -> tuple[Column, Column]:
-    """(status, verdict) of a metric from its trend; dispatch by key substring in order."""
+    """(status, verdict) of a metric from its trend; dispatch by key substring in order.
+
+    The verdict texts and the order of the families are fixed values: both must equal the reference's.
+    """
     k = F.lower(key)
     d = tr["direction"]
     first, last, mn, mx, ch = tr["first"], tr["last"], tr["min_val"], tr["max_val"], tr["change_pct"]
