@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finelens.operators import memory as MEM
 from finelens.operators import records as R
 from finelens.plans.registry import job
 from finelens.plans.runs import TREE_SQL, EXP_SQL, experiment_runs, run_tree
@@ -161,3 +162,34 @@ FROM exp LEFT JOIN best USING (experiment)""")
 def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of an experiment beside the experiment's best run."""
     return R.compare_with_best(experiment_runs(run_tree(Tables(spark, sf_dir))), "experiment", "train_loss")
+
+
+#: Cards of the stand-in runs (by run % 10) and their memory.
+CARDS = (
+    ("NVIDIA A100-SXM4", 81920), ("NVIDIA RTX A5000", 24576), ("GeForce RTX 4090", 24576), ("GeForce RTX 4070 Ti", 12288),
+    ("GeForce RTX 3060 Ti", 8192), ("GeForce RTX 3060", 12288), ("Unnamed", 49152), ("Unnamed", 16384), ("Unnamed", 8192), ("Unnamed", 6144),
+)
+CARD_SQL = "[" + ", ".join(f"{{'n': '{n}', 'mb': {mb}}}" for n, mb in CARDS) + "]"
+
+
+@job("memory_level", sql=f"""WITH p AS (SELECT user_id AS run_id, event_id AS step, {CARD_SQL}[CAST(user_id % 10 AS INT) + 1] AS c, event_id % 101 AS pct FROM events),
+q AS (SELECT run_id, step, c.n AS gpu_name, c.mb AS total_mb, c.mb * pct / 100.0::DOUBLE AS used_mb,
+  CASE run_id % 10 WHEN 0 THEN 'datacenter' WHEN 1 THEN 'professional' WHEN 2 THEN 'consumer_high' WHEN 3 THEN 'consumer_mid'
+    WHEN 4 THEN 'consumer_low' WHEN 5 THEN 'minimal' WHEN 6 THEN 'datacenter' WHEN 7 THEN 'consumer_mid' WHEN 8 THEN 'consumer_low'
+    ELSE 'minimal' END AS tier FROM p),
+u AS (SELECT *, used_mb / total_mb * 100 AS utilization_percent FROM q)
+SELECT run_id, step, tier, round(utilization_percent, 6) AS utilization_percent, CASE
+  WHEN utilization_percent > CASE tier WHEN 'datacenter' THEN 95.0 WHEN 'professional' THEN 92.0 WHEN 'minimal' THEN 92.0 ELSE 90.0 END THEN 'critical'
+  WHEN utilization_percent > CASE tier WHEN 'datacenter' THEN 85.0 WHEN 'professional' THEN 82.0 WHEN 'minimal' THEN 85.0 ELSE 80.0 END THEN 'warning'
+  ELSE 'ok' END AS level FROM u""")
+def memory_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory points of every run against the alarm levels of its card's tier."""
+    e = Tables(spark, sf_dir).events
+    cards = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(mb).alias("mb")) for n, mb in CARDS])
+    card = F.get(cards, (F.col("user_id") % 10).cast("int"))
+    points = e.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), card["n"].alias("gpu_name"), card["mb"].alias("total_mb"),
+        (card["mb"] * (F.col("event_id") % 101) / F.lit(100.0)).alias("used_mb"),
+    )
+    out = MEM.memory_levels(points)
+    return out.select("run_id", "step", "tier", F.round("utilization_percent", 6).alias("utilization_percent"), "level")

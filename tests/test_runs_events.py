@@ -69,3 +69,47 @@ def test_error_groups_without_bound_is_the_long_table(spark):
     df = spark.createDataFrame([("d", "e", i) for i in range(12)] + [("d", "f", 1)], "dataset string, error_type string, row_idx long")
     got = C.error_groups(df, ["dataset"], max_examples=-1)
     assert got.count() == 13 and got.where("error_type = 'e'").select("total_count").distinct().collect()[0][0] == 12
+
+
+def test_gpu_tier_by_name_then_by_memory(spark):
+    from finelens.operators import memory as MEM
+
+    cards = [("NVIDIA H100", 1), ("GeForce RTX 3060 Ti", 99999), ("RTX 3060", 99999), ("GeForce RTX 4070 Ti", 1), ("?", 40960), ("?", 24576), ("?", 12288), ("?", 8192), ("?", 8191)]
+    df = spark.createDataFrame([(*c, 0.9 * c[1]) for c in cards], "gpu_name string, total_mb int, used_mb double")
+    got = {(r["gpu_name"], r["total_mb"]): (r["tier"], r["level"]) for r in MEM.memory_levels(df).collect()}
+    tiers = [got[c][0] for c in cards]
+    assert tiers == ["datacenter", "consumer_low", "minimal", "consumer_mid", "datacenter", "consumer_high", "consumer_mid", "consumer_low", "minimal"]
+    assert got["RTX 3060", 99999][1] == "warning"
+
+
+def test_broken_documents_keep_their_place(spark):
+    from finelens.operators import records as REC
+
+    state = '{"schema_version": 1, "logical_run_id": "a", "pipeline_status": "completed", "attempts": 2}'
+    docs = [("a", state), ("b", state[:20]), ("c", state.replace("1,", "7,", 1)), ("d", '{"schema_version": 1}'), ("e", None), ("f", "[1]")]
+    df = spark.createDataFrame(docs, "run_id string, doc string")
+    got = {r["run_id"]: (r["status"], r["attempts"], r["error"] is None) for r in REC.run_states(df).collect()}
+    assert got["a"] == ("completed", 2, True)
+    assert all(got[k] == ("unknown", 0, False) for k in "bcdef")
+    events = spark.createDataFrame([("x", '{"events": [{"seq": 1, "event_type": "info", "value": 2.5}]}'), ("y", '{"events": [{"se'), ("z", "{}")], "run_id string, doc string")
+    assert [(r["run_id"], r["seq"], r["value"]) for r in REC.events_of(events).collect()] == [("x", 1, 2.5)]
+    env = spark.createDataFrame([("r", "s1", '{"stage": "s1", "status": "failed", "duration_seconds": 3}'), ("r", "s2", "{"), ("r", "s3", "{")], "run_id string, stage_name string, doc string")
+    row = REC.stage_envelopes(env).collect()[0]
+    assert (row["stages"], row["failed"], row["total_seconds"], row["missing_artifacts"]) == (1, 1, 3.0, "s2,s3")
+
+
+def test_strategy_chains(spark):
+    from finelens.operators import records as REC
+
+    chains = {
+        1: [("sft", "a", False), ("dpo", "b", False)], 2: [("cot", "a", False), ("cpt", "b", False)], 3: [("cpt", None, False), ("sft", "default", False)],
+        4: [("sft", "a", False), ("dpo", "a", True)], 5: [("sft", "a", False), (None, "a", False)],
+    }
+    rows = [(c, i, *p) for c, ps in chains.items() for i, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "chain int, pos int, strategy string, dataset string, cached boolean")
+    got = {r["chain"]: tuple(r)[1:] for r in REC.strategy_chain_check(df).collect()}
+    assert got[1] == (2, False, 0, None, None)
+    assert got[2] == (2, True, 1, None, None)
+    assert got[3] == (2, False, 0, REC.CHAIN_DUPLICATE, "default")
+    assert got[4] == (2, False, 0, None, None)
+    assert got[5] == (2, False, 0, REC.CHAIN_NONE, None)
