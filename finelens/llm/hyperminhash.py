@@ -1,6 +1,6 @@
 """Near-duplicate detection with HyperMinHash registers.
 
-A document's set of distinct two-word shingles is hashed once; the top bits
+A document's set of distinct shingles (two words by default, ``width``) is hashed once; the top bits
 choose one of ``K`` buckets, and of the smallest remainder in each bucket only
 the number of leading zeros (6 bits) and the next ``R`` = 10 mantissa bits are
 stored.  Empty buckets of sparse sets borrow from a filled bucket picked by a
@@ -23,7 +23,7 @@ Work, without all pairs of a group:
 Defined results
 ---------------
 * null or blank text: empty set, linked with nothing, its own component;
-* a single word is one shingle of its own; repeated rows share a component;
+* a text of fewer words than a shingle is one shingle of its own; repeated rows share a component;
 * rows of one doc_id are one document: a link of any of them holds for all;
 * rows without doc_id join the class of their text but never name one; a class
   of such rows alone has a null component and is not kept;
@@ -33,6 +33,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
@@ -46,6 +47,8 @@ from finelens.llm.common import stored
 
 K, R = 256, 10
 BANDS, ROWS = 42, 6
+#: Words of a shingle, where the caller names no other width.
+WIDTH = 2
 #: A link: 100 * |A and B| >= LINK_PCT * |A or B|.
 LINK_PCT = 80
 #: The estimate rules a pair out only beyond so many standard errors.
@@ -64,16 +67,26 @@ _RANK = np.argsort(np.random.default_rng(20240229).random((K, K)), axis=1).argso
 SKETCH_SCHEMA = "doc_id long, n_shingles long, digest binary, regs binary"
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of every row's text (A-Z lower-cased)."""
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the ``width``-word shingles of every row's text (A-Z lower-cased)."""
     data, offsets = W.text_bytes(column)
     for _, _, raw, offs in W.slices(data, offsets):
         low = W.LOWER[raw]
         starts, ends, at = W.bounds(low, offs)
         h = W.span_hashes(W.prefix(low), starts, ends)
-        pair = W.mix(h[:-1] * np.uint64(0x9FB21C651E98DF25) + (h[1:] ^ np.uint64(0x3C79AC492BA7B653))) if len(h) > 1 else h[:0]
+        spans = _spans(h, width)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            yield np.unique(pair[a : b - 1]) if b - a > 1 else W.mix(h[a:b] + np.uint64(0x1C69B3F74AC4AE35))
+            short = b - a < width
+            yield W.mix(_spans(h[a:b], b - a) + np.uint64(0x1C69B3F74AC4AE35)) if short else np.unique(spans[a : b - width + 1])
+
+
+def _spans(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` neighbours of ``h``; none where there are fewer."""
+    n = max(len(h) - width + 1, 0)
+    out = h[:n]
+    for k in range(1, width):
+        out = W.mix(out * np.uint64(0x9FB21C651E98DF25) + (h[k : k + n] ^ np.uint64(0x3C79AC492BA7B653)))
+    return out
 
 
 def registers(u: np.ndarray) -> np.ndarray:
@@ -136,10 +149,10 @@ def small_may_link(one: bytes, others: list[bytes]) -> np.ndarray:
     return 100 * both >= LINK_PCT * (len(s) + sizes - both)
 
 
-def _sketch(batches):
+def _sketch(batches, width):
     for b in batches:
         n, digest, regs = [], [], []
-        for u in shingle_sets(b.column(1)):
+        for u in shingle_sets(b.column(1), width):
             n.append(len(u))
             digest.append(blake2b(u.tobytes(), digest_size=16).digest())
             regs.append(registers(u).tobytes() if len(u) else None)
@@ -149,19 +162,19 @@ def _sketch(batches):
         )
 
 
-def _small(batches):
+def _small(batches, width):
     """(node, small) of (node, text): top halves of a small set's hashes, null for a larger set."""
     for b in batches:
         tops = [
             (u >> np.uint64(32)).astype(np.uint32).tobytes() if 0 < len(u) <= SMALL else None
-            for u in shingle_sets(b.column(1))
+            for u in shingle_sets(b.column(1), width)
         ]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tops, pa.binary())], ["node", "small"])
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_sketch, SKETCH_SCHEMA)
+    return rows.mapInArrow(partial(_sketch, width=width), SKETCH_SCHEMA)
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -194,9 +207,9 @@ def _estimated(batches):
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
 
-def _sets(batches):
+def _sets(batches, width):
     for b in batches:
-        sets = list(shingle_sets(b.column(1)))
+        sets = list(shingle_sets(b.column(1), width))
         offs = np.r_[0, np.cumsum([len(u) for u in sets])].astype(np.int32)
         flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -283,14 +296,14 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Those of the stored ``pairs`` (a, b) whose full shingle sets meet the threshold.
 
     ``docs`` holds (node, text) of the class representatives; only the texts
     that some pair names are hashed again.
     """
     named = stored(ends_of(pairs), "named")
-    sets = stored(narrowed(docs, named).mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    sets = stored(narrowed(docs, named).mapInArrow(partial(_sets, width=width), "node long, shingles array<long>"), "sets")
     sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -302,9 +315,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    sk = stored(sketches(docs, id_col, text_col), "sketches")
+    sk = stored(sketches(docs, id_col, text_col, width), "sketches")
     nodes = (
         sk.where("n_shingles > 0")
         .groupBy("digest")
@@ -323,10 +336,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ra, rb = (wide.select(F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in ("n", "regs")]) for x in "ab")
     star = star.join(ra, "a").join(rb, "b").select("a", "b", "na", "nb", "ra", "rb")
     star = star.mapInArrow(_estimated, "a long, b long")
-    links = stored(verified(stored(star, "star-estimated"), texts).distinct(), "star-links")
+    links = stored(verified(stored(star, "star-estimated"), texts, width).distinct(), "star-links")
     comps = components(links)
 
-    more = residual_links(rows, reps, comps, texts)
+    more = residual_links(rows, reps, comps, texts, width)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     named = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component"))
@@ -338,7 +351,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def residual_links(rows: DataFrame, reps: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+def residual_links(rows: DataFrame, reps: DataFrame, comps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Verified links between members of one bucket that lie in different components.
 
     (Pairs with the hub are settled.)  Every bucket is cut into blocks of at
@@ -371,21 +384,21 @@ def residual_links(rows: DataFrame, reps: DataFrame, comps: DataFrame, texts: Da
         F.pmod(h, F.col("all_blocks")).alias("q"),
     )
     asked = stored(spread.select("node").distinct(), "residual-nodes")
-    small = narrowed(texts, asked).mapInArrow(_small, "node long, small binary")
+    small = narrowed(texts, asked).mapInArrow(partial(_small, width=width), "node long, small binary")
     # an id on several rows may have several sets; the estimate alone judges it
     small = small.groupBy("node").agg(F.when(F.count("*") == 1, F.any_value("small")).alias("small"))
     wide = stored(narrowed(reps, asked).join(small, "node"), "residual-sketches")
     members = left.unionByName(right).join(wide, "node")
     pairs = members.groupBy("key", "p", "q").applyInArrow(_residual_pairs, T.StructType().add("a", "long").add("b", "long"))
     pairs = stored(pairs.distinct(), "residual-pairs")
-    return stored(verified(pairs, texts).distinct(), "residual-links")
+    return stored(verified(pairs, texts, width).distinct(), "residual-links")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id.
 
     Rows without an id stay (they cannot name a component); of repeated rows of
     the kept id all stay, as exact dedup has taken them before.
     """
-    gone = stored(near_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select("doc_id").distinct(), "near-copies")
+    gone = stored(near_groups(docs, id_col, text_col, width).where("not kept and doc_id is not null").select("doc_id").distinct(), "near-copies")
     return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")

@@ -94,6 +94,23 @@ def test_near_groups_match_all_pairs(spark, near_texts):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def wide_shingles(text, width):
+    w = brute.WORD.findall((text or "").translate(brute.LOWER))
+    return frozenset(zip(*[w[k:] for k in range(width)])) if len(w) >= width else frozenset([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize("width", [1, 5])
+def test_near_groups_of_other_widths_match_all_pairs(spark, near_texts, monkeypatch, width):
+    texts = near_texts | {14: "four words stand here", 15: "FOUR words stand  here", 17: "four words stand", 18: "words four stand here"}
+    two = brute.near_components(texts)
+    monkeypatch.setattr(brute, "shingles", lambda t: wide_shingles(t, width))
+    want = brute.near_components(texts)
+    assert want != two
+    got = {r["doc_id"]: r for r in hyperminhash.near_groups(table(spark, list(texts.items())), width=width).collect()}
+    assert {d: r["component_id"] for d, r in got.items()} == want
+    assert all(got[d]["n_shingles"] == len(wide_shingles(t, width)) for d, t in texts.items())
+
+
 def test_near_groups_nulls_and_repeated_rows(spark):
     t = "one two three four five six"
     rows = [(4, t), (4, t), (None, t), (2, None), (2, None), (None, "nobody else"), (7, t + " seven")]
