@@ -24,9 +24,10 @@ Defined results
 ---------------
 * null or blank text: empty set, linked with nothing, its own component;
 * a text of fewer words than a shingle is one shingle of its own; repeated rows share a component;
-* rows of one doc_id are one document: a link of any of them holds for all;
-* rows without doc_id join the class of their text but never name one; a class
-  of such rows alone has a null component and is not kept;
+* ``near_groups``: rows of one doc_id are one document: a link of any of them
+  holds for all; rows without doc_id join the class of their text but never name
+  one; a class of such rows alone has a null component and is not kept;
+* ``keep_one_of_each`` works on texts, told apart by 64-bit hashes, instead of ids;
 * an empty table gives an empty result; only the id and text columns are read.
 """
 
@@ -64,7 +65,7 @@ BLOCK = 4096
 #: rank[j, b]: the order in which empty bucket j tries the buckets b.
 _RANK = np.argsort(np.random.default_rng(20240229).random((K, K)), axis=1).argsort(axis=1).astype(np.uint8)
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, digest binary, regs binary"
+SKETCH_SCHEMA = "node long, n_shingles long, digest binary, regs binary"
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -158,7 +159,7 @@ def _sketch(batches, width):
             regs.append(registers(u).tobytes() if len(u) else None)
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())],
-            ["doc_id", "n_shingles", "digest", "regs"],
+            ["node", "n_shingles", "digest", "regs"],
         )
 
 
@@ -172,9 +173,9 @@ def _small(batches, width):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tops, pa.binary())], ["node", "small"])
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_sketch, width=width), SKETCH_SCHEMA)
+def sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(node, n_shingles, digest, regs) of ``texts`` (node, text)."""
+    return texts.mapInArrow(partial(_sketch, width=width), SKETCH_SCHEMA)
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -315,13 +316,16 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    sk = stored(sketches(docs, id_col, text_col, width), "sketches")
+def linked(sk: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(digest, component) of the non-empty sets of ``sk`` (node, n_shingles, digest, regs).
+
+    ``texts`` holds (node, text); a component is named by its smallest node,
+    and rows without a node join the class of their text but never name one.
+    """
     nodes = (
         sk.where("n_shingles > 0")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("regs").alias("regs"))
+        .agg(F.min("node").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("regs").alias("regs"))
     )
     nodes = stored(nodes, "classes")
     reps = nodes.where("node is not null").select("node", "n", "regs")
@@ -329,7 +333,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     rows = stored(bands.join(hubs, "key"), "buckets")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     star = rows.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     star = stored(star, "star-pairs")
     wide = narrowed(reps, stored(ends_of(star), "star-nodes"))
@@ -342,8 +345,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = residual_links(rows, reps, comps, texts, width)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
-    named = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component"))
-    out = sk.join(named, "digest", "left")
+    return nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    sk = stored(sketches(texts, width), "sketches")
+    out = sk.join(linked(sk, texts, width), "digest", "left").withColumnRenamed("node", "doc_id")
     return out.select(
         "doc_id",
         "n_shingles",
@@ -395,10 +404,25 @@ def residual_links(rows: DataFrame, reps: DataFrame, comps: DataFrame, texts: Da
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id.
+    """``docs`` with one row of each component, the one with the smallest id; rows without a word all stay.
 
-    Rows without an id stay (they cannot name a component); of repeated rows of
-    the kept id all stay, as exact dedup has taken them before.
+    Rows are linked by their texts, never by their ids: rows that share an id are
+    judged one by one, and rows without an id, which come after all others, like any
+    other.  Of rows that share the smallest id, the text with the smallest 64-bit hash stays.
     """
-    gone = stored(near_groups(docs, id_col, text_col, width).where("not kept and doc_id is not null").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    keyed = docs.withColumn("__node", F.xxhash64(F.col(text_col)))
+    texts = keyed.select(F.col("__node").alias("node"), F.col(text_col).alias("text"))
+    sk = stored(sketches(texts, width), "sketches")
+    parts = sk.where("n_shingles > 0").join(linked(sk, texts, width), "digest").select("node", "component").distinct()
+    ids = keyed.groupBy(F.col("__node").alias("node"), F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    rows = stored(ids.join(parts, "node"), "near-rows")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "node")
+    first = rows.groupBy("component").agg(F.min(order).alias("first"), F.sum("n").alias("size")).where("size > 1")
+    judged = rows.join(first.drop("size"), "component").withColumn("copy", order != F.col("first"))
+    judged = stored(judged.where("copy or n > 1").select(F.struct("node", "id", "copy").alias("__j")), "near-copies")
+    hit = (F.col("__node") == F.col("__j.node")) & F.col(id_col).eqNullSafe(F.col("__j.id"))
+    out = keyed.join(judged, hit, "left_anti")
+    repeated = judged.where("not __j.copy")
+    if not repeated.isEmpty():  # repeated rows of a kept id and text: one of them
+        out = out.unionByName(keyed.join(repeated, hit, "left_semi").dropDuplicates(["__node", id_col]))
+    return out.drop("__node")

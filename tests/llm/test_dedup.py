@@ -120,6 +120,31 @@ def test_near_groups_nulls_and_repeated_rows(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_keep_one_of_each_judges_rows_not_ids(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    near = [base + f" {x}" for x in ("alpha", "beta", "gamma", "delta", "epsilon")]
+    alone = " ".join(f"u{i}" for i in range(30))
+    nobody = " ".join(f"v{i}" for i in range(30))
+    rows = [
+        (1, near[0]), (1, near[1]),  # the kept id has two near-equal texts: one stays
+        (4, near[2]), (4, alone),  # a copy, and a text of its own under the same id
+        (None, near[3]), (None, near[4]),  # copies without an id
+        (None, nobody), (None, nobody + " end"), (None, nobody),  # near copies on rows without an id only
+        (6, "lone text of six words here"), (6, "lone text of six words here"), (7, None), (None, " "),
+    ]
+    docs = table(spark, rows)
+    out = hyperminhash.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len([r for r in got if r[0] == 1]) == 1 and not any(t in near for d, t in got if d != 1)
+    assert [t for d, t in got if d == 4] == [alone]
+    assert len([t for d, t in got if t and t.startswith(nobody)]) == 1
+    assert got.count((6, rows[-3][1])) == 1 and (7, None) in got and (None, " ") in got
+    assert len(got) == 6
+    again = hyperminhash.keep_one_of_each(docs.where("doc_id = 9"))
+    assert again.count() == 0
+
+
 def test_registers_estimate_and_bound():
     rng = np.random.default_rng(3)
     for n in (40, 600, 5000):
