@@ -159,12 +159,19 @@ def surrogate(key: str) -> Column:
     canon, kind = F.col("canon"), F.col("kind")
     seed = F.concat_ws("|", F.lit(key), kind, F.col("gender"), F.col("attempt").cast("string"), canon)
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
+    longer = F.floor(F.col("attempt") / 4).cast("int")
 
     def by_kind(h: Column) -> Column:
+        # short e-mail names are used up by a large corpus: later attempts add letters
+        more = F.when(longer < 1, F.lit("")).otherwise(
+            F.array_join(
+                F.transform(F.sequence(F.lit(1), F.greatest(longer, F.lit(1))), lambda i: pick("abcdefghijklmnopqrstuvwxyz", byte_at(h, F.length(canon) + i))), ""
+            )
+        )
         octet = lambda i: (byte_at(h, F.lit(2 * i)) * 256 + byte_at(h, F.lit(2 * i + 1))) % 254 + 1
         return (
-            F.when(kind == "email", F.concat(scrambled(F.substring_index(canon, "@", 1), h, F.lit(False)), F.lit("@"), F.substring_index(canon, "@", -1)))
-            .when(kind == "domain", F.concat(scrambled(F.regexp_replace(canon, r"\.[^.]+$", ""), h, F.lit(False)), F.lit(".example")))
+            F.when(kind == "email", F.concat(scrambled(F.substring_index(canon, "@", 1), h, F.lit(False)), more, F.lit("@"), F.substring_index(canon, "@", -1)))
+            .when(kind == "domain", F.concat(scrambled(F.regexp_replace(canon, r"\.[^.]+$", ""), h, F.lit(False)), more, F.lit(".example")))
             .when(kind == "card", card_surrogate(canon, h))
             .when(kind == "ip", F.concat_ws(".", *[octet(i).cast("string") for i in range(4)]))
             .when(kind == "iban", F.concat(F.substring(canon, 1, 2), scrambled(F.expr("substring(canon, 3)"), h, F.lit(False))))
@@ -188,7 +195,7 @@ def surrogate(key: str) -> Column:
             .when(kind.isin("given", "surname"), name_surrogate(h, F.col("gender"), cyrillic, kind == "given", F.col("attempt")))
         )
 
-    return let(stream(seed, F.greatest(F.length(canon) + 1, F.lit(48))), by_kind)
+    return let(stream(seed, F.greatest(F.length(canon) + longer + 1, F.lit(48))), by_kind)
 
 
 def entities_of(mentions: DataFrame) -> DataFrame:

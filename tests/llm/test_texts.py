@@ -82,6 +82,27 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert not {r["surrogate"] for r in got} & {str(i) for i in range(150)}
 
 
+def test_short_emails_never_run_out_of_surrogates(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{c}@x.com" for c in letters] + [f"{c}@{c}.{tld}" for c in letters for tld in ("com", "org")] + ["_@y.net", "+@y.net"]
+    ents = P.entities_of(spark.createDataFrame([(m,) for m in mails], "mention string"))
+    real = {(r["kind"], r["canon"]) for r in ents.collect()}
+    draws = []
+
+    def bounded(*args, made=P.stored):
+        draws.append(args)
+        assert len(draws) < 40, "the draws do not end"
+        return made(*args)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(P, "stored", bounded)
+        got = {(r["kind"], r["canon"]): r["surrogate"] for r in P.assign(ents, "k").collect()}
+    assert set(got) == real
+    assert len({(k, s) for (k, _), s in got.items()}) == len(got)
+    assert not {(k, s) for (k, _), s in got.items()} & real
+    assert all(re.fullmatch(r"[a-z_+]{2,4}@x\.com", got["email", f"{c}@x.com"]) for c in letters)
+
+
 def test_escapes_are_reversible(spark):
     rng = random.Random(1)
     bits = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "\\", "<", "[", "\n", "s>", "/INST]", "x", "<|im_end|"]
