@@ -16,6 +16,8 @@ one row on one side and splittable on the other.
 
 Defined results
 ---------------
+* persons are found behind a listed title or by a listed given name only; an
+  IPv6 address gets a surrogate in 2001:db8::/32, its spellings one surrogate;
 * null text stays null, empty text empty, both without mentions;
 * repeated rows and rows with null ids are rewritten one by one;
 * all columns of the input are kept, whatever their names;
@@ -42,13 +44,23 @@ FEMALE_NAMES = "Mary|Patricia|Jennifer|Linda|Elizabeth|Susan|Sarah|Ursula|Sabine
 _L = r"\p{L}"
 # starts of a run only, possessive: linear on a text that is one long run
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+# eight groups, or :: after a first group of three or four digits (1::2 is a slice, ::1 and fe80:: are nobody's);
+# a dotted tail is left to IPV4
+IPV6 = (
+    rf"(?<![\p{{L}}\p{{N}}.])(?<!\b{_HEX}:)(?<!::)"
+    rf"(?:(?:{_HEX}:){{7}}{_HEX}|[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,6}}::{_HEX}(?::{_HEX}){{0,5}})"
+    r"(?![\p{L}\p{N}]|:[0-9A-Fa-f:]|\.\d)"
+)
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 PHONE = (
     r"\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,3}(?!\d)"
     r"|(?:\(\d{3}\) ?|(?<![\d\-.])\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)"
+    # with blanks only as US numbers can be: area and exchange start with 2 to 9, no number before
+    r"|(?:\([2-9]\d{2}\) ?|(?<![\d\-.])(?<!\d\d )[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?!\d)"
 )
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-CARD = r"(?<!\d)\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}(?!\d)"
+CARD = r"(?<!\d)\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}(?!\d)|(?<!\d)\d{4}[ \-]\d{6}[ \-]\d{4,5}(?!\d)"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 SECRET_HEAD = r"""(?i:api[_\-]?key|access[_\-]?key|secret|token|passwd|password)["']?\s{0,3}[:=]\s{0,3}["']?"""
 SECRET = SECRET_HEAD + r"[A-Za-z0-9_\-+/]{12,}"
@@ -66,12 +78,12 @@ PATTERNS = {
     "card": CARD,
     "phone": PHONE,
     "ssn": SSN,
-    "ip": IPV4,
+    "ip": f"{IPV6}|{IPV4}",
     "person": f"{PERSON_TITLED}|{PERSON_NAMED}",
 }
 PII = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every mention holds; texts without it skip the detector.
-HINT = rf"[0-9@]|(?i:secret|token|passw|key)|(?<!{_L})(?:{_TITLES}|{MALE_NAMES}|{FEMALE_NAMES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|::|(?i:secret|token|passw|key)|(?<!{_L})(?:{_TITLES}|{MALE_NAMES}|{FEMALE_NAMES})\.? \p{{Lu}}"
 
 _CONSONANTS, _VOWELS = "bdfgklmnprstv", "aeiou"
 _CYR_CONSONANTS, _CYR_VOWELS = "бвдгклмнпрст", "аеиоу"
@@ -173,6 +185,10 @@ def surrogate(key: str) -> Column:
             F.when(kind == "email", F.concat(scrambled(F.substring_index(canon, "@", 1), h, F.lit(False)), more, F.lit("@"), F.substring_index(canon, "@", -1)))
             .when(kind == "domain", F.concat(scrambled(F.regexp_replace(canon, r"\.[^.]+$", ""), h, F.lit(False)), more, F.lit(".example")))
             .when(kind == "card", card_surrogate(canon, h))
+            .when(
+                (kind == "ip") & canon.contains(":"),
+                F.concat_ws(":", F.lit("2001:db8"), *[F.concat(*[pick("123456789abcdef", byte_at(h, F.lit(4 * i + k))) for k in range(4)]) for i in range(6)]),
+            )
             .when(kind == "ip", F.concat_ws(".", *[octet(i).cast("string") for i in range(4)]))
             .when(kind == "iban", F.concat(F.substring(canon, 1, 2), scrambled(F.expr("substring(canon, 3)"), h, F.lit(False))))
             .when(kind == "secret", scrambled(canon, h, canon.rlike("^[0-9a-fA-F]+$")))
@@ -198,6 +214,15 @@ def surrogate(key: str) -> Column:
     return let(stream(seed, F.greatest(F.length(canon) + longer + 1, F.lit(48))), by_kind)
 
 
+def ipv6_groups(mention: Column) -> Column:
+    """The eight groups of an IPv6 address, lower case, without leading zeros."""
+    sides = F.split(F.lower(mention), "::")
+    groups = lambda side: F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
+    head, tail = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(head) - F.size(tail), F.lit(0)))
+    return F.array_join(F.transform(F.concat(head, zeros, tail), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
 def entities_of(mentions: DataFrame) -> DataFrame:
     """(mention, type, part, kind, canon, gender) of the distinct mentions.
 
@@ -233,7 +258,7 @@ def entities_of(mentions: DataFrame) -> DataFrame:
         .when(F.col("type") == "phone", F.array(part("phone", F.when(code != "", F.concat(code, F.lit("~"), local_digits)).otherwise(digits))))
         .when(F.col("type") == "card", F.array(part("card", digits)))
         .when(F.col("type") == "ssn", F.array(part("ssn", digits)))
-        .when(F.col("type") == "ip", F.array(part("ip", m)))
+        .when(F.col("type") == "ip", F.array(part("ip", F.when(m.contains(":"), ipv6_groups(m)).otherwise(m))))
         .when(F.col("type") == "iban", F.array(part("iban", F.regexp_replace(m, " ", ""))))
         .when(F.col("type") == "secret", F.array(part("secret", F.regexp_replace(m, f"^{SECRET_HEAD}", ""))))
     )

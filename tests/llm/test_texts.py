@@ -82,6 +82,34 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert not {r["surrogate"] for r in got} & {str(i) for i in range(150)}
 
 
+LAYOUTS = {
+    "phone": ["415 555 2671", "(415) 555 2671", "415 555-2671", "(415) 555-2671", "415-555-2671"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "378282246310005"],
+    "ip": ["2001:db8:85a3::8a2e:370:7334", "2001:0DB8:85A3:0:0:8A2E:0370:7334", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"],
+}
+
+
+def test_layouts_of_one_entity_share_a_surrogate(spark):
+    shown = {k: [f"see {m}. or ({m}), node:{m}: end" if k == "ip" else f"see {m}. or [{m}], end" for m in ms] for k, ms in LAYOUTS.items()}
+    rows = [(i, t) for i, t in enumerate(t for ts in shown.values() for t in ts)]
+    plain = [
+        "x[100:200:2] a[1::2] std::vector 12:34:56 00:1a:2b:3c:4d:5e add::", "table 100 200 3000 and 12 345 678 9012",
+        "fe80:: and 43:51:43:a1:b5:fc:8b:b7:0a:3a:a9:b1:0f:66:73:a8 and 1 2 3", "on 2024 123456 78 in 1999",
+    ]
+    out = {r["doc_id"]: r for r in P.replaced(table(spark, rows + [(100 + i, t) for i, t in enumerate(plain)])).collect()}
+    i = 0
+    for kind, texts in shown.items():
+        seen = set()
+        for m in LAYOUTS[kind]:
+            r = out[i]
+            assert m not in r["text"] and {s["type"] for s in r["__pii"]} == {kind}, r
+            assert len(r["__pii"]) == (3 if kind == "ip" else 2), r
+            seen |= {re.sub(r"[^0-9a-z:]", "", r["text"][s["start"] : s["start"] + s["length"]]) for s in r["__pii"]}
+            i += 1
+        assert len(seen) == 1, seen
+    assert [out[100 + k]["text"] for k in range(len(plain))] == plain
+
+
 def test_short_emails_never_run_out_of_surrogates(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     mails = [f"{c}@x.com" for c in letters] + [f"{c}@{c}.{tld}" for c in letters for tld in ("com", "org")] + ["_@y.net", "+@y.net"]
