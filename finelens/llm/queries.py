@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finelens.llm import (
+    best_position,
     exact_dedup,
     hyperminhash,
+    kd_shards,
     merge_replay,
     packing,
+    periodic_runs,
     pii_surrogates,
     quality_rules,
     repair,
@@ -192,3 +195,113 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc_derivatives.responses(read_table(spark, sf_dir, "pages"))
     return warc_derivatives.checked(warc_derivatives.round_trip(rows))
+
+
+#: CRC-32 of UTF-8 bytes by its table, then four levels of weighted splits.
+KD_SQL = r"""
+WITH RECURSIVE crc(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8
+),
+tab AS (SELECT list(c ORDER BY n) AS t FROM crc WHERE k = 8),
+p0 AS (
+  SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT,
+                   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc,
+    ('0x' || rpad(substr(hex(encode(coalesce(lang, ''))), 1, 12), 12, '0'))::BIGINT AS d0,
+    ('0x' || rpad(substr(hex(encode(coalesce(source, ''))), 1, 12), 12, '0'))::BIGINT AS d1,
+    size AS d2, 0 AS shard
+  FROM documents, tab
+),
+g AS (
+  SELECT greatest(1, max(d0) - min(d0)) AS g0, greatest(1, max(d1) - min(d1)) AS g1, greatest(1, max(d2) - min(d2)) AS g2
+  FROM p0
+),
+@LEVELS@
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY id, crc) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM p@DEPTH@
+"""
+
+KD_LEVEL = """
+r@L@ AS (
+  SELECT p.*, sum(size) OVER w AS bytes, (max(d0) OVER w - min(d0) OVER w)::DOUBLE / g0 AS w0,
+         (max(d1) OVER w - min(d1) OVER w)::DOUBLE / g1 AS w1, (max(d2) OVER w - min(d2) OVER w)::DOUBLE / g2 AS w2
+  FROM p@L@ AS p, g WINDOW w AS (PARTITION BY shard)
+),
+c@L@ AS (SELECT *, CASE WHEN w0 >= w1 AND w0 >= w2 THEN d0 WHEN w1 >= w2 THEN d1 ELSE d2 END AS c FROM r@L@),
+s@L@ AS (
+  SELECT *, sum(size) OVER (PARTITION BY shard ORDER BY c, id, crc ROWS UNBOUNDED PRECEDING) - size AS before FROM c@L@
+),
+p@N@ AS (
+  SELECT doc_id, id, size, crc, d0, d1, d2,
+         shard + CASE WHEN 2 * (bytes * @HALF@ - before * @K@) >= size * @K@ THEN 0 ELSE @HALF@ END AS shard
+  FROM s@L@
+)"""
+
+
+def kd_sql(shards: int = kd_shards.SHARDS) -> str:
+    """The tree of ``shards`` (a power of two) leaves, level by level."""
+    depth = shards.bit_length() - 1
+    levels = [
+        KD_LEVEL.replace("@L@", str(i)).replace("@N@", str(i + 1)).replace("@K@", str(shards >> i)).replace("@HALF@", str(shards >> i + 1))
+        for i in range(depth)
+    ]
+    return KD_SQL.replace("@LEVELS@", ",".join(levels)).replace("@DEPTH@", str(depth))
+
+
+@query("op11_kd_shards", kd_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kd_shards.shard_rows(read_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.with_planted_period(read_table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(rows))
+
+
+BEST_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '@UPPER@', '@LOWER@'), '@TERM@') AS t FROM documents
+),
+stat AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM terms),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM terms) GROUP BY ALL),
+df AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, stat GROUP BY term, n_docs
+),
+q AS (
+  SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '@UPPER@', '@LOWER@'), '@TERM@')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY ALL
+),
+scored AS (
+  SELECT item_id, doc_id,
+         sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term), stat
+  GROUP BY ALL
+),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= @K@
+"""
+
+
+def best_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sql = BEST_SQL.replace("@UPPER@", upper).replace("@LOWER@", upper.lower()).replace("@K@", str(best_position.K))
+    return sql.replace("@TERM@", best_position.TERM.pattern)
+
+
+@query("op13_best_position", best_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.best_documents(read_table(spark, sf_dir, "benchmark"), read_table(spark, sf_dir, "documents"))
