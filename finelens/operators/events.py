@@ -35,6 +35,19 @@ CACHE_LINE = "Memory protection triggered %d times. Approximate time lost: %.1fs
 WARN_LINE = "High number of memory warnings (%d). The system is near its limit."
 FRAG_LINE = "Detected %d high-fragmentation events. Memory is available but fragmented."
 CONFIG_LINE = "Configuration led to OOM events."
+# issue lines of stages, artifacts, datasets and evaluators
+STAGE_FAILED, STAGE_INTERRUPTED = "Stage '%s' failed", "Stage '%s' was interrupted"
+EVENTS_ARTIFACT = "training_events.json"
+EVENTS_MISSING = (
+    "Training events (training_events.json) were not found in MLflow artifacts. "
+    "This may indicate network connectivity issues to the MLflow server during training. "
+    "Check: (1) MLflow is reachable at the configured tracking_uri from the remote PC, "
+    "(2) IP addresses in the configuration match the current network."
+)
+ARTIFACT_BROKEN = "Artifact could not be parsed: %s"
+DATASET_FAILED = "Dataset '%s': %d validation plugin(s) failed (%s)"
+DATASET_PARTIAL = "Dataset '%s': partial failure (%d/%d plugins failed: %s, below critical threshold of %d)"
+EVALUATOR_FAILED, EVALUATOR_NO_ERRORS = "Evaluation plugin '%s' failed: %s", "see metrics"
 
 
 def severity_cols(event_type: Column) -> list[Column]:
@@ -133,6 +146,80 @@ def memory_insights(health: DataFrame, by: list[str], max_retries: int = DEFAULT
     return health.select(*by, F.posexplode(lines).alias("pos", "message")).where(F.col("message").isNotNull())
 
 
+def _issue(run: str, severity: Column, message: Column, context: Column) -> list[Column]:
+    return [F.col(run), severity.alias("severity"), message.alias("message"), context.alias("context")]
+
+
+def metric_issues(verdicts: DataFrame, run: str = "run_id") -> DataFrame:
+    """BAD metric verdicts are errors, WARNING ones warnings."""
+    bad = verdicts.where(F.col("status").isin("BAD", "WARNING"))
+    severity = F.when(F.col("status") == "BAD", "ERROR").otherwise("WARN")
+    return bad.select(*_issue(run, severity, F.concat_ws(": ", "key", "verdict"), F.lit("Metrics")))
+
+
+def memory_issues(health: DataFrame, run: str = "run_id") -> DataFrame:
+    """The insight lines of the memory analysis, each a warning."""
+    return memory_insights(health, [run]).select(*_issue(run, F.lit("WARN"), F.col("message"), F.lit("Memory")))
+
+
+def stage_issues(envelopes: DataFrame, run: str = "run_id") -> DataFrame:
+    """A failed stage is an error with its own text where it has one, an interrupted one a warning.
+
+    ``envelopes``: run, stage, status, error.
+    """
+    stage, failed = F.col("stage"), F.col("status") == "failed"
+    own = F.when(F.col("error") != "", F.col("error"))
+    message = F.when(failed, F.coalesce(own, F.format_string(STAGE_FAILED, stage))).otherwise(F.format_string(STAGE_INTERRUPTED, stage))
+    rows = envelopes.where(F.col("status").isin("failed", "interrupted"))
+    return rows.select(*_issue(run, F.when(failed, "ERROR").otherwise("WARN"), message, stage))
+
+
+def artifact_issues(missing: DataFrame, run: str = "run_id") -> DataFrame:
+    """Training events that are not there, and artifacts that cannot be read.
+
+    ``missing``: run, artifact.  An artifact of a stage that did not run is none of them.
+    """
+    name = F.col("artifact")
+    message = F.when(name == EVENTS_ARTIFACT, EVENTS_MISSING).otherwise(F.format_string(ARTIFACT_BROKEN, name))
+    return missing.select(*_issue(run, F.lit("WARN"), message, F.lit("Report Generation")))
+
+
+def dataset_validation(checks: DataFrame, run: str = "run_id") -> DataFrame:
+    """Per (run, dataset): total, failed, critical, the failed checks' names by priority, status.
+
+    ``checks``: run, dataset, check_id, priority, passed, critical: one row a check, a handful a dataset.
+    """
+    rows = checks.groupBy(run, "dataset").agg(
+        F.count(F.lit(1)).cast("bigint").alias("total"),
+        F.count_if(~F.col("passed")).cast("bigint").alias("failed"),
+        F.max("critical").cast("bigint").alias("critical"),
+        F.array_sort(F.collect_list(F.when(~F.col("passed"), F.struct("priority", "check_id")))).alias("_names"),
+    )
+    names = F.array_join(F.transform("_names", lambda c: c["check_id"]), ", ")
+    status = F.when(F.col("failed") >= F.col("critical"), "failed").otherwise("passed")
+    return rows.select(run, "dataset", "total", "failed", "critical", names.alias("names"), status.alias("status"))
+
+
+def dataset_issues(validation: DataFrame, run: str = "run_id") -> DataFrame:
+    """Datasets that failed, and those with failures below the critical number."""
+    name, failed, names = F.col("dataset"), F.col("failed"), F.col("names")
+    message = F.when(F.col("status") == "failed", F.format_string(DATASET_FAILED, name, failed, names)).otherwise(
+        F.format_string(DATASET_PARTIAL, name, failed, F.col("total"), names, F.col("critical"))
+    )
+    rows = validation.where((F.col("status") == "failed") | ((failed > 0) & (failed < F.col("critical"))))
+    return rows.select(*_issue(run, F.lit("WARN"), message, F.lit("Dataset Validation")))
+
+
+def evaluation_issues(results: DataFrame, run: str = "run_id") -> DataFrame:
+    """Evaluators that did not pass, with their errors.  ``results``: run, evaluator, passed, errors (array)."""
+    errors = F.array_join(F.coalesce("errors", F.array().cast("array<string>")), ", ")
+    message = F.format_string(
+        EVALUATOR_FAILED, F.col("evaluator"), F.when(errors != "", errors).otherwise(EVALUATOR_NO_ERRORS)
+    )
+    rows = results.where(~F.coalesce("passed", F.lit(False)))
+    return rows.select(*_issue(run, F.lit("WARN"), message, F.lit("Model Evaluation")))
+
+
 def run_health(run_status: DataFrame, issues: DataFrame, by: list[str]) -> DataFrame:
     """GREEN / YELLOW / RED with explanation from run status and issue severities."""
     counts = issues.groupBy(*by).agg(

@@ -28,7 +28,7 @@ STATE_VERSION = 1
 
 EVENTS_DOC = "events array<struct<seq:bigint,event_type:string,value:double>>"
 STATE_DOC = "schema_version int, logical_run_id string, pipeline_status string, attempts int"
-ENVELOPE_DOC = "stage string, status string, duration_seconds double"
+ENVELOPE_DOC = "stage string, status string, duration_seconds double, error string"
 
 
 def document(text: Column, schema: str) -> Column:
@@ -59,6 +59,12 @@ def run_states(docs: DataFrame, run: str = "run_id", text: str = "doc") -> DataF
     )
 
 
+def stage_results(docs: DataFrame, text: str = "doc") -> DataFrame:
+    """``docs`` with stage, status, duration and error of each document; all null where it cannot be read."""
+    others = [c for c in docs.columns if c != text]
+    return docs.select(*others, document(F.col(text), ENVELOPE_DOC).alias("_e")).select(*others, "_e.*")
+
+
 def stage_envelopes(docs: DataFrame, run: str = "run_id", text: str = "doc") -> DataFrame:
     """Per run: readable stage results, their failures and time, and the stages whose result is unreadable.
 

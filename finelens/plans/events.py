@@ -8,15 +8,23 @@ pipeline) and memory events come from the ``MemoryManager`` source.  The
 message is built from the type and ``k``: errors read as CUDA OOM, warnings
 with k % 3 = 0 mention fragmentation, infos with k % 3 = 1 are cache clears.
 A run's status is FAILED when its last event is an error.
+
+Issues have four further sources, drawn from the same events (``k`` and
+``event_id`` decide): stage result documents (purchases; some failed,
+interrupted or cut short), lost event files (every twelfth run), the latest
+check results of datasets (clicks) and of evaluators (views).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finelens.operators import events as EV
 from finelens.operators import metrics as M
+from finelens.operators import records as RC
 from finelens.plans.metrics import metric_points
 from finelens.plans.registry import job
 from finelens.sources.tables import Tables
@@ -129,20 +137,63 @@ def run_status(t: Tables) -> DataFrame:
     return last.select("run_id", F.when(F.col("_last") == "error", "FAILED").otherwise("FINISHED").alias("status"))
 
 
-def issues_of(t: Tables) -> DataFrame:
-    """Issues per run: metric verdicts that are BAD / WARNING and memory insights."""
-    v = M.metric_verdicts(M.trend(metric_points(t), ["run_id", "key"]))
-    metric_issues = v.where(F.col("status").isin("BAD", "WARNING")).select(
-        "run_id",
-        F.when(F.col("status") == "BAD", "ERROR").otherwise("WARN").alias("severity"),
-        F.concat_ws(": ", "key", "verdict").alias("message"),
-        F.lit("Metrics").alias("context"),
+def stage_documents(t: Tables) -> DataFrame:
+    """Result documents of stages, one JSON text each, some cut short."""
+    k, seq = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    status = F.when(seq % 23 == 0, "failed").when(seq % 29 == 0, "interrupted").when(seq % 5 == 0, "skipped").otherwise("passed")
+    body = F.struct(
+        F.concat(F.lit("stage_"), (k % 6).cast("string")).alias("stage"), status.alias("status"),
+        F.when(seq % 2 == 0, F.concat(F.lit("stopped at "), seq.cast("string"))).alias("error"),
     )
-    mh = EV.memory_health(EV.memory_events(event_log(t)), ["run_id"])
-    mem_issues = EV.memory_insights(mh, ["run_id"]).select(
-        "run_id", F.lit("WARN").alias("severity"), "message", F.lit("Memory").alias("context")
+    text = F.to_json(body)
+    return t.events.where((F.col("event_type") == "purchase") & (k % 4 == 0)).select(
+        F.col("user_id").alias("run_id"), F.format_string("stage_%d/%d.json", k % 6, seq).alias("artifact"),
+        F.when(seq % 31 == 0, F.left(text, F.lit(12))).otherwise(text).alias("doc"),
     )
-    return metric_issues.unionByName(mem_issues)
+
+
+def missing_artifacts(t: Tables) -> DataFrame:
+    """Unreadable stage documents, and the event files of every twelfth run."""
+    broken = RC.stage_results(stage_documents(t)).where("stage IS NULL").select("run_id", "artifact")
+    lost = t.events.where(F.col("user_id") % 12 == 0).select(F.col("user_id").alias("run_id")).distinct()
+    return broken.unionByName(lost.withColumn("artifact", F.lit(EV.EVENTS_ARTIFACT)))
+
+
+def run_checks_of(t: Tables) -> DataFrame:
+    """The latest result of each check of a run's datasets (click events)."""
+    k, seq = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    rows = t.events.where((F.col("event_type") == "click") & (k % 8 == 0)).select(
+        F.col("user_id").alias("run_id"), F.format_string("ds%d", k % 3).alias("dataset"), F.format_string("check_%d", seq % 4).alias("check_id"),
+        (10 - seq % 4).alias("priority"), seq.alias("seq"), (seq % 7 != 0).alias("passed"),
+    )
+    last = rows.groupBy("run_id", "dataset", "check_id", "priority").agg(F.max_by("passed", "seq").alias("passed"))
+    return last.withColumn("critical", F.col("run_id") % 2 + 1)
+
+
+def evaluator_results(t: Tables) -> DataFrame:
+    """The latest result of each evaluator of a run (view events)."""
+    k, seq = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    errors = F.when(seq % 2 == 0, F.array(F.concat(F.lit("e"), seq.cast("string")), F.lit("late")))
+    rows = t.events.where((F.col("event_type") == "view") & (k % 16 == 0)).select(
+        F.col("user_id").alias("run_id"), F.format_string("eval_%d", k % 5).alias("evaluator"), seq.alias("seq"),
+        F.struct((seq % 3 != 0).alias("passed"), errors.alias("errors")).alias("r"),
+    )
+    return rows.groupBy("run_id", "evaluator").agg(F.max_by("r", "seq").alias("r")).select("run_id", "evaluator", "r.*")
+
+
+def issues_of(t: Tables) -> DataFrame:
+    """Issues per run from its metrics, memory, stages, artifacts, datasets and evaluators."""
+    verdicts = M.metric_verdicts(M.trend(metric_points(t), ["run_id", "key"]))
+    memory = EV.memory_health(EV.memory_events(event_log(t)), ["run_id"])
+    parts = [
+        EV.metric_issues(verdicts),
+        EV.memory_issues(memory),
+        EV.stage_issues(RC.stage_results(stage_documents(t)).where("stage IS NOT NULL")),
+        EV.artifact_issues(missing_artifacts(t)),
+        EV.dataset_issues(EV.dataset_validation(run_checks_of(t))),
+        EV.evaluation_issues(evaluator_results(t)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 RUN_STATUS_SQL = """rs AS (SELECT run_id, CASE WHEN arg_max(event_type, seq) = 'error' THEN 'FAILED' ELSE 'FINISHED' END AS status
@@ -154,6 +205,15 @@ def _issues_sql() -> str:
 
     return (
         "WITH " + MP_SQL + ", " + TREND_SQL + ", " + EV_SQL + ", " + MEM_SQL + ", " + RUN_STATUS_SQL + """,
+e6 AS (SELECT user_id AS run_id, event_id AS seq, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+env AS (SELECT run_id, seq, 'stage_' || (k % 6) AS stage, seq % 31 = 0 AS broken,
+  CASE WHEN seq % 23 = 0 THEN 'failed' WHEN seq % 29 = 0 THEN 'interrupted' END AS status,
+  CASE WHEN seq % 2 = 0 THEN 'stopped at ' || seq END AS error FROM e6 WHERE event_type = 'purchase' AND k % 4 = 0),
+chk AS (SELECT run_id, 'ds' || (k % 3) AS dataset, seq % 4 AS c, arg_max(seq % 7 <> 0, seq) AS passed
+  FROM e6 WHERE event_type = 'click' AND k % 8 = 0 GROUP BY ALL),
+val AS (SELECT run_id, dataset, count(*) AS total, count(*) FILTER (WHERE NOT passed) AS failed, run_id % 2 + 1 AS critical,
+  string_agg('check_' || c, ', ' ORDER BY c DESC) FILTER (WHERE NOT passed) AS names FROM chk GROUP BY run_id, dataset),
+evr AS (SELECT run_id, 'eval_' || (k % 5) AS evaluator, max(seq) AS seq FROM e6 WHERE event_type = 'view' AND k % 16 = 0 GROUP BY ALL),
 mv AS (SELECT run_id, key,
   CASE WHEN lower(key) LIKE '%loss%' THEN
       CASE WHEN min_val > 0 AND max_val / min_val > 10 AND NOT (max_val <= first * 1.1) THEN 'WARNING'
@@ -185,8 +245,19 @@ iss AS (
       CASE WHEN warning_count > 5 THEN printf('High number of memory warnings (%d). The system is near its limit.', warning_count) END,
       CASE WHEN frag_warnings > 0 THEN printf('Detected %d high-fragmentation events. Memory is available but fragmented.',
            frag_warnings) END,
-      CASE WHEN oom_count > 0 THEN 'Configuration led to OOM events.' END]) AS msg FROM mh) WHERE msg IS NOT NULL)"""
-    )
+      CASE WHEN oom_count > 0 THEN 'Configuration led to OOM events.' END]) AS msg FROM mh) WHERE msg IS NOT NULL
+  UNION ALL SELECT run_id, CASE WHEN status = 'failed' THEN 'ERROR' ELSE 'WARN' END,
+    CASE WHEN status = 'failed' THEN coalesce(error, 'Stage ''' || stage || ''' failed') ELSE 'Stage ''' || stage || ''' was interrupted' END,
+    stage FROM env WHERE NOT broken AND status IN ('failed', 'interrupted')
+  UNION ALL SELECT run_id, 'WARN', 'Artifact could not be parsed: ' || stage || '/' || seq || '.json', 'Report Generation' FROM env WHERE broken
+  UNION ALL SELECT DISTINCT user_id, 'WARN', '@LOST@', 'Report Generation' FROM events WHERE user_id % 12 = 0
+  UNION ALL SELECT run_id, 'WARN', CASE WHEN failed >= critical
+      THEN printf('Dataset ''%s'': %d validation plugin(s) failed (%s)', dataset, failed, names)
+      ELSE printf('Dataset ''%s'': partial failure (%d/%d plugins failed: %s, below critical threshold of %d)',
+                  dataset, failed, total, names, critical) END, 'Dataset Validation' FROM val WHERE failed > 0
+  UNION ALL SELECT run_id, 'WARN', 'Evaluation plugin ''' || evaluator || ''' failed: '
+    || CASE WHEN seq % 2 = 0 THEN 'e' || seq || ', late' ELSE 'see metrics' END, 'Model Evaluation' FROM evr WHERE seq % 3 = 0)"""
+    ).replace("@LOST@", EV.EVENTS_MISSING)
 
 
 @job("issues", sql=_issues_sql() + " SELECT * FROM iss")
