@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from finelens.operators.checks import TextThresholds
 from finelens.plans.events import TYPE_OF_EVENT
 from finelens.plans.registry import job
-from finelens.sources.tables import Tables
+from finelens.sources.tables import Tables, epoch_ms
 from finelens.streaming import jobs as S
+from finelens.streaming import outcomes as O
 
 BY = ["dataset"]
 TH = TextThresholds.defaults()
@@ -120,3 +121,39 @@ def event_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
              et.alias("event_type"), F.format_string("event %d", F.col("event_id")).alias("message")).write.json(src)
     schema = "run_id BIGINT, seq BIGINT, timestamp STRING, event_type STRING, message STRING"
     return S.run_append(S.typed_events(spark.readStream.schema(schema).json(src)), "event_ingest")
+
+
+#: A run's events are hours apart; on a clock this much faster exits and markers meet within the grace period.
+OUTCOME_CLOCK = 3600
+OUTCOME_DELAY_MS = 10_000
+
+
+@job("training_outcome", sql="""WITH e AS (SELECT user_id AS run_id, epoch_us(ts) // 1000 // @CLOCK@ AS ms, event_type,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id FROM events),
+w AS (SELECT max(ms) - @DELAY@ AS watermark FROM e),
+r AS (SELECT run_id, min(ms) FILTER (WHERE event_type = 'purchase' AND k % 40 = 0) AS c,
+  min(ms) FILTER (WHERE event_type = 'error' AND k % 30 = 0) AS f,
+  arg_min('stopped with ' || event_id, (ms, 'stopped with ' || event_id)) FILTER (WHERE event_type = 'error' AND k % 30 = 0) AS text,
+  min(ms) FILTER (WHERE event_type = 'signup' AND k % 25 = 0) + @GRACE@ AS x, max(ms) AS last_ms FROM e GROUP BY run_id),
+d AS (SELECT *, CASE WHEN least(c, f) <= coalesce(x, least(c, f)) THEN least(c, f) ELSE x END AS decided_ms FROM r),
+s AS (SELECT d.*, coalesce(decided_ms < watermark, false) AS final, CASE WHEN decided_ms IS NULL THEN 'alive' WHEN decided_ms = c THEN 'completed'
+  WHEN decided_ms = f THEN 'failed' ELSE 'died' END AS st FROM d, w)
+SELECT run_id, CASE WHEN st = 'died' AND NOT final THEN 'ending' ELSE st END AS status,
+  CASE WHEN st = 'failed' THEN 'Training failed: ' || text WHEN st = 'died' AND final THEN 'Training process died without completion marker' END AS message,
+  decided_ms, last_ms, final FROM s"""
+     .replace("@CLOCK@", str(OUTCOME_CLOCK)).replace("@DELAY@", str(OUTCOME_DELAY_MS)).replace("@GRACE@", str(O.GRACE_MS)))
+def training_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of each run: some purchases are completion markers, some errors failure markers, some signups exits."""
+    e = S.read_table_stream(spark, sf_dir, "events")
+    k, et = F.get_json_object("props", "$.k").cast("bigint"), F.col("event_type")
+    kind = (
+        F.when((et == "purchase") & (k % 40 == 0), O.COMPLETE_MARKER)
+        .when((et == "error") & (k % 30 == 0), O.FAILED_MARKER)
+        .when((et == "signup") & (k % 25 == 0), "exit")
+        .otherwise("alive")
+    )
+    rows = e.select(
+        F.col("user_id").alias("run_id"), F.floor(epoch_ms("ts") / OUTCOME_CLOCK).alias("ms"), kind.alias("kind"),
+        F.format_string("stopped with %d", F.col("event_id")).alias("text"),
+    )
+    return O.run_outcomes(O.training_outcomes(rows, f"{OUTCOME_DELAY_MS} milliseconds"))
