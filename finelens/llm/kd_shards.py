@@ -309,7 +309,6 @@ def with_shard(
     # the input's columns travel in one struct, so none of their names meets a name used here
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_in")
     keyed = docs.select(whole, *_point_columns(dims, id_col, text_col))
-    return keyed.select(
-        *[F.col("row_in").getField(c).alias(c) for c in docs.columns],
-        _pick(tree.shards, tree.node()).cast("int").alias(shard_col),
-    )
+    # a select of its own: beside aliases of the input's names, lambdas would read those (lateral aliases)
+    placed = keyed.select("row_in", _pick(tree.shards, tree.node()).cast("int").alias("placed"))
+    return placed.select(*[F.col("row_in").getField(c).alias(c) for c in docs.columns], F.col("placed").alias(shard_col))
