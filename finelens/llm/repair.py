@@ -54,60 +54,107 @@ SHARD_IDS = 1 << 20
 MIN_USES = 8
 #: A round replaces the pairs with at least this share of the highest count.
 ROUND_SHARE = 0.05
+#: The round that shortens the sequence by less than this share is the last: the long tail of rounds saves under 1 %.
+LAST_SHARE = 1 / 128
 
 MAGIC = 0x52504731
 HEAD = struct.Struct("<6I")
 
 
-def replace_round(seq: np.ndarray, glued: np.ndarray, next_rule: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """One round: merges pairs in ``seq`` in place; (mask of kept positions, rules), or None at the end.
+#: Bits of the tables of pair hashes that tell which pairs are worth a closer look.
+PAIR_BITS = 22
 
-    ``glued[i]``: i and i + 1 belong to one document.  A rule is made only if it
-    is used MIN_USES times.
+
+def pair_slots(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - PAIR_BITS)
+
+
+class Rounds:
+    """Re-Pair over one sequence of documents: each round replaces the most frequent pairs at once.
+
+    All pairs are counted in the first round.  From then on a pair of old symbols can only become
+    rarer, so what is counted again are the places of the pairs that were frequent and the
+    neighbours of what was replaced; the rest of the sequence is not looked at.
     """
-    keys = seq[:-1] << np.uint32(16) | seq[1:]
-    ordered = np.sort(keys[glued])
-    if not len(ordered):
-        return None
-    edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
-    uses = np.diff(edge)
-    floor = max(MIN_USES, int(uses.max() * ROUND_SHARE))
-    while next_rule < SYMBOLS:
-        often = np.flatnonzero(uses >= floor)
-        by_use = often[np.argsort(-uses[often], kind="stable")][: SYMBOLS - next_rule]
-        chosen = ordered[edge[by_use]]
-        where, rule = occurrences(seq, keys, glued, chosen)
-        used = np.bincount(rule, minlength=len(chosen))
-        pays = used >= MIN_USES
-        take = pays[rule]
-        if take.any():
-            number = np.cumsum(pays) - 1 + next_rule
-            where = where[take]
-            seq[where] = number[rule[take]]
-            keep = np.ones(len(seq), bool)
-            keep[where + 1] = False
-            return keep, chosen[pays]
-        if floor == MIN_USES:
-            break
-        # the most frequent pairs only overlap each other: look further down
-        floor = max(MIN_USES, floor // 4)
-    return None
 
+    def __init__(self, seq: np.ndarray, offs: np.ndarray):
+        self.seq, self.offs = seq, offs  # ``offs``: the documents' n + 1 offsets
+        self.next_rule = FIRST_RULE
+        self.at = np.arange(max(len(seq) - 1, 0))  # places of the pairs to count, ascending
+
+    def glued(self, at: np.ndarray) -> np.ndarray:
+        """Those of the places whose symbol and the next belong to one document."""
+        first = np.zeros(len(self.seq) + 1, bool)
+        first[self.offs] = True
+        return at[~first[at + 1]]
+
+    def replace(self) -> np.ndarray | None:
+        """One round; the pairs of its rules, or None at the end. A rule is made only if it is used MIN_USES times."""
+        at, seq = self.glued(self.at), self.seq
+        keys = seq[at] << np.uint32(16) | seq[at + 1]
+        ordered = np.sort(keys)
+        if not len(ordered):
+            return None
+        edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
+        uses = np.diff(edge)
+        frequent = np.flatnonzero(uses >= MIN_USES)
+        maybe = np.zeros(1 << PAIR_BITS, bool)
+        maybe[pair_slots(ordered[edge[frequent]])] = True
+        often_at = maybe[pair_slots(keys)]
+        at, keys = at[often_at], keys[often_at]
+        floor = max(MIN_USES, int(uses.max() * ROUND_SHARE))
+        while self.next_rule < SYMBOLS:
+            often = frequent[uses[frequent] >= floor]
+            by_use = often[np.argsort(-uses[often], kind="stable")][: SYMBOLS - self.next_rule]
+            chosen = ordered[edge[by_use]]
+            where, rule = occurrences(at, keys, chosen)
+            used = np.bincount(rule, minlength=len(chosen))
+            pays = used >= MIN_USES
+            take = pays[rule]
+            if take.any():
+                number = np.cumsum(pays) - 1 + self.next_rule
+                self.merge(at, where[take], number[rule[take]])
+                self.next_rule += int(pays.sum())
+                return chosen[pays]
+            if floor == MIN_USES:
+                break
+            # the most frequent pairs only overlap each other: look further down
+            floor = max(MIN_USES, floor // 4)
+        return None
 
-def occurrences(seq: np.ndarray, keys: np.ndarray, glued: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, at: np.ndarray, where: np.ndarray, symbols: np.ndarray) -> None:
+        """Puts ``symbols`` in place of the pairs at ``where``; ``at``: places to keep looking at."""
+        self.seq[where] = symbols
+        keep = np.ones(len(self.seq), bool)
+        keep[where + 1] = False
+        gone = np.zeros(len(keep) + 1, np.int32)
+        np.cumsum(~keep, out=gone[1:])
+        self.seq = self.seq[keep]
+        self.offs = self.offs - gone[self.offs]
+        look = np.zeros(len(self.seq), bool)
+        at = at[keep[at]]
+        look[at - gone[at]] = True
+        new = where - gone[where]
+        look[new] = True
+        look[new[new > 0] - 1] = True
+        self.at = np.flatnonzero(look)
+
+
+def occurrences(at: np.ndarray, keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which chosen pairs (most frequent first) are replaced, and the index of each one's pair.
 
-    Of overlapping pairs the more frequent wins; a run of equal symbols pairs from its start.
+    ``at``, ``keys``: positions of candidates and their pairs.  Of overlapping pairs the more frequent
+    wins; a run of equal symbols pairs from its start.
     """
-    at = np.argsort(chosen)
-    table = chosen[at]
-    left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-    left[chosen >> np.uint32(16)] = True
-    right[chosen & np.uint32(0xFFFF)] = True
-    maybe = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & glued)
-    spot = np.minimum(np.searchsorted(table, keys[maybe]), len(table) - 1)
-    hit = table[spot] == keys[maybe]
-    where, rule = maybe[hit], at[spot[hit]]
+    order = np.argsort(chosen)
+    table = chosen[order]
+    marked = np.zeros(1 << PAIR_BITS, bool)
+    marked[pair_slots(chosen)] = True
+    maybe = np.flatnonzero(marked[pair_slots(keys)])
+    own = keys[maybe]
+    spot = np.minimum(np.searchsorted(table, own), len(table) - 1)
+    hit = table[spot] == own
+    where, rule = at[maybe[hit]], order[spot[hit]]
     # runs of one pair: only every second position is a candidate
     run_start = np.r_[True, (where[1:] != where[:-1] + 1) | (rule[1:] != rule[:-1])][: len(where)]
     start = np.maximum.accumulate(np.where(run_start, np.arange(len(where)), 0))
@@ -122,32 +169,24 @@ def occurrences(seq: np.ndarray, keys: np.ndarray, glued: np.ndarray, chosen: np
 
 def compress(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, symbol offset of each document, rules as (n, 2), expansion length of each rule)."""
-    sizes = np.array([len(x) for x in ids], np.int64)
-    seq = np.concatenate(ids).astype(np.uint32)
-    offs = np.r_[0, np.cumsum(sizes)]
-    rules, next_rule = [], FIRST_RULE
-    while True:
-        glued = np.ones(max(len(seq) - 1, 0), bool)
-        ends = offs[1:-1]
-        glued[ends[(ends > 0) & (ends < len(seq))] - 1] = False
-        done = replace_round(seq, glued, next_rule) if len(seq) > 1 else None
-        if done is None:
+    rounds = Rounds(np.concatenate(ids).astype(np.uint32), np.r_[0, np.cumsum([len(x) for x in ids], dtype=np.int64)])
+    if len(rounds.seq) and int(rounds.seq.max()) >= FIRST_RULE:
+        raise ValueError(f"token id {int(rounds.seq.max())}: ids must be below {FIRST_RULE}, the first nonterminal")
+    rules, before = [], 0
+    while len(rounds.seq) and (not rules or before - len(rounds.seq) >= LAST_SHARE * before):
+        before = len(rounds.seq)
+        if (made := rounds.replace()) is None:
             break
-        keep, made = done
-        gone = np.r_[0, np.cumsum(~keep)]
-        offs = offs - gone[offs]
-        seq = seq[keep]
         rules.append(np.stack([made >> np.uint32(16), made & np.uint32(0xFFFF)], axis=1))
-        next_rule += len(made)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return seq, offs, table, expansion_lengths(table)
+    return rounds.seq, rounds.offs, table, expansion_lengths(table)
 
 
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:
     """Ids that each rule expands to; a rule refers to earlier ones only."""
     out: list[int] = []
     for a, b in rules.tolist():
-        out.append(sum(1 if x < FIRST_RULE else out[x - FIRST_RULE] for x in (a, b)))
+        out.append((out[a - FIRST_RULE] if a >= FIRST_RULE else 1) + (out[b - FIRST_RULE] if b >= FIRST_RULE else 1))
     return np.array(out, np.uint32)
 
 

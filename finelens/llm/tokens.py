@@ -100,6 +100,7 @@ class Encoder:
             pattern = public_tokenizers.PATTERN
         self.split = regex.compile(pattern).findall
         self.table = byte_table()
+        self.blank = self.table[0x20]
         self.reset()
 
     def reset(self) -> None:
@@ -111,6 +112,11 @@ class Encoder:
 
     def ids_of(self, raw: bytes) -> Sequence[int]:
         """Ids of one segment."""
+        if raw.isalpha():  # bytes: ASCII letters, as most segments are
+            word = raw.decode("ascii")
+            return [t.id for t in self.model.tokenize(word.lower() if self.by_word else word)]
+        if not self.by_word and raw[0] == 0x20 and raw[1:].isalpha():
+            return [t.id for t in self.model.tokenize(self.blank + raw[1:].decode("ascii"))]
         text = raw.decode("utf-8")
         if _ODD.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
