@@ -35,6 +35,8 @@ END_ID = 1
 PIECES = 65_536
 #: Partitions whose released documents meet in the next round.
 FAN_IN = 16
+#: Bits of a sequence id that name the partition and the bin in it; more of either is an error.
+PARTITION_BITS, BIN_BITS = 28, 20
 #: Rounding functions u(k) tried for the lower bound.
 MAX_K = 64
 
@@ -121,6 +123,8 @@ def pack_partition(table: pa.Table) -> pa.Table:
     """Packs the items of one partition; rows of released bins are marked."""
     lengths = table["length"].to_numpy()
     bin_of, offset, free = best_fit_decreasing(lengths)
+    if len(free) > 1 << BIN_BITS:
+        raise ValueError(f"{len(free)} bins in a partition: sequence ids have room for {1 << BIN_BITS}")
     bound = lower_bound(np.bincount(lengths, minlength=CAPACITY + 1))
     gap = len(free) - bound
     release = np.zeros(len(free), bool)
@@ -144,6 +148,8 @@ def pack(items: DataFrame) -> DataFrame:
     """Places stored ``items`` (PIECE columns and any others): adds sequence_id and offset."""
     n = items.count()
     width = max(1, -(-n // PIECES))
+    if width > 1 << PARTITION_BITS:
+        raise ValueError(f"{width} partitions: sequence ids have room for {1 << PARTITION_BITS}")
     schema = T.StructType([*items.schema.fields, T.StructField("pid", T.LongType())])
     packed = T.StructType(
         [
@@ -160,8 +166,8 @@ def pack(items: DataFrame) -> DataFrame:
         level_rows = stored(todo.groupBy("pid").applyInArrow(pack_partition, packed), f"packed-{level}")
         last = width == 1
         settled = level_rows if last else level_rows.where("not released")
-        # below 2**53, exact as a double too: round, partition (28 bits), bin (20 bits)
-        sequence = F.lit(level << 48) + F.shiftleft("pid", 20) + F.col("bin")
+        # below 2**53, exact as a double too: round, partition, bin
+        sequence = F.lit(level << (PARTITION_BITS + BIN_BITS)) + F.shiftleft("pid", BIN_BITS) + F.col("bin")
         done.append(settled.withColumn("sequence_id", sequence).drop("pid", "bin", "released", "bound"))
         if last:
             break
