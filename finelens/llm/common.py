@@ -41,6 +41,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named c0, c1, ...: beside them an operator may use any other names.
+
+    The map gives each column's name here; ``restored`` puts the old names back.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(out: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of the input, under their own names and in their order."""
+    return out.select(*names.values()).toDF(*names)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it any number of times inside ``body``.
 

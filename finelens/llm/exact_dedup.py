@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finelens.llm.common import WS, stored
+from finelens.llm.common import WS, plain_names, restored, stored
 
 #: Runs are numbered modulo this; with FAN_IN it sets the number of rounds.
 RUNS = 4096
@@ -100,7 +100,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The texts move once, to be joined with the merged digests; where several
     rows share the kept id and text, one of them is taken.
     """
-    rows = digest_rows(docs, id_col, text_col)
+    plain, names = plain_names(docs)
+    id_col, text_col = names[id_col], names[text_col]
+    rows = digest_rows(plain, id_col, text_col)
     winners = stored(
         rows.join(merge_runs(rows), "key")
         .where(F.col("id").eqNullSafe(F.col("first.id")))
@@ -108,7 +110,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.count("*").alias("ties")),
         "digest-winners",
     )
-    keyed = docs.withColumn("__key", digest_key(normalised(F.col(text_col))))
+    keyed = plain.withColumn("__key", digest_key(normalised(F.col(text_col))))
     # one match a row at most: the key decides, the id narrows it to the kept row
     hit = (F.col("__key") == F.col("__w.key")) & F.col(id_col).eqNullSafe(F.col("__w.keep_id"))
     w = winners.select(F.struct("key", "keep_id", "ties").alias("__w"))
@@ -116,4 +118,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if not winners.where("ties > 1").isEmpty():  # repeated rows of a kept id: the texts move a second time for them
         tied = keyed.join(w.where("__w.ties > 1"), hit, "left_semi").dropDuplicates(["__key", id_col])
         out = out.unionByName(tied)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(out, names)

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finelens.llm.common import let, stored
+from finelens.llm.common import let, plain_names, restored, stored
 
 #: Key of the surrogates; a deployment passes its own.
 KEY = "finelens-surrogates"
@@ -370,7 +370,9 @@ def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFra
 
 def anonymised(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in its texts; ``chars_col``, where present, follows the new text."""
-    out = replaced(docs, text_col, key).drop("__pii")
-    if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out
+    plain, names = plain_names(docs)
+    text = names[text_col]
+    out = replaced(plain, text, key)
+    if chars_col in names:
+        out = out.withColumn(names[chars_col], F.length(text).cast(docs.schema[chars_col].dataType))
+    return restored(out, names)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finelens.llm.common import WS, let, words_of
+from finelens.llm.common import WS, let, plain_names, restored, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
@@ -160,11 +160,12 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """Documents that pass, their failing lines removed; the columns of ``docs``."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    plain, names = plain_names(docs)
+    text = names[text_col]
     # a filter on the verdict would be pushed down and judge every text again; one on a generator's output is not
     kept = F.filter(F.array("__q"), lambda q: q["kept"])
-    rows = features(docs).withColumn("__kept", kept).select(*names, F.explode_outer("__kept").alias("__q"))
-    rows = rows.where("__q is not null").withColumn(text_col, F.col("__q.clean_text"))
-    if chars_col in docs.columns:
-        rows = rows.withColumn(chars_col, F.length(text_col).cast("long"))
-    return rows.select(*names)
+    rows = features(plain, text).withColumn("__kept", kept).select(*names.values(), F.explode_outer("__kept").alias("__q"))
+    rows = rows.where("__q is not null").withColumn(text, F.col("__q.clean_text"))
+    if chars_col in names:
+        rows = rows.withColumn(names[chars_col], F.length(text).cast("long"))
+    return restored(rows, names)
