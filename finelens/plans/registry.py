@@ -39,4 +39,4 @@ def job(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so their jobs register."""
-    from finelens.plans import chat_eval, datasets, evaluation, events, io, machines, metrics, params, phases, records, runs, streams, validation  # noqa: F401
+    from finelens.plans import chat_eval, datasets, evaluation, events, io, machines, metrics, params, phases, records, reports, runs, streams, validation  # noqa: F401
