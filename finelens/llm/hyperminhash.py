@@ -16,8 +16,12 @@ Work, without all pairs of a group:
    verified links are contracted to components;
 3. only buckets of three and more members that still hold several components
    are searched exhaustively: members outside the bucket's largest component
-   meet all members of other components, in blocks of bounded size; pairs
-   that pass the estimate are verified on the full sets.  A group of copies is
+   meet all members of other components, in blocks of bounded size.  Inside a
+   block, sets of up to ``SMALL`` shingles are compared in full and joined
+   as links are found, so a block hands out fewer links than it has
+   components; of pairs with a larger set, the likeliest for each two components
+   is verified on the full sets, and more of them only where it fails.  Links
+   then join components, not documents.  A group of copies is
    thus never expanded into its pairs, and no bucket member is left out.
 
 Defined results
@@ -27,7 +31,9 @@ Defined results
 * ``near_groups``: rows of one doc_id are one document: a link of any of them
   holds for all; rows without doc_id join the class of their text but never name
   one; a class of such rows alone has a null component and is not kept;
-* ``keep_one_of_each`` works on texts, told apart by 64-bit hashes, instead of ids;
+* ``keep_one_of_each`` works on texts instead of ids and keeps all columns, whatever their names;
+* sets of ``SMALL`` shingles and one more differ in how they are searched, not in what links them;
+* very long texts are hashed whole; of a longer set than ``SMALL`` only registers travel in the search;
 * an empty table gives an empty result; only the id and text columns are read.
 """
 
@@ -44,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finelens.llm import wordhash as W
-from finelens.llm.common import stored
+from finelens.llm.common import plain_names, restored, stored
 
 K, R = 256, 10
 BANDS, ROWS = 42, 6
@@ -55,8 +61,10 @@ LINK_PCT = 80
 #: The estimate rules a pair out only beyond so many standard errors.
 SIGMAS = 5.0
 #: Sets of up to SMALL shingles have too few filled buckets for a sharp estimate; in the
-#: exhaustive search they carry the top 32 bits of all their hashes, which bound |A and B| from above.
+#: exhaustive search they carry all their hashes and are compared in full at once.
 SMALL = 512
+#: Likeliest pairs of larger sets that are verified for two components of a bucket, round by round; None: all.
+QUOTAS = (1, 16, None)
 #: Ids hash to so many slots; a broadcast of slots is bounded by it whatever the input.
 SLOTS = 1 << 20
 #: Bucket members in one block of the exhaustive search.
@@ -136,17 +144,13 @@ def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return size_ok & (estimate(x, y, n, m) >= j - SIGMAS * np.sqrt(j * (1 - j) / filled))
 
 
-def small_may_link(one: bytes, others: list[bytes]) -> np.ndarray:
-    """Whether a small set may be linked with each of ``others``, also small.
-
-    Equal top halves of different hashes can only raise the intersection, and
-    within one set can only shorten the list; one element of slack covers that.
-    """
-    s = np.frombuffer(one, np.uint32)
-    sizes = np.array([len(o) // 4 for o in others])
-    flat = np.frombuffer(b"".join(others), np.uint32)
+def small_links(one: bytes, others: list[bytes]) -> np.ndarray:
+    """Whether a small set is linked with each of ``others``, also small: exact, on their full sets of hashes."""
+    s = np.frombuffer(one, np.uint64)
+    sizes = np.array([len(o) // 8 for o in others])
+    flat = np.frombuffer(b"".join(others), np.uint64)
     hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
-    both = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]]) + 1
+    both = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
     return 100 * both >= LINK_PCT * (len(s) + sizes - both)
 
 
@@ -164,13 +168,10 @@ def _sketch(batches, width):
 
 
 def _small(batches, width):
-    """(node, small) of (node, text): top halves of a small set's hashes, null for a larger set."""
+    """(node, small) of (node, text): a small set's hashes, null for a larger set."""
     for b in batches:
-        tops = [
-            (u >> np.uint64(32)).astype(np.uint32).tobytes() if 0 < len(u) <= SMALL else None
-            for u in shingle_sets(b.column(1), width)
-        ]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tops, pa.binary())], ["node", "small"])
+        sets = [u.tobytes() if 0 < len(u) <= SMALL else None for u in shingle_sets(b.column(1), width)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "small"])
 
 
 def sketches(texts: DataFrame, width: int) -> DataFrame:
@@ -218,10 +219,31 @@ def _sets(batches, width):
         )
 
 
-def _residual_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one block of a bucket: minority rows against all rows of other components.
+class Forest:
+    """Components of one block, joined as links are found."""
+
+    def __init__(self, comp: np.ndarray):
+        names, self.of = np.unique(comp, return_inverse=True)
+        self.parent = np.arange(len(names))
+
+    def roots(self) -> np.ndarray:
+        """The root of every row."""
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
+        return self.parent[self.of]
+
+    def join(self, roots: np.ndarray) -> None:
+        self.parent[roots] = roots.min()
+
 
-    A pair that shares several bands is reported by the first of them only.
+def _residual_pairs(table: pa.Table, quota: int | None, exact: bool) -> pa.Table:
+    """Links and candidates of one block of a bucket: minority rows against all rows of other components.
+
+    Small sets are compared in full: of the links found, those are given that join components of the
+    block which no earlier one has joined, fewer than there are components.  Of pairs with a larger set that
+    the estimate does not rule out, the ``quota`` likeliest are given for each two components (None: all);
+    ``more`` says that there are further ones.  A pair that shares several bands belongs to the first.
+    ``exact``: compare small sets too (they are settled after the first round).
     """
     regs, comp, node, n = _regs(table["regs"]), table["comp"].to_numpy(), table["node"].to_numpy(), table["n"].to_numpy()
     side, hub, minor = table["side"].to_numpy(), table["hub"].to_numpy(), table["minor"].to_numpy()
@@ -229,26 +251,43 @@ def _residual_pairs(table: pa.Table) -> pa.Table:
     has_small = np.array([x is not None for x in small])
     keys, key = band_keys(regs), np.int64(table["key"][0].as_py()).view(np.uint64)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    out_a, out_b = [], []
+    forest = Forest(comp)
+    root = forest.roots()
+    links, maybe = [], []
     for i in left:
-        js = right[(comp[right] != comp[i]) & (node[right] != hub[right])]
         # both minor: the pair occurs from either side, keep one
-        js = js[~(minor[js] & (node[js] < node[i]))]
+        js = right[(root[right] != root[i]) & (node[right] != hub[right]) & ~(minor[right] & (node[right] < node[i]))]
         js = js[100 * np.minimum(n[js], n[i]) >= LINK_PCT * np.maximum(n[js], n[i])]
         if not len(js) or node[i] == hub[i]:
             continue
         same = keys[js] == keys[i]
         js = js[keys[i][same.argmax(axis=1)] == key]
+        both_small = has_small[js] & has_small[i]
+        whole = js[both_small] if exact else js[:0]
+        if len(whole):
+            whole = whole[small_links(small[i], [small[j] for j in whole])]
+            joined, first = np.unique(root[whole], return_index=True)
+            links += [(node[i], node[whole[f]]) for f in first]
+            if len(joined):
+                forest.join(np.r_[joined, root[i]])
+                root = forest.roots()
+        js = js[~both_small]
+        js = js[root[js] != root[i]]
         if len(js):
-            ok = may_link(np.broadcast_to(regs[i], (len(js), K)), regs[js], np.full(len(js), n[i]), n[js])
-            both_small = np.flatnonzero(has_small[js]) if has_small[i] else np.zeros(0, np.int64)
-            if len(both_small):
-                ok[both_small] = small_may_link(small[i], [small[j] for j in js[both_small]])
-            js = js[ok]
-        out_a.append(np.minimum(node[js], node[i]))
-        out_b.append(np.maximum(node[js], node[i]))
-    cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.table({"a": cat(out_a), "b": cat(out_b)})
+            x = np.broadcast_to(regs[i], (len(js), K))
+            js = js[may_link(x, regs[js], np.full(len(js), n[i]), n[js])]
+            maybe += [(i, j, (regs[i] == regs[j]).sum()) for j in js]
+    out = [(a, b, True, False) for a, b in links]
+    by_pair: dict[tuple, list] = {}
+    for i, j, agree in maybe:
+        if root[i] != root[j]:
+            by_pair.setdefault((min(root[i], root[j]), max(root[i], root[j])), []).append((-agree, node[i], node[j]))
+    for found in by_pair.values():
+        found.sort()
+        out += [(a, b, False, quota is not None and len(found) > quota) for _, a, b in found[:quota]]
+    columns = list(zip(*out)) or [[], [], [], []]
+    low, high = (pa.array([f(a, b) for a, b in zip(columns[0], columns[1])], pa.int64()) for f in (min, max))
+    return pa.table({"a": low, "b": high, "exact": pa.array(columns[2], pa.bool_()), "more": pa.array(columns[3], pa.bool_())})
 
 
 def narrowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -341,10 +380,11 @@ def linked(sk: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     star = star.mapInArrow(_estimated, "a long, b long")
     links = stored(verified(stored(star, "star-estimated"), texts, width).distinct(), "star-links")
     comps = components(links)
-
-    more = residual_links(rows, reps, comps, texts, width)
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
+    for k, quota in enumerate(QUOTAS):
+        more, unsettled = residual_links(rows, reps, comps, texts, width, quota, exact=k == 0)
+        comps = contracted(comps, more)
+        if not unsettled:
+            break
     return nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component"))
 
 
@@ -360,8 +400,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def residual_links(rows: DataFrame, reps: DataFrame, comps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Verified links between members of one bucket that lie in different components.
+def contracted(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after ``links`` (a, b) between nodes of different components.
+
+    What is searched are edges between components, not between documents.
+    """
+    if links.isEmpty():
+        return comps
+    known = stored(
+        comps.unionByName(ends_of(links).join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))), "components"
+    )
+    ca, cb = (known.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    edges = links.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+    up = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+    return stored(known.join(up, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")), "components")
+
+
+def residual_links(
+    rows: DataFrame, reps: DataFrame, comps: DataFrame, texts: DataFrame, width: int, quota: int | None, exact: bool
+) -> tuple[DataFrame, bool]:
+    """Verified links between members of one bucket that lie in different components; whether pairs are left untried.
 
     (Pairs with the hub are settled.)  Every bucket is cut into blocks of at
     most BLOCK members by the members' hash; the rows outside the bucket's
@@ -398,9 +456,43 @@ def residual_links(rows: DataFrame, reps: DataFrame, comps: DataFrame, texts: Da
     small = small.groupBy("node").agg(F.when(F.count("*") == 1, F.any_value("small")).alias("small"))
     wide = stored(narrowed(reps, asked).join(small, "node"), "residual-sketches")
     members = left.unionByName(right).join(wide, "node")
-    pairs = members.groupBy("key", "p", "q").applyInArrow(_residual_pairs, T.StructType().add("a", "long").add("b", "long"))
-    pairs = stored(pairs.distinct(), "residual-pairs")
-    return stored(verified(pairs, texts, width).distinct(), "residual-links")
+    search = members.groupBy("key", "p", "q").applyInArrow(
+        lambda table: _residual_pairs(table, quota, exact), "a long, b long, exact boolean, more boolean"
+    )
+    found = stored(search.distinct(), "residual-pairs")
+    maybe = stored(found.where("not exact").groupBy("a", "b").agg(F.max("more").alias("more")), "residual-candidates")
+    links = found.where("exact").select("a", "b")
+    if maybe.isEmpty():
+        return links, False
+    sure = stored(verified(maybe.select("a", "b"), texts, width).distinct(), "residual-links")
+    unsettled = not maybe.where("more").join(sure, ["a", "b"], "left_anti").isEmpty()
+    return links.unionByName(sure).distinct(), unsettled
+
+
+#: Bits of a text's first node number that are used; fewer only in tests, to make texts clash.
+NODE_BITS = -1
+
+
+def text_nodes(rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` with ``__node``, a 64-bit number of the text: equal for equal texts, different for different ones.
+
+    The number is a hash.  Texts that share one are found by length and a second hash and are
+    numbered anew until none do, so two texts never pass for one.
+    """
+    text = F.col(text_col)
+    rows = rows.withColumn("__node", F.xxhash64(text).bitwiseAND(F.lit(NODE_BITS).cast("long")))
+    seed = 0
+    while True:
+        seed += 1
+        check = F.struct(F.length(text), F.xxhash64(F.lit(1 << 20), text))
+        clash = rows.groupBy("__node").agg(F.min(check).alias("lo"), F.max(check).alias("hi")).where("lo <> hi")
+        clash = stored(clash.select(F.col("__node").alias("__clash")), "node-clashes")
+        if clash.isEmpty():
+            return rows
+        hit = rows.join(clash, F.col("__node") == F.col("__clash"), "left")
+        rows = hit.withColumn(
+            "__node", F.when(F.col("__clash").isNotNull(), F.xxhash64(F.lit(seed), text)).otherwise(F.col("__node"))
+        ).drop("__clash")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -410,7 +502,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     judged one by one, and rows without an id, which come after all others, like any
     other.  Of rows that share the smallest id, the text with the smallest 64-bit hash stays.
     """
-    keyed = docs.withColumn("__node", F.xxhash64(F.col(text_col)))
+    plain, names = plain_names(docs)
+    id_col, text_col = names[id_col], names[text_col]
+    keyed = text_nodes(plain, text_col)
     texts = keyed.select(F.col("__node").alias("node"), F.col(text_col).alias("text"))
     sk = stored(sketches(texts, width), "sketches")
     parts = sk.where("n_shingles > 0").join(linked(sk, texts, width), "digest").select("node", "component").distinct()
@@ -425,4 +519,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated = judged.where("not __j.copy")
     if not repeated.isEmpty():  # repeated rows of a kept id and text: one of them
         out = out.unionByName(keyed.join(repeated, hit, "left_semi").dropDuplicates(["__node", id_col]))
-    return out.drop("__node")
+    return restored(out, names)

@@ -65,6 +65,29 @@ def stage_results(docs: DataFrame, text: str = "doc") -> DataFrame:
     return docs.select(*others, document(F.col(text), ENVELOPE_DOC).alias("_e")).select(*others, "_e.*")
 
 
+def envelopes(outcomes: DataFrame, run: str = "run_id") -> DataFrame:
+    """The result of each stage as (run, stage, envelope): the first outcome that a stage reports counts.
+
+    ``outcomes``: run, seq, stage, status, started_at (text), duration_seconds, error, data (map of texts).
+    Only a failed stage has an error, a skipped one neither duration nor data; durations have three digits.
+    """
+    skipped = F.col("status") == "skipped"
+    none = F.create_map().cast("map<string,string>")
+    envelope = F.struct(
+        "stage",
+        "status",
+        "started_at",
+        F.when(skipped, 0.0).otherwise(F.bround("duration_seconds", 3)).alias("duration_seconds"),
+        F.when(F.col("status") == "failed", F.col("error")).alias("error"),
+        F.when(skipped, none).otherwise(F.coalesce("data", none)).alias("data"),
+    )
+    rows = outcomes.select(run, "seq", "stage", envelope.alias("envelope"))
+    # a map has no order, its text has
+    return rows.groupBy(run, "stage").agg(
+        F.min_by(F.struct("envelope"), F.struct("seq", F.to_json("envelope"))).alias("_e")
+    ).select(run, "stage", F.col("_e.envelope").alias("envelope"))
+
+
 def stage_envelopes(docs: DataFrame, run: str = "run_id", text: str = "doc") -> DataFrame:
     """Per run: readable stage results, their failures and time, and the stages whose result is unreadable.
 

@@ -200,7 +200,7 @@ RUN_STATUS_SQL = """rs AS (SELECT run_id, CASE WHEN arg_max(event_type, seq) = '
   FROM ev GROUP BY run_id)"""
 
 
-def _issues_sql() -> str:
+def issues_sql() -> str:
     from finelens.plans.metrics import MP_SQL, TREND_SQL
 
     return (
@@ -260,14 +260,14 @@ iss AS (
     ).replace("@LOST@", EV.EVENTS_MISSING)
 
 
-@job("issues", sql=_issues_sql() + " SELECT * FROM iss")
+@job("issues", sql=issues_sql() + " SELECT * FROM iss")
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues_of(Tables(spark, sf_dir))
 
 
 @job(
     "health",
-    sql=_issues_sql() + """,
+    sql=issues_sql() + """,
 cnt AS (SELECT run_id, count(*) FILTER (WHERE severity = 'ERROR') AS e, count(*) FILTER (WHERE severity = 'WARN') AS w
         FROM iss GROUP BY run_id),
 j AS (SELECT rs.run_id, rs.status, CAST(coalesce(e, 0) AS BIGINT) AS e, CAST(coalesce(w, 0) AS BIGINT) AS w

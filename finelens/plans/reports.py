@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finelens.operators import reports as RP
-from finelens.plans.phases import PHASES_SQL, event_phases
+from finelens.operators import phases as PH
+from finelens.operators import records as RC
+from finelens.plans.events import issues_of, issues_sql
+from finelens.plans.phases import PHASES_SQL, TABLE_SQL, event_phases, table_of
 from finelens.plans.registry import job
 from finelens.plans.runs import LOG_SQL, TREE_SQL, log_lines, run_tree
+from finelens.sources.report_store import ReportStore
 from finelens.sources.tables import Tables
 from finelens.streaming.jobs import scratch
 
@@ -186,3 +190,56 @@ def scan_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("lines"), F.sum(F.length("line")).cast("bigint").alias("chars"),
         F.count_if(F.col("line").contains("�")).cast("bigint").alias("replaced"),
     )
+
+
+@job("write_stage_envelope", sql="""WITH o AS (SELECT l_orderkey AS run_id, 'stage_' || l_linenumber AS stage, l_partkey * 1000 + l_suppkey % 1000 AS seq,
+  CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'interrupted'
+       WHEN l_returnflag = 'N' THEN 'skipped' ELSE 'passed' END AS status,
+  l_extendedprice / 7 AS d, 'part ' || l_partkey AS error, l_suppkey FROM lineitem),
+f AS (SELECT run_id, stage, arg_min({'status': status, 'd': d, 'error': error, 's': l_suppkey}, (seq, status, d)) AS x FROM o GROUP BY ALL)
+SELECT run_id, stage, x.status AS status, CASE WHEN x.status = 'skipped' THEN 0.0 ELSE round_even(x.d, 3) END AS duration_seconds,
+  CASE WHEN x.status = 'failed' THEN x.error END AS error, CASE WHEN x.status <> 'skipped' THEN CAST(x.s AS VARCHAR) END AS supplier FROM f""")
+def write_stage_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result documents of every stage, written as JSON texts and read back."""
+    flag = F.col("l_returnflag")
+    status = (
+        F.when(flag == "R", "failed").when((flag == "N") & (F.col("l_linestatus") == "O"), "interrupted").when(flag == "N", "skipped").otherwise("passed")
+    )
+    outcomes = Tables(spark, sf_dir).lineitem.select(
+        F.col("l_orderkey").alias("run_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("part_seq"),
+        F.concat(F.lit("stage_"), F.col("l_linenumber").cast("string")).alias("stage"), status.alias("status"),
+        F.col("l_shipdate").cast("string").alias("started_at"), (F.col("l_extendedprice") / 7).alias("duration_seconds"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("error"),
+        F.create_map(F.lit("supplier"), F.col("l_suppkey").cast("string")).alias("data"),
+    )
+    outcomes = outcomes.withColumn("seq", F.struct("part_seq", "status", "duration_seconds"))
+    path = scratch(spark, "envelopes")
+    RC.envelopes(outcomes).select("run_id", F.to_json("envelope").alias("doc")).write.json(path)
+    docs = spark.read.schema("run_id bigint, doc string").json(path)
+    back = RC.stage_results(docs.withColumn("_doc", F.col("doc")))
+    return back.select(
+        "run_id", "stage", "status", "duration_seconds", "error", F.from_json("_doc", "data map<string,string>")["data"]["supplier"].alias("supplier")
+    )
+
+
+@job("write_report_tables", sql="WITH " + TABLE_SQL + """,
+i AS (""" + issues_sql() + """ SELECT * FROM iss)
+SELECT 'phases' AS section, 'ok' AS status, run_id, count(*) AS rows FROM pt GROUP BY run_id
+UNION ALL SELECT 'summary', 'ok', run_id, 1 FROM pt GROUP BY run_id
+UNION ALL SELECT 'issues', 'ok', run_id, count(*) FROM i GROUP BY run_id
+UNION ALL SELECT 'broken', 'failed', NULL, 0""")
+def write_report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's sections written and read back: rows of each section by run; one section fails."""
+    t = Tables(spark, sf_dir)
+    store = ReportStore(spark, scratch(spark, "reports"))
+    sections = {
+        "phases": lambda: table_of(t),
+        "summary": lambda: PH.run_summary(table_of(t)),
+        "broken": lambda: table_of(t).select("no_such_column"),
+        "issues": lambda: issues_of(t),
+    }
+    store.write("all-runs", sections)
+    listed = store.sections("all-runs")
+    good = [store.read("all-runs", s).groupBy("run_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(s).alias("section"), "run_id", "rows") for s in ("phases", "summary", "issues")]
+    rows = good[0].unionByName(good[1]).unionByName(good[2])
+    return listed.join(rows, "section", "left").select("section", "status", "run_id", F.coalesce("rows", F.lit(0)).alias("rows"))
