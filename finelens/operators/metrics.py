@@ -239,10 +239,12 @@ def index_percentiles(
     in_band = base.join(band, by).where(
         (F.col("lo").isNull() | (F.col("_v") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("_v") <= F.col("hi")))
     )
+    # equal values are counted, not ranked: what a window sorts are the distinct values of a band
+    values = in_band.groupBy(*by, "pi", "_v").agg(F.count(F.lit(1)).alias("_c"), F.any_value("r").alias("r"))
     w = Window.partitionBy(*by, "pi").orderBy("_v")
     picked = (
-        in_band.withColumn("_rk", F.row_number().over(w) - 1)
-        .where(F.col("_rk") == F.col("r"))
+        values.withColumn("_upto", F.sum("_c").over(w))
+        .where((F.col("_upto") > F.col("r")) & (F.col("_upto") - F.col("_c") <= F.col("r")))
         .groupBy(*by)
         .pivot("pi", list(range(len(ps))))
         .agg(F.first("_v"))

@@ -93,7 +93,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(count(*) AS BIGINT) AS samples FROM events GROUP BY 1, 2, 3""")
 def resource_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last value per run in every 15-second window."""
-    return S.run_complete(S.resource_status(_event_stream(spark, sf_dir)), "resource_status")
+    return S.run_update(S.resource_status(_event_stream(spark, sf_dir)), ["run_id", "window_start", "window_end"], "resource_status")
 
 
 @job("liveness", sql="""WITH l AS (SELECT user_id AS run_id, max(ts) AS last_event_time FROM events GROUP BY 1),

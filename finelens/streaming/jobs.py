@@ -5,8 +5,8 @@ Every stream is started with ``trigger(availableNow=True)``, keeps its
 offsets and state in a checkpoint and writes to a file sink beside it; the
 caller gets the sink back as a batch DataFrame.  The folder is an argument, so
 a restarted query resumes where it stopped; without one, a fresh folder under
-``spark.checkpoint.dir`` serves a single run.  Aggregations that must be re-emitted whole use
-``foreachBatch`` with an idempotent overwrite of the batch result.
+``spark.checkpoint.dir`` serves a single run.  Aggregations that are emitted whole use
+``foreachBatch`` with one committed version a batch.
 """
 
 from __future__ import annotations
@@ -15,14 +15,17 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finelens.functions.text import py_split, py_str, py_strip_length
 from finelens.operators import checks as C
 from finelens.operators import events as EV
 from finelens.session import ensure_checkpoint_dir, table_path
+from finelens.sources.commits import CommitLog
 
 IDLE_TIMEOUT_SECONDS = 1200  # fixed value of the reference
 STATUS_INTERVAL = "15 seconds"  # fixed value of the reference
+STATUS_DELAY = "10 minutes"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -44,19 +47,51 @@ def run_complete(agg: DataFrame, name: str, out: str | None = None) -> DataFrame
 
     ``out`` holds the checkpoint and the result: a later run with the same
     folder reads only what has arrived since.  Without it a fresh folder is used.
+    Every batch is a version of its own, committed when it is whole: a reader sees the
+    result before or after a batch, and a batch that breaks off leaves nothing.
     """
     spark = agg.sparkSession
     out = out or scratch(spark, name)
+    log = CommitLog(spark, out + "/result")
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out + "/result")
+    def sink(batch: DataFrame, epoch: int) -> None:
+        done = log.numbers()
+        if epoch in done:  # a batch that is run again after its commit
+            return
+        batch.write.mode("overwrite").parquet(log.version(epoch))
+        log.commit(epoch)
+        for old in done[:-1]:  # the version before this one stays for those who read it
+            log.clear(log.version(old))
 
     q = (
         agg.writeStream.outputMode("complete").foreachBatch(sink)
         .option("checkpointLocation", out + "/_checkpoint").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.parquet(out + "/result")
+    latest = log.latest()
+    return spark.read.parquet(log.version(latest)) if latest is not None else spark.createDataFrame([], agg.schema)
+
+
+def run_update(stream: DataFrame, keys: list[str], name: str, out: str | None = None) -> DataFrame:
+    """Run an update-mode stream; return the latest row of each key.
+
+    ``out`` as in ``run_complete``.  Batches leave the rows that they changed, each in a folder of
+    its own, which a batch that is run again replaces.
+    """
+    spark = stream.sparkSession
+    out = out or scratch(spark, name)
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/changes/epoch={epoch}")
+
+    q = (
+        stream.writeStream.outputMode("update").foreachBatch(sink)
+        .option("checkpointLocation", out + "/_checkpoint").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    got = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])).parquet(out + "/changes")
+    rest = [c for c in stream.columns if c not in keys]
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, *[f"_r.{c}" for c in rest])
 
 
 def run_append(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
@@ -110,7 +145,10 @@ def verdict_of_stream_metrics(m: DataFrame, th: C.TextThresholds | None = None)
 
 
 def stream_dedup(samples: DataFrame, by: list[str]) -> DataFrame:
-    """First occurrence of each text per dataset; the state keeps every hash (exact, like the batch check)."""
+    """One row of each text per dataset: the first to arrive, which is any of those that arrive in one batch.
+
+    The state keeps every hash (exact, like the batch check).
+    """
     h = samples.select(*by, "row_idx", F.md5(py_str("text")).alias("text_md5"))
     return h.dropDuplicates([*by, "text_md5"])
 
@@ -123,13 +161,14 @@ def with_event_time(events: DataFrame, col: str = "ts") -> DataFrame:
     return events.withColumn("event_time", F.col(col).cast("timestamp"))
 
 
-def resource_status(events: DataFrame, run: str = "run_id", value: str = "value") -> DataFrame:
+def resource_status(events: DataFrame, run: str = "run_id", value: str = "value", delay: str = STATUS_DELAY) -> DataFrame:
     """Last value of each run in every 15-second window (one status line per interval).
 
-    Of values at one instant the largest counts.  No watermark: late events
-    still reach their window, and the newest windows are reported too.
+    Of values at one instant the largest counts.  Windows are reported as they change, the newest
+    too; an event that comes more than ``delay`` behind the newest one seen in an
+    earlier batch no longer reaches its window, and a window's state is dropped by then.
     """
-    g = events.groupBy(run, F.window("event_time", STATUS_INTERVAL).alias("w")).agg(
+    g = events.withWatermark("event_time", delay).groupBy(run, F.window("event_time", STATUS_INTERVAL).alias("w")).agg(
         F.max(F.struct("event_time", value))[value].alias("last_value"), F.count(F.lit(1)).cast("bigint").alias("samples")
     )
     return g.select(run, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "last_value", "samples")

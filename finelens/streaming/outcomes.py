@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from finelens.streaming.jobs import scratch
+from finelens.streaming.jobs import run_update
 
 # ---------------------------------------------------------------------------
 # fixed values that must equal the reference
@@ -152,18 +152,4 @@ def run_outcomes(changes: DataFrame, out: str | None = None) -> DataFrame:
     ``out`` holds checkpoint and changes: a later run with the same folder goes on from there.  A
     batch that is repeated after a failure replaces its own folder.
     """
-    spark = changes.sparkSession
-    out = out or scratch(spark, "training_outcome")
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/changes/epoch={epoch}")
-
-    q = (
-        changes.writeStream.outputMode("update").foreachBatch(sink)
-        .option("checkpointLocation", out + "/_checkpoint").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    got = spark.read.schema(OUT_SCHEMA + ", epoch long").parquet(out + "/changes")
-    return got.groupBy("run_id").agg(F.max_by(F.struct("status", "message", "decided_ms", "last_ms", "final"), "epoch").alias("r")).select(
-        "run_id", "r.*"
-    )
+    return run_update(changes, ["run_id"], "training_outcome", out)

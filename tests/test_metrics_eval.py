@@ -168,3 +168,18 @@ def test_aggregate_scores_interpolated_median(spark):
     df = spark.createDataFrame([(1, s, EVAL.SCORE_MIN) for s in (0.0, 0.25, 0.5, 1.0)], "g int, score double, raw_score int")
     r = EVAL.aggregate_scores(df, ["g"]).collect()[0]
     assert r["p50_score"] == pytest.approx(0.375) and r["mean_score"] == pytest.approx(0.4375) and r["passed"] is False
+
+
+def test_percentiles_with_one_value_on_a_third_of_the_rows(spark):
+    import random
+
+    from finelens.operators import metrics as M
+
+    r = random.Random(2)
+    rows = [(g, 7.0 if r.random() < 0.34 else float(r.randrange(5) if g else r.random() * 100)) for g in (0, 1) for _ in range(3000)]
+    rows += [(2, 1.0)] * 999 + [(2, 2.0)]
+    got = M.index_percentiles(spark.createDataFrame(rows, "g long, value double"), ["g"], ps=(0.34, 0.5, 0.95, 0.999), accuracy=50)
+    for row in got.collect():
+        v = sorted(x for g, x in rows if g == row["g"])
+        want = [v[min(int(len(v) * p), len(v) - 1)] for p in (0.34, 0.5, 0.95, 0.999)]
+        assert [row["p34"], row["p50"], row["p95"], row["p100"]] == want
