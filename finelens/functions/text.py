@@ -66,3 +66,20 @@ def py_strip_length(col: Column | str) -> Column:
     lead = F.length(F.regexp_extract(s, f"^{PY_WS}*", 0))
     trail = F.length(F.regexp_extract(F.reverse(s), f"^{PY_WS}*", 0))
     return F.when(lead >= n, F.lit(0)).otherwise(n - lead - trail)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """``f"{x:.{digits}f}"``: rounded by the exact binary value, ties to even, as Python and C do.
+
+    The JVM rounds the shortest decimal text of a double instead (43.55 to 43.6, though the double
+    lies below 43.55).  The product with 10**digits is taken with its rounding error, which decides ties.
+    """
+    scale = F.lit(10.0**digits)
+    p = x * scale
+    c = x * F.lit(134217729.0)  # 2**27 + 1: splits a double in two halves whose products are exact
+    hi = c - (c - x)
+    error = (hi * scale - p) + (x - hi) * scale if digits else F.lit(0.0)
+    n = F.floor(p)
+    rest = p - n
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (n % 2 != 0))))
+    return F.format_string(f"%.{digits}f", (n + up.cast("int")) / scale)

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finelens.functions.text import fixed
+
 # ---------------------------------------------------------------------------
 # fixed values that must equal the reference
 # ---------------------------------------------------------------------------
@@ -71,7 +73,7 @@ def _trend_cols() -> list[Column]:
 # verdicts
 # ---------------------------------------------------------------------------
 def _fmt(pattern: str, x: Column) -> Column:
-    return F.format_string(pattern, x)
+    return fixed(x, int(pattern[2:-1]))
 
 
 def verdict(key: Column, tr: dict[str, Column]) -> tuple[Column, Column]:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from finelens.functions.text import fixed
 from finelens.operators import metrics as M
 from finelens.operators.ordering import with_position
 
@@ -223,23 +224,23 @@ def run_summary(table: DataFrame, run: str = "run_id") -> DataFrame:
 def phase_lines(table: DataFrame, run: str = "run_id") -> DataFrame:
     """The report's cells of each phase: mean loss, loss from first to last point, epochs, steps, time."""
     none = F.lit(NO_VALUE)
-    shown = lambda pattern, *c: F.coalesce(F.when(c[0].isNotNull(), F.format_string(pattern, *c)), none)
+    shown = lambda c, text: F.coalesce(F.when(c.isNotNull(), text), none)
     time = F.col("duration_seconds")
     return table.select(
         run,
         "phase_idx",
         "strategy",
-        shown("%.4f", F.col("final_loss")).alias("train_loss"),
-        shown("%.4f \u2192 %.4f", F.col("loss_first"), F.col("loss_last")).alias("step_loss"),
-        shown("%s", F.col("epochs")).alias("epochs"),
+        shown(F.col("final_loss"), fixed(F.col("final_loss"), 4)).alias("train_loss"),
+        shown(F.col("loss_first"), F.concat(fixed(F.col("loss_first"), 4), F.lit(" \u2192 "), fixed(F.col("loss_last"), 4))).alias("step_loss"),
+        shown(F.col("epochs"), F.col("epochs").cast("string")).alias("epochs"),
         F.col("steps").cast("string").alias("steps"),
-        F.when(time != 0, F.format_string("%.1fs", F.bround(time, 1))).otherwise(none).alias("time"),
+        F.when(time != 0, F.concat(fixed(time, 1), F.lit("s"))).otherwise(none).alias("time"),
     )
 
 
 def duration_text(seconds: Column) -> Column:
     """Seconds with one digit below a minute, else minutes and whole seconds."""
-    short = F.format_string("%.1fs", F.bround(seconds, 1))  # ties to even, as the reference's formatting has them
+    short = F.concat(fixed(seconds, 1), F.lit("s"))
     return F.when(seconds < 60, short).otherwise(
         F.format_string("%dm %ds", F.floor(seconds / 60), F.floor(F.pmod(seconds, F.lit(60.0))))
     )

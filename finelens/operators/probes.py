@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from finelens.functions.text import fixed
+
 # ---------------------------------------------------------------------------
 # fixed values that must equal the reference
 # ---------------------------------------------------------------------------
@@ -142,7 +144,7 @@ def gpu_info(events: DataFrame, params: DataFrame | None = None, run: str = "run
         given = params.select(run, F.col("params")[GPU_NAME_PARAM].alias("_given"))
         facts = facts.join(given.where("_given IS NOT NULL"), run, "full").withColumn("name", F.coalesce("name", "_given"))
     return facts.select(
-        run, "name", F.format_string("%.1fGB", F.bround("vram", 1)).alias("_shown"), F.col("vram").alias("total_vram_gb"), "tier"
+        run, "name", F.concat(fixed(F.col("vram"), 1), F.lit("GB")).alias("_shown"), F.col("vram").alias("total_vram_gb"), "tier"
     ).select(run, "name", F.when(F.col("total_vram_gb").isNotNull(), F.col("_shown")).alias("total_vram"), "total_vram_gb", "tier")
 
 

@@ -5,6 +5,8 @@ written.  Plus small jobs over the generated tables that have SQL twins."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,31 @@ from finelens.sources.tables import Tables
 from finelens.streaming.jobs import scratch
 
 
-@job("scan_json")
+#: Documents of one JSON array file.
+ARRAY_DOCS = 4096
+HEAD = 500
+
+
+@job("scan_json", sql=f"""WITH d AS (SELECT source AS dataset, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents),
+f(format) AS (VALUES ('jsonl'), ('array'))
+SELECT format, dataset, count(*) AS rows, min(row_idx) AS first_row, max(row_idx) AS last_row,
+  count(*) FILTER (WHERE row_idx < {HEAD}) AS rows_in_head FROM d, f GROUP BY ALL""")
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as JSONL, read back with an inferred schema; rows per dataset."""
-    path = scratch(spark, "jsonl")
-    Tables(spark, sf_dir).documents.write.json(path)
-    df = FS.read_json_dataset(spark, path)
-    return df.groupBy(F.col("source").alias("dataset")).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+    """Documents written as JSONL and as JSON arrays, read back with an inferred schema, row numbers and a head of rows."""
+    d = Tables(spark, sf_dir).documents
+    base = scratch(spark, "json")
+    d.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.json(base + "/lines")
+    chunk = F.lpad(F.floor(F.col("doc_id") / ARRAY_DOCS).cast("string"), 12, "0")
+    arrays = d.groupBy(chunk.alias("chunk")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*d.columns)))).alias("value"))
+    arrays.repartition("chunk").write.partitionBy("chunk").text(base + "/arrays")
+    parts = []
+    for name, path in (("jsonl", "/lines"), ("array", "/arrays")):
+        whole = FS.read_json_dataset(spark, base + path, row_idx="row_idx").groupBy(F.col("source").alias("dataset")).agg(
+            F.count(F.lit(1)).cast("bigint").alias("rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row")
+        )
+        head = FS.read_json_dataset(spark, base + path, head=HEAD).groupBy(F.col("source").alias("dataset")).agg(F.count(F.lit(1)).alias("rows_in_head"))
+        parts.append(whole.join(head, "dataset", "left").select(F.lit(name).alias("format"), "*").fillna(0, ["rows_in_head"]))
+    return parts[0].unionByName(parts[1])
 
 
 @job("file_stats")
@@ -35,37 +55,55 @@ def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FS.file_stats(spark, path)
 
 
-@job("scan_any_file")
+@job("scan_any_file", sql="""SELECT format, count(*) AS rows, sum(length(source) + length(lang))::BIGINT AS chars
+FROM documents, (VALUES ('csv'), ('jsonl'), ('json'), ('parquet')) f(format) GROUP BY format""")
 def scan_any_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load by suffix: the documents table as CSV, JSONL and Parquet, rows per format."""
+    """Load by suffix: the documents table as CSV, JSONL, JSON array files and Parquet, rows per format."""
     base = scratch(spark, "any")
     d = Tables(spark, sf_dir).documents.select("doc_id", "source", "lang")
     d.write.option("header", True).csv(base + "/d.csv")
     d.write.json(base + "/d.jsonl")
     d.write.parquet(base + "/d.parquet")
-    parts = [FS.read_any(spark, base + f"/d.{s}").select(F.lit(s).alias("format")) for s in ("csv", "jsonl", "parquet")]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.groupBy("format").agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+    chunk = F.floor(F.col("doc_id") / ARRAY_DOCS).cast("string")
+    arrays = d.groupBy(chunk.alias("chunk")).agg(F.to_json(F.collect_list(F.struct(*d.columns))).alias("value"))
+    arrays.repartition("chunk").write.partitionBy("chunk").text(base + "/d.json")
+    parts = [FS.read_any(spark, base + f"/d.{s}").select(F.lit(s).alias("format"), "source", "lang") for s in ("csv", "jsonl", "json", "parquet")]
+    u = reduce(DataFrame.unionByName, parts)
+    chars = F.length("source") + F.length("lang")
+    return u.groupBy("format").agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.sum(chars).cast("bigint").alias("chars"))
+
+
+#: Items of one evaluation file.
+FILE_ITEMS = 1000
 
 
-@job("scan_eval_jsonl")
+@job("scan_eval_jsonl", sql=f"""WITH l AS (SELECT p_partkey // {FILE_ITEMS} AS file, p_partkey AS i,
+  row_number() OVER (PARTITION BY p_partkey // {FILE_ITEMS} ORDER BY p_partkey) AS line_no FROM part)
+SELECT file, count(*) FILTER (WHERE i % 13 <> 0 AND i % 17 <> 0 AND i % 19 <> 0) AS good_rows,
+  count(*) FILTER (WHERE i % 13 = 0 OR (i % 17 <> 0 AND i % 19 = 0)) AS bad_lines,
+  min(line_no) FILTER (WHERE i % 13 = 0 OR (i % 17 <> 0 AND i % 19 = 0)) AS first_bad_line,
+  sum(line_no) FILTER (WHERE i % 13 <> 0 AND i % 17 <> 0 AND i % 19 <> 0)::BIGINT AS good_line_sum FROM l GROUP BY file""")
 def scan_eval_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation JSONL with blank and malformed lines: good rows kept, bad lines counted apart."""
+    """Evaluation JSONL with blank, broken and non-object lines: good rows and bad lines of each file with their line numbers."""
     from finelens.plans.evaluation import eval_items
 
     path = scratch(spark, "eval_jsonl")
-    items = eval_items(Tables(spark, sf_dir))
+    i = F.col("sample_idx")
     good = F.to_json(F.struct("sample_idx", "question", "expected_answer"))
     line = (
-        F.when(F.col("sample_idx") % 13 == 0, F.concat(F.lit('{"question": "broken'), F.col("sample_idx").cast("string")))
-        .when(F.col("sample_idx") % 17 == 0, F.lit(""))
+        F.when(i % 13 == 0, F.concat(F.lit('{"question": "broken'), i.cast("string")))
+        .when(i % 17 == 0, F.lit(" "))
+        .when(i % 19 == 0, F.lit("[1, 2]"))
         .otherwise(good)
     )
-    items.select(line.alias("value")).write.text(path)
+    items = eval_items(Tables(spark, sf_dir)).select("sample_idx", line.alias("value"), F.floor(i / FILE_ITEMS).alias("file"))
+    # all lines of a file in one partition, in order: FILE_ITEMS at most
+    items.repartition("file").sortWithinPartitions("file", "sample_idx").select("value", "file").write.partitionBy("file").text(path)
     ok, bad = FS.read_eval_jsonl(spark, path, "sample_idx BIGINT, question STRING, expected_answer STRING")
-    a = ok.agg(F.count(F.lit(1)).cast("bigint").alias("good_rows")).withColumn("_k", F.lit(1))
-    b = bad.agg(F.count(F.lit(1)).cast("bigint").alias("bad_lines")).withColumn("_k", F.lit(1))
-    return a.join(b, "_k").drop("_k")
+    file = F.regexp_extract("path", r"/file=(\d+)/", 1).cast("bigint").alias("file")
+    a = ok.groupBy(file).agg(F.count(F.lit(1)).cast("bigint").alias("good_rows"), F.sum("line_no").alias("good_line_sum"))
+    b = bad.groupBy(file).agg(F.count(F.lit(1)).cast("bigint").alias("bad_lines"), F.min("line_no").alias("first_bad_line"))
+    return a.join(b, "file", "full").select("file", "good_rows", "bad_lines", "first_bad_line", "good_line_sum").fillna(0, ["good_rows", "bad_lines"])
 
 
 @job("scan_required_columns", sql="""SELECT CAST(count(*) AS BIGINT) AS rows, '' AS missing_fields, true AS passed FROM documents""")

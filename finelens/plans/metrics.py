@@ -75,39 +75,65 @@ def metric_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.trend(metric_points(Tables(spark, sf_dir)), ["run_id", "key"])
 
 
-@job(
-    "metric_verdict",
-    sql="WITH " + MP_SQL + ", " + TREND_SQL + """
-SELECT *,
-  CASE
-    WHEN lower(key) LIKE '%loss%' THEN
-      CASE WHEN max_val IS NOT NULL AND min_val IS NOT NULL AND min_val > 0 AND max_val / min_val > 10
-                AND NOT (first IS NOT NULL AND max_val <= first * 1.1) THEN 'WARNING'
-           WHEN direction = 'decreased' THEN 'GOOD'
-           WHEN direction = 'increased' AND change_pct < 5.0 THEN 'WARNING'
-           WHEN direction = 'increased' THEN 'BAD' ELSE 'NEUTRAL' END
-    WHEN lower(key) LIKE '%accuracy%' OR lower(key) LIKE '%accuracies%' THEN
-      CASE WHEN direction = 'increased' THEN 'GOOD' WHEN direction = 'decreased' THEN 'BAD' ELSE 'NEUTRAL' END
-    WHEN lower(key) LIKE '%grad_norm%' THEN
-      CASE WHEN max_val IS NULL OR first IS NULL THEN 'NEUTRAL' WHEN max_val > first * 10.0 THEN 'WARNING' ELSE 'GOOD' END
-    ELSE 'NEUTRAL' END AS status,
-  CASE
-    WHEN lower(key) LIKE '%loss%' THEN
-      (CASE WHEN direction = 'decreased' THEN 'Improved by ' || printf('%.1f', abs(change_pct)) || '%'
-            WHEN direction = 'increased' AND change_pct < 5.0 THEN 'Small increase (noise?)'
-            WHEN direction = 'increased' THEN 'Degradation' ELSE 'Stable' END)
-      || CASE WHEN max_val IS NOT NULL AND min_val IS NOT NULL AND min_val > 0 AND max_val / min_val > 10
-                AND NOT (first IS NOT NULL AND max_val <= first * 1.1) THEN ' (high volatility)' ELSE '' END
-    WHEN lower(key) LIKE '%accuracy%' OR lower(key) LIKE '%accuracies%' THEN
-      CASE WHEN direction = 'increased' THEN 'Improving' WHEN direction = 'decreased' THEN 'Worsening' ELSE 'Stable' END
-    WHEN lower(key) LIKE '%grad_norm%' THEN
-      CASE WHEN max_val IS NULL OR first IS NULL THEN 'Insufficient data' WHEN max_val > first * 10.0 THEN 'Spikes detected'
-           ELSE 'Stable gradients' END
-    ELSE 'Stable' END AS verdict
-FROM trend""",
-)
+#: One key or more for each of the twelve families of verdicts, and one of none.
+FAMILY_KEYS = [
+    "train_loss", "mean_token_accuracy", "grad_norm", "learning_rate", "train_samples_per_second", "entropy", "total_flos",
+    "rewards/margins", "reward", "kl", "completion_length", "logps/chosen", "logps/rejected", "epoch",
+]
+FAMILY_SQL = f"""mp AS (SELECT user_id AS run_id, {FAMILY_KEYS}[(user_id + event_id) % {len(FAMILY_KEYS)} + 1] AS key, event_id AS step,
+  epoch_us(ts) // 1000 AS ts_ms, value * CASE WHEN (user_id + event_id) % {len(FAMILY_KEYS)} = 6 THEN pow(1000.0, 2 + user_id % 4) ELSE 1 END AS value,
+  event_id AS seq FROM events)"""
+
+
+def family_points(t: Tables) -> DataFrame:
+    """Points whose keys run through all families; the counts of operations span all their units."""
+    at = (F.col("user_id") + F.col("event_id")) % len(FAMILY_KEYS)
+    scale = F.when(at == FAMILY_KEYS.index("total_flos"), F.pow(F.lit(1000.0), 2 + F.col("user_id") % 4)).otherwise(1.0)
+    return t.events.select(
+        F.col("user_id").alias("run_id"), F.get(F.array(*map(F.lit, FAMILY_KEYS)), at.cast("int")).alias("key"),
+        F.col("event_id").alias("step"), epoch_ms("ts").alias("ts_ms"), (F.col("value") * scale).alias("value"), F.col("event_id").alias("seq"),
+    )
+
+
+VERDICT_SQL = """r AS (SELECT *, lower(key) AS k, direction = 'increased' AS inc, direction = 'decreased' AS dec,
+  min_val > 0 AND max_val / min_val > 10 AND NOT (max_val <= first * 1.1) AS volatile FROM trend)
+SELECT * EXCLUDE (k, inc, dec, volatile),
+  CASE WHEN k LIKE '%loss%' THEN CASE WHEN volatile THEN 'WARNING' WHEN dec THEN 'GOOD' WHEN inc AND change_pct < 5.0 THEN 'WARNING'
+         WHEN inc THEN 'BAD' ELSE 'NEUTRAL' END
+    WHEN k LIKE '%accuracy%' OR k LIKE '%accuracies%' THEN CASE WHEN inc THEN 'GOOD' WHEN dec THEN 'BAD' ELSE 'NEUTRAL' END
+    WHEN k LIKE '%grad_norm%' THEN CASE WHEN max_val > first * 10.0 THEN 'WARNING' ELSE 'GOOD' END
+    WHEN k LIKE '%learning_rate%' OR k LIKE '%per_second%' THEN 'NEUTRAL'
+    WHEN k LIKE '%entropy%' THEN CASE WHEN dec THEN 'GOOD' WHEN inc THEN 'WARNING' ELSE 'NEUTRAL' END
+    WHEN k LIKE '%flos%' THEN 'NEUTRAL'
+    WHEN k LIKE '%margin%' THEN CASE WHEN inc THEN 'GOOD' WHEN dec THEN 'WARNING' ELSE 'NEUTRAL' END
+    WHEN k LIKE '%reward%' THEN CASE WHEN inc THEN 'GOOD' WHEN dec THEN 'BAD' ELSE 'NEUTRAL' END
+    WHEN k LIKE '%kl%' THEN CASE WHEN max_val > 10.0 THEN 'WARNING' WHEN inc THEN 'NEUTRAL' ELSE 'GOOD' END
+    WHEN k LIKE '%logp%' AND k LIKE '%rejected%' AND dec THEN 'GOOD' ELSE 'NEUTRAL' END AS status,
+  CASE WHEN k LIKE '%loss%' THEN CASE WHEN dec THEN 'Improved by ' || printf('%.1f', abs(change_pct)) || '%'
+         WHEN inc AND change_pct < 5.0 THEN 'Small increase (noise?)' WHEN inc THEN 'Degradation' ELSE 'Stable' END
+         || CASE WHEN volatile THEN ' (high volatility)' ELSE '' END
+    WHEN k LIKE '%accuracy%' OR k LIKE '%accuracies%' THEN CASE WHEN inc THEN 'Improving' WHEN dec THEN 'Worsening' ELSE 'Stable' END
+    WHEN k LIKE '%grad_norm%' THEN CASE WHEN max_val > first * 10.0 THEN 'Spikes detected' ELSE 'Stable gradients' END
+    WHEN k LIKE '%learning_rate%' THEN 'Follows schedule'
+    WHEN k LIKE '%per_second%' THEN '~' || printf('%.1f', last) || ' samples/sec'
+    WHEN k LIKE '%entropy%' THEN CASE WHEN dec THEN 'Model becoming more confident' WHEN inc THEN 'Rising model uncertainty' ELSE 'Stable confidence' END
+    WHEN k LIKE '%flos%' THEN CASE WHEN last >= 1e15 THEN printf('%.2f', last / 1e15) || ' PFLOPs' WHEN last >= 1e12 THEN printf('%.2f', last / 1e12) || ' TFLOPs'
+         WHEN last >= 1e9 THEN printf('%.2f', last / 1e9) || ' GFLOPs' ELSE printf('%.0f', last) || ' FLOPs' END
+    WHEN k LIKE '%margin%' THEN CASE WHEN inc THEN 'Margin increasing (confidence)' WHEN dec THEN 'Margin decreasing' ELSE 'Stable' END
+    WHEN k LIKE '%reward%' THEN CASE WHEN inc THEN 'Reward increasing (training progressing)' WHEN dec THEN 'Reward decreasing (degradation)'
+         ELSE 'Stable reward' END
+    WHEN k LIKE '%kl%' THEN CASE WHEN max_val > 10.0 THEN 'High divergence (mode collapse risk)' WHEN inc THEN 'Divergence increasing (normal)'
+         ELSE 'Stable' END
+    WHEN k LIKE '%length%' THEN '~' || printf('%.0f', last) || ' tokens'
+    WHEN k LIKE '%logp%' AND k LIKE '%chosen%' AND dec THEN 'Decreasing (expected for DPO)'
+    WHEN k LIKE '%logp%' AND k LIKE '%rejected%' AND dec THEN 'Model picks rejected less often' ELSE 'Stable' END AS verdict
+FROM r"""
+
+
+@job("metric_verdict", sql="WITH " + FAMILY_SQL + ", " + TREND_SQL + ", " + VERDICT_SQL)
 def metric_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.metric_verdicts(M.trend(metric_points(Tables(spark, sf_dir)), ["run_id", "key"]))
+    """Status and verdict of every metric of every run, over keys of all families."""
+    return M.metric_verdicts(M.trend(family_points(Tables(spark, sf_dir)), ["run_id", "key"]))
 
 
 PCT_SQL = """SELECT run_id, key, avg(value) AS avg, min(value) AS min_val, max(value) AS max_val,

@@ -1,40 +1,86 @@
-"""File readers: JSON / JSONL datasets, evaluation JSONL with bad lines,
+"""File readers: JSON / JSONL datasets with row numbers, evaluation JSONL with bad lines,
 any-format loading by suffix, per-file statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CORRUPT = "_corrupt_record"
+from finelens.operators.ordering import with_position
 
 
-def read_json_dataset(spark: SparkSession, path: str, multiline: bool = False, schema=None) -> DataFrame:
-    """JSONL (default) or a JSON array file; schema inferred unless given."""
+def _in_order(df: DataFrame, name: str) -> DataFrame:
+    """``df`` of a file source with ``name``: the row's place by path, then place in the file."""
+    rows = df.select(
+        "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    # a block is read by one task, in order
+    return with_position(rows, [], [F.col("_path"), F.col("_block"), F.col("_at")], name).drop("_path", "_block", "_at")
+
+
+def is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file (or the files of a folder) holds an array rather than a document a line."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first()
+    return first is not None and first["c"] == "["
+
+
+def read_json_dataset(
+    spark: SparkSession, path: str, multiline: bool | None = None, schema=None, row_idx: str | None = None, head: int | None = None
+) -> DataFrame:
+    """JSONL or JSON array files; schema inferred unless given.
+
+    ``multiline``: arrays; None looks at the first character.  ``row_idx`` names a column for
+    the place of a row over all files in path order, from 0; ``head`` keeps the first so many rows.
+    """
+    if multiline is None:
+        multiline = is_json_array(spark, path)
     r = spark.read.option("multiLine", multiline)
     if schema is not None:
         r = r.schema(schema)
-    return r.json(path)
+    df = r.json(path)
+    if row_idx is None and head is None:
+        return df
+    placed = _in_order(df, row_idx or "_row")
+    if head is not None:
+        placed = placed.where(F.col(row_idx or "_row") < head)
+    return placed if row_idx else placed.drop("_row")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line_no (from 1 in each file), line."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    placed = with_position(lines, ["path"], [F.col("_block"), F.col("_at")], "line_no")
+    return placed.select("path", (F.col("line_no") + 1).alias("line_no"), "line")
 
 
 def read_eval_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines).  Blank lines are skipped by the reader; lines that
-    do not parse are kept apart with their text instead of failing the job."""
-    df = (
-        spark.read.schema(f"{schema}, {CORRUPT} STRING").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    )
-    df = df.cache()  # Spark requires a materialised frame to query only the corrupt column
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    """(good rows with path and line_no, bad lines with theirs and their text).
+
+    Blank lines are skipped but counted; a line that is no JSON object is a bad one
+    and fails nothing.  Both frames read one checkpoint of the numbered lines, nothing stays cached.
+    """
+    lines = read_lines(spark, path).where(F.trim("line") != "")
+    parsed = lines.withColumn("_row", F.when(is_json_object(F.col("line")), F.from_json("line", schema)))
+    good = parsed.where(F.col("_row").isNotNull()).select("path", "line_no", "_row.*")
+    bad = parsed.where(F.col("_row").isNull()).select("path", "line_no", "line")
     return good, bad
 
 
+def is_json_object(text: Column) -> Column:
+    return F.ltrim(text).startswith("{") & F.try_parse_json(text).isNotNull()
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Load JSONL / JSON / CSV / Parquet by suffix."""
+    """Load JSONL / JSON (documents a line, or an array) / CSV / Parquet by suffix."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if suffix in ("jsonl", "json"):
+    if suffix == "jsonl":
         return spark.read.json(path)
+    if suffix == "json":
+        return read_json_dataset(spark, path)
     if suffix == "csv":
         return spark.read.option("header", True).csv(path)
     if suffix == "parquet":

@@ -183,3 +183,19 @@ def test_percentiles_with_one_value_on_a_third_of_the_rows(spark):
         v = sorted(x for g, x in rows if g == row["g"])
         want = [v[min(int(len(v) * p), len(v) - 1)] for p in (0.34, 0.5, 0.95, 0.999)]
         assert [row["p34"], row["p50"], row["p95"], row["p100"]] == want
+
+
+def test_fixed_digits_as_python_has_them(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from finelens.functions.text import fixed
+
+    r = random.Random(6)
+    values = [43.55, 50.65, 39.05, 22.25, 0.15, 2.5, 3.5, 0.5, -1.5, -0.25, 0.0, 1e12 + 0.05, 12345678.125] + [r.randrange(100000) / 100 for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in df.select("v", *[fixed(F.col("v"), d).alias(f"d{d}") for d in (0, 1, 2, 4)]).collect():
+        assert [row[f"d{d}"].replace("-0", "0", 1) if float(row[f"d{d}"]) == 0 else row[f"d{d}"] for d in (0, 1, 2, 4)] == [
+            f"{row['v']:.{d}f}".replace("-0", "0", 1) if float(f"{row['v']:.{d}f}") == 0 else f"{row['v']:.{d}f}" for d in (0, 1, 2, 4)
+        ], row["v"]
