@@ -91,8 +91,15 @@ def memory_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("source") == "MemoryManager").withColumn("memory_event_type", mtype)
 
 
-def memory_health(mem_events: DataFrame, by: list[str], max_retries: int = DEFAULT_MAX_RETRIES) -> DataFrame:
-    """Efficiency score, status and verdict per run from its memory events."""
+def memory_health(
+    mem_events: DataFrame, by: list[str], max_retries: int = DEFAULT_MAX_RETRIES, limits: DataFrame | None = None
+) -> DataFrame:
+    """Efficiency score, status and verdict per run from its memory events.
+
+    ``limits`` (by, max_retries): the retry limits that runs were configured with, ``max_retries`` elsewhere.
+    Where events carry ``freed_mb``, what cache clears have freed is summed.
+    """
+    freed = F.coalesce(F.col("freed_mb"), F.lit(0)) if "freed_mb" in mem_events.columns else F.lit(0)
     t = F.col("memory_event_type")
     msg = F.lower(F.col("message"))
     is_warn = t.isin("warning", "critical")
@@ -101,7 +108,15 @@ def memory_health(mem_events: DataFrame, by: list[str], max_retries: int = DEFAU
         F.count_if(t == "cache_clear").cast("bigint").alias("cache_clear_count"),
         F.count_if(is_warn).cast("bigint").alias("warning_count"),
         F.count_if(is_warn & (msg.contains("fragmentation") | msg.contains("frag="))).cast("bigint").alias("frag_warnings"),
+        F.sum(F.when(t == "cache_clear", freed).otherwise(0)).cast("double").alias("freed_mb"),
     )
+    limit = F.lit(max_retries).cast("bigint")
+    if limits is None:
+        agg = agg.withColumn("max_retries", limit)
+    else:
+        own = limits.select(*by, F.col("max_retries").cast("bigint").alias("max_retries"))
+        agg = agg.join(own, by, "left").withColumn("max_retries", F.coalesce("max_retries", limit))
+    max_retries = F.col("max_retries")
     oom, cc, wc, fw = (F.col(c) for c in ("oom_count", "cache_clear_count", "warning_count", "frag_warnings"))
     score = (
         F.lit(100)
@@ -132,11 +147,12 @@ def memory_health(mem_events: DataFrame, by: list[str], max_retries: int = DEFAU
     )
 
 
-def memory_insights(health: DataFrame, by: list[str], max_retries: int = DEFAULT_MAX_RETRIES) -> DataFrame:
+def memory_insights(health: DataFrame, by: list[str]) -> DataFrame:
     """The insight lines of the memory analysis, one row each (in order)."""
+    max_retries = F.col("max_retries")
     oom, cc, wc, fw = (F.col(c) for c in ("oom_count", "cache_clear_count", "warning_count", "frag_warnings"))
     lines = F.array(
-        F.when(oom > max_retries, F.format_string(OOM_FAILED, oom, F.lit(max_retries)))
+        F.when(oom > max_retries, F.format_string(OOM_FAILED, oom, max_retries))
         .when(oom > 0, F.format_string(OOM_RECOVERED, oom)),
         F.when(cc > 10, F.format_string(CACHE_LINE, cc, cc * CACHE_CLEAR_SECONDS)),
         F.when(wc > 5, F.format_string(WARN_LINE, wc)),

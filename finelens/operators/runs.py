@@ -9,9 +9,11 @@ hot key is not a single window partition); per-group top-N uses
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finelens.functions.text import py_strip
+
 # fixed values that must equal the reference
 RESUME_STATUSES = ("failed", "interrupted", "pending", "running", "stale")
 LOG_TAIL_LINES = 30
@@ -114,7 +116,86 @@ def folder_rollup(runs: DataFrame, path: str = "path") -> DataFrame:
 
 
 def checkpoint_retention(ckpts: DataFrame, keep_last: int = 2) -> DataFrame:
-    """Checkpoints beyond the newest ``keep_last`` per phase by numeric step (the final one is kept)."""
-    w = Window.partitionBy("phase").orderBy(F.col("step").desc())
-    ranked = ckpts.where(F.col("name") != "final").withColumn("_rn", F.row_number().over(w))
-    return ranked.where(F.col("_rn") > keep_last).drop("_rn")
+    """Checkpoints beyond the newest ``keep_last`` per phase by numeric step (the final one is kept).
+
+    Only the newest few of a phase are ranked (a group limit in the map tasks); the step of the
+    last one kept is the bound for all others.  Of checkpoints at that step, those with the
+    smaller names stay.
+    """
+    rows = ckpts.where(F.col("name") != "final")
+    w = Window.partitionBy("phase").orderBy(F.col("step").desc(), "name")
+    top = rows.select("phase", "step", "name").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep_last)
+    bound = top.groupBy("phase").agg(F.min("step").alias("_bound"))
+    kept = top.groupBy("phase", "step", "name").agg(F.count(F.lit(1)).alias("_kept"))
+    below = rows.join(bound, "phase").where(F.col("step") < F.col("_bound")).drop("_bound")
+    # repeated rows of the last step: as many go as are not kept
+    edge = rows.join(bound.withColumnRenamed("_bound", "step"), ["phase", "step"]).groupBy("phase", "step", "name").agg(F.count(F.lit(1)).alias("_n"))
+    left = edge.join(kept, ["phase", "step", "name"], "left").withColumn("_n", F.col("_n") - F.coalesce("_kept", F.lit(0)))
+    left = left.where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return below.select("phase", "step", "name").unionByName(left.select("phase", "step", "name"))
+
+
+# ---------------------------------------------------------------------------
+# last error of a log
+# ---------------------------------------------------------------------------
+FAILURE_MARKS = ("pipeline failed:", "configuration error:")  # fixed values, as are the patterns below
+ERROR_MARK = "error:"
+
+
+def clean_log_error(message: Column) -> Column:
+    """The meaningful part of an error line: without level, pipeline prefix, stage and error codes."""
+    out = F.regexp_replace(message, r"^(?:ERROR|WARNING|INFO)\s*-\s*", "")
+    for prefix in ("Pipeline failed: ", "pipeline failed: "):
+        out = F.when(out.startswith(prefix), F.substring(out, len(prefix) + 1, 1 << 30)).otherwise(out)
+    out = F.regexp_replace(out, r"^([\s\S]*?)Stage '[^']+' failed:\s*", "$1")
+    return py_strip(F.regexp_replace(out, r"\[[A-Z_]+\]\s*", ""))
+
+
+def _without_stamp(line: Column) -> Column:
+    """A stripped line; of one that begins with a digit and has two wide gaps, what follows the second."""
+    s = py_strip(line)
+    parts = F.split(s, "  ", 3)
+    return F.when(s.rlike("^[0-9]") & (F.size(parts) >= 3), py_strip(F.get(parts, F.lit(2)))).otherwise(s)
+
+
+def _depth(line: Column) -> Column:
+    return F.length(F.regexp_replace(line, "[^{]", "")) - F.length(F.regexp_replace(line, "[^}]", ""))
+
+
+def last_error(lines: DataFrame) -> DataFrame:
+    """The last error of each file: file, line_no, message.
+
+    ``lines``: file, line_no, line.  It is the last line with a failure mark, with the lines that
+    follow it until its braces are closed; without one, the last line that names an error.  Only in
+    files whose failure line leaves a brace open are the lines behind it looked at, in order.
+    """
+    low = F.lower("line")
+    marked = low.contains(FAILURE_MARKS[0]) | low.contains(FAILURE_MARKS[1])
+    at = lambda cond: F.max_by("line", F.when(cond, F.col("line_no")))
+    last = lines.where(marked | low.contains(ERROR_MARK)).groupBy("file").agg(
+        F.max(F.when(marked, F.col("line_no"))).alias("_at"), at(marked).alias("_line"), F.max("line_no").alias("_any_at"), F.max_by("line", "line_no").alias("_any")
+    )
+    failed = F.col("_at").isNotNull()
+    head = last.select(
+        "file", F.coalesce("_at", "_any_at").alias("line_no"), _without_stamp(F.when(failed, F.col("_line")).otherwise(F.col("_any"))).alias("_head"),
+        F.when(failed, _depth(_without_stamp(F.col("_line")))).otherwise(0).alias("_open"),
+    )
+    open_ = head.where("_open > 0").select("file", F.col("line_no").alias("_from"), "_open")
+    after = lines.join(open_, "file").where(F.col("line_no") > F.col("_from")).select("file", "line_no", py_strip(F.col("line")).alias("_text"), "_open")
+    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rest = after.withColumn("_still", F.col("_open") + F.coalesce(F.sum(_depth(F.col("_text"))).over(before), F.lit(0)))
+    # up to the line that closes the last brace: no line behind one at which nothing was open
+    ended = rest.where("_still <= 0").groupBy("file").agg(F.min("line_no").alias("_end"))
+    rest = rest.join(ended, "file", "left").where(F.col("_end").isNull() | (F.col("line_no") < F.col("_end")))
+    more = rest.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "_text"))).alias("_more"))
+    tail = F.transform(F.coalesce("_more", F.array().cast("array<struct<line_no:bigint,_text:string>>")), lambda x: x["_text"])
+    j = head.join(more, "file", "left")
+    return j.select("file", "line_no", clean_log_error(F.array_join(F.concat(F.array("_head"), tail), "\n")).alias("message"))
+
+
+def duration_hms(started: Column, ended: Column) -> Column:
+    """``1h 2m 3s`` between two times, without leading zero parts; blank without a start or where it would be negative."""
+    s = (F.unix_timestamp(ended.cast("timestamp")) - F.unix_timestamp(started.cast("timestamp"))).cast("bigint")
+    h, m, r = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
+    text = F.when(h > 0, F.format_string("%dh %dm %ds", h, m, r)).when(m > 0, F.format_string("%dm %ds", m, r)).otherwise(F.format_string("%ds", r))
+    return F.when(s >= 0, text).otherwise("")

@@ -187,41 +187,49 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("_fb", before).where(F.col("_fb") < CRITICAL_FAILURES).drop("_fb")
 
 
-@job("validation_rollup", sql="WITH " + CHECK_ROWS_SQL + """
-SELECT dataset, CAST(count(*) AS BIGINT) AS total_plugins, CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS passed_plugins,
-  CAST(count(*) FILTER (WHERE NOT passed) AS BIGINT) AS failed_plugins,
-  count(*) FILTER (WHERE NOT passed) > 0 AND count(*) FILTER (WHERE NOT passed) < 2 AS partial_failure,
-  CASE WHEN count(*) FILTER (WHERE NOT passed) = 0 THEN 'passed' ELSE 'failed' END AS status
-FROM checks GROUP BY dataset""")
+@job("validation_rollup", sql="WITH " + CHECK_ROWS_SQL + """,
+g AS (SELECT dataset, count(*) AS total, count(*) FILTER (WHERE passed) AS ok, count(*) FILTER (WHERE NOT passed) AS bad FROM checks GROUP BY dataset),
+k AS (SELECT DISTINCT source AS dataset FROM documents UNION SELECT DISTINCT 'planned_' || lang FROM documents)
+SELECT dataset, coalesce(total, 0) AS total_plugins, coalesce(ok, 0) AS passed_plugins, coalesce(bad, 0) AS failed_plugins,
+  coalesce(bad > 0 AND bad < 2, false) AS partial_failure,
+  CASE WHEN total IS NULL THEN 'unknown' WHEN bad = 0 THEN 'passed' ELSE 'failed' END AS status FROM k LEFT JOIN g USING (dataset)""")
 def validation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per dataset: plugins total / passed / failed, partial failure (0 < failed < critical), status."""
+    """Per dataset: plugins total / passed / failed, partial failure (0 < failed < critical), status.
+
+    Datasets without a result (here a planned one a language) are unknown.
+    """
     g = check_rows(spark, sf_dir).groupBy(*BY).agg(
         F.count(F.lit(1)).cast("bigint").alias("total_plugins"),
         F.count_if("passed").cast("bigint").alias("passed_plugins"),
         F.count_if(~F.col("passed")).cast("bigint").alias("failed_plugins"),
     )
+    docs = Tables(spark, sf_dir).documents
+    planned = docs.select(F.concat(F.lit("planned_"), F.col("lang")).alias("dataset")).distinct()
+    known = docs.select(F.col("source").alias("dataset")).distinct().unionByName(planned)
+    j = known.join(g, "dataset", "left").withColumn("_seen", F.col("total_plugins").isNotNull())
+    j = j.fillna(0, ["total_plugins", "passed_plugins", "failed_plugins"])
     f = F.col("failed_plugins")
-    return g.select(
-        "*", ((f > 0) & (f < CRITICAL_FAILURES)).alias("partial_failure"),
-        F.when(f == 0, "passed").otherwise("failed").alias("status"),
+    return j.select(
+        *BY, "total_plugins", "passed_plugins", "failed_plugins", ((f > 0) & (f < CRITICAL_FAILURES)).alias("partial_failure"),
+        F.when(~F.col("_seen"), "unknown").when(f == 0, "passed").otherwise("failed").alias("status"),
     )
 
 
 @job("aggregate_datasets", sql="WITH " + CHECK_ROWS_SQL + """,
 ds AS (SELECT dataset, bool_and(passed) AS ok FROM checks GROUP BY dataset)
-SELECT CAST(count(*) AS BIGINT) AS datasets_validated, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS datasets_passed,
-  CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS datasets_failed,
-  coalesce(array_to_string(list_sort(list(dataset) FILTER (WHERE NOT ok)), ','), '') AS failed_datasets
-FROM ds""")
+SELECT dataset, ok AS passed, CAST(NULL AS BIGINT) AS datasets_validated, CAST(NULL AS BIGINT) AS datasets_passed, CAST(NULL AS BIGINT) AS datasets_failed FROM ds
+UNION ALL SELECT NULL, bool_and(ok), count(*), count(*) FILTER (WHERE ok), count(*) FILTER (WHERE NOT ok) FROM ds""")
 def aggregate_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Datasets validated / passed / failed and the failed names (one row; datasets are few)."""
-    ds = check_rows(spark, sf_dir).groupBy(*BY).agg(F.bool_and("passed").alias("ok"))
-    return ds.agg(
+    """One row per dataset, and the totals (validated, passed, failed) under a null dataset."""
+    ds = check_rows(spark, sf_dir).groupBy(*BY).agg(F.bool_and("passed").alias("passed"))
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("datasets_validated", "datasets_passed", "datasets_failed")]
+    total = ds.agg(
+        F.bool_and("passed").alias("passed"),
         F.count(F.lit(1)).cast("bigint").alias("datasets_validated"),
-        F.count_if("ok").cast("bigint").alias("datasets_passed"),
-        F.count_if(~F.col("ok")).cast("bigint").alias("datasets_failed"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("dataset")))), ",").alias("failed_datasets"),
+        F.count_if("passed").cast("bigint").alias("datasets_passed"),
+        F.count_if(~F.col("passed")).cast("bigint").alias("datasets_failed"),
     )
+    return ds.select(*BY, "passed", *none).unionByName(total.select(F.lit(None).cast("string").alias("dataset"), "*"))
 
 
 @job("recommendations", sql="WITH " + PROFILE_SQL + """
@@ -245,11 +253,9 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(*BY, F.explode(F.array_compact(recs)).alias("r")).select(*BY, "r.check_id", "r.critical")
 
 
-@job("dataset_registry", sql="""SELECT CAST(count(DISTINCT source) AS BIGINT) AS datasets,
-  array_to_string(list_sort(list(DISTINCT source)), ',') AS names FROM documents""")
+@job("dataset_registry", sql="""SELECT source AS dataset, count(*) AS samples, count(DISTINCT lang) AS languages FROM documents GROUP BY source""")
 def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct datasets in use: count and sorted names (two-phase distinct, then a small list)."""
-    d = Tables(spark, sf_dir).documents.select("source").distinct()
-    return d.agg(
-        F.count(F.lit(1)).cast("bigint").alias("datasets"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("names")
+    """The datasets in use, one row each, with their size."""
+    return Tables(spark, sf_dir).documents.groupBy(F.col("source").alias("dataset")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("samples"), F.count_distinct("lang").alias("languages")
     )

@@ -85,17 +85,19 @@ mh0 AS (SELECT run_id,
   CAST(count(*) FILTER (WHERE memory_event_type = 'cache_clear') AS BIGINT) AS cache_clear_count,
   CAST(count(*) FILTER (WHERE memory_event_type IN ('warning', 'critical')) AS BIGINT) AS warning_count,
   CAST(count(*) FILTER (WHERE memory_event_type IN ('warning', 'critical')
-    AND (lower(message) LIKE '%fragmentation%' OR lower(message) LIKE '%frag=%')) AS BIGINT) AS frag_warnings
+    AND (lower(message) LIKE '%fragmentation%' OR lower(message) LIKE '%frag=%')) AS BIGINT) AS frag_warnings,
+  CAST(coalesce(sum(attr_k) FILTER (WHERE memory_event_type = 'cache_clear'), 0) AS DOUBLE) AS freed_mb,
+  CAST(CASE WHEN run_id % 10 = 0 THEN 1 ELSE 3 END AS BIGINT) AS max_retries
   FROM mem GROUP BY run_id),
 mh AS (SELECT *,
   CAST(greatest(0, least(100, 100
-    - CASE WHEN oom_count > 3 THEN 100 WHEN oom_count > 0 THEN 20 * oom_count ELSE 0 END
+    - CASE WHEN oom_count > max_retries THEN 100 WHEN oom_count > 0 THEN 20 * oom_count ELSE 0 END
     - CASE WHEN cache_clear_count > 10 THEN cache_clear_count // 5 ELSE 0 END
     - CASE WHEN warning_count > 5 THEN 30 WHEN warning_count > 3 THEN 10 ELSE 0 END
     - frag_warnings * 5 - CASE WHEN oom_count > 0 THEN 15 ELSE 0 END)) AS BIGINT) AS efficiency_score,
-  CASE WHEN oom_count > 3 THEN 'BAD'
+  CASE WHEN oom_count > max_retries THEN 'BAD'
        WHEN oom_count > 0 OR cache_clear_count > 10 OR warning_count > 3 OR frag_warnings > 0 THEN 'WARNING' ELSE 'GOOD' END AS status,
-  CASE WHEN oom_count > 3 THEN 'Critical: OOM loop / failure' WHEN oom_count > 0 THEN 'OOM (recovered)'
+  CASE WHEN oom_count > max_retries THEN 'Critical: OOM loop / failure' WHEN oom_count > 0 THEN 'OOM (recovered)'
        WHEN warning_count > 5 THEN 'Unstable memory' WHEN warning_count > 3 THEN 'Memory pressure'
        WHEN cache_clear_count > 10 THEN 'Warning: high overhead' ELSE 'Healthy' END AS verdict,
   CAST(cache_clear_count * 0.5 AS DOUBLE) AS overhead_seconds
@@ -128,7 +130,14 @@ def memory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job("memory_health", sql="WITH " + EV_SQL + ", " + MEM_SQL + " SELECT * FROM mh")
 def memory_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return EV.memory_health(EV.memory_events(event_log(Tables(spark, sf_dir))), ["run_id"])
+    return health_of_memory(Tables(spark, sf_dir))
+
+
+def health_of_memory(t: Tables) -> DataFrame:
+    """Memory health of every run; every tenth is configured with a single retry, a cache clear frees ``k`` MB."""
+    log = event_log(t)
+    limits = log.select("run_id").distinct().where(F.col("run_id") % 10 == 0).withColumn("max_retries", F.lit(1))
+    return EV.memory_health(EV.memory_events(log).withColumn("freed_mb", F.col("attr_k")), ["run_id"], limits=limits)
 
 
 def run_status(t: Tables) -> DataFrame:
@@ -184,7 +193,7 @@ def evaluator_results(t: Tables) -> DataFrame:
 def issues_of(t: Tables) -> DataFrame:
     """Issues per run from its metrics, memory, stages, artifacts, datasets and evaluators."""
     verdicts = M.metric_verdicts(M.trend(metric_points(t), ["run_id", "key"]))
-    memory = EV.memory_health(EV.memory_events(event_log(t)), ["run_id"])
+    memory = health_of_memory(t)
     parts = [
         EV.metric_issues(verdicts),
         EV.memory_issues(memory),
@@ -238,7 +247,7 @@ iss AS (
          'Metrics' AS context FROM mv WHERE status IN ('BAD', 'WARNING')
   UNION ALL SELECT run_id, 'WARN', msg, 'Memory' FROM (
     SELECT run_id, unnest([
-      CASE WHEN oom_count > 3 THEN printf('Training failed: %d OOM events (retry limit %d exceeded).', oom_count, 3)
+      CASE WHEN oom_count > max_retries THEN printf('Training failed: %d OOM events (retry limit %d exceeded).', oom_count, max_retries)
            WHEN oom_count > 0 THEN printf('There were %d OOM events, but MemoryManager recovered training.', oom_count) END,
       CASE WHEN cache_clear_count > 10 THEN printf('Memory protection triggered %d times. Approximate time lost: %.1fs.',
            cache_clear_count, cache_clear_count * 0.5) END,

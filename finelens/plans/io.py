@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from finelens.functions.text import normalize_pair_text
 from finelens.operators import evaluate as EVAL
 from finelens.operators import runs as R
+from finelens.operators.ordering import with_position
 from finelens.plans.events import EV_SQL
 from finelens.plans.registry import job
 from finelens.sources import files as FS
@@ -147,15 +148,25 @@ def aggregate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EVAL.aggregate_scores(s, ["variant"])
 
 
-@job("runs_list", sql="""SELECT o_custkey AS run_id,
+@job("runs_list", sql="""WITH r AS (SELECT o_custkey AS run_id,
   arg_max(CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END, o_orderkey) AS status,
-  CAST(count(*) AS BIGINT) AS attempts, min(o_orderdate) AS first_started_at FROM orders GROUP BY o_custkey""")
+  CAST(count(*) AS BIGINT) AS attempts, min(o_orderdate) AS first_started_at,
+  max(CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5) END) AS last_completed_at
+  FROM orders GROUP BY o_custkey),
+d AS (SELECT *, epoch(last_completed_at)::BIGINT - epoch(first_started_at)::BIGINT AS s FROM r)
+SELECT row_number() OVER (ORDER BY first_started_at DESC, run_id) - 1 AS position, run_id, 'conf_' || (run_id % 10) AS config, status, attempts,
+  first_started_at, last_completed_at, CASE WHEN s IS NULL OR s < 0 THEN '' WHEN s >= 3600 THEN printf('%dh %dm %ds', s // 3600, s // 60 % 60, s % 60)
+    WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%ds', s) END AS duration FROM d""")
 def runs_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run catalog: latest attempt status, attempt count, first start per run."""
+    """Run catalog, newest first: configuration, latest status, attempts, first start, last end, duration."""
     from finelens.plans.runs import attempts
 
     a = R.attempt_state(attempts(Tables(spark, sf_dir)))
-    return a.select("run_id", "status", "attempts", "first_started_at")
+    rows = a.select(
+        "run_id", F.concat(F.lit("conf_"), (F.col("run_id") % 10).cast("string")).alias("config"), "status", "attempts", "first_started_at",
+        "last_completed_at", R.duration_hms(F.col("first_started_at"), F.col("last_completed_at")).alias("duration"),
+    )
+    return with_position(rows, [], [F.col("first_started_at").desc(), F.col("run_id")], "position")
 
 
 @job("aggregate_phases", sql="""WITH li AS (SELECT l_orderkey, count(*) AS steps, sum(l_quantity) AS runtime FROM lineitem GROUP BY 1)

@@ -294,15 +294,49 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.log_tail(log_lines(Tables(spark, sf_dir)))
 
 
-@job("last_error", sql="WITH " + LOG_SQL + """
-SELECT file, arg_max(line, line_no) AS last_error_line, max(line_no) AS line_no FROM lines
-WHERE contains(lower(line), 'pipeline failed:') OR contains(lower(line), 'configuration error:') GROUP BY file""")
+def error_lines(t: Tables) -> DataFrame:
+    """Log lines with failures of several forms: stamped, coded, with braces left open; ``src7`` has plain errors only."""
+    d = t.documents.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    k, line = F.col("doc_id"), F.col("line")
+    hit = (k % 41 == 0) & (F.col("pos") == 0)
+    shown = (
+        F.when(hit & (F.col("source") == "src7"), F.concat(F.lit("INFO - some error: "), line))
+        .when(hit & (k % 3 == 0), F.concat(F.lit("12:00  run  ERROR - Pipeline failed: Stage 'train' failed: [OOM_ERROR] {"), line))
+        .when(hit & (k % 3 == 1), F.concat(F.lit("Configuration error: [BAD] "), line))
+        .when(hit, F.concat(F.lit("ERROR: pipeline failed: "), line))
+        .when((k + F.col("pos")) % 5 == 0, F.concat(line, F.lit(" }")))
+        .otherwise(line)
+    )
+    return d.select(F.col("source").alias("file"), (k * 1_000_000 + F.col("pos")).alias("line_no"), shown.alias("line"))
+
+
+STRIP = "regexp_replace({}, '^@WS@+|@WS@+$', '', 'g')"
+
+
+@job("last_error", sql=rf"""WITH d AS (SELECT doc_id AS k, source AS file, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+l AS (SELECT file, k * 1000000 + pos AS line_no, CASE WHEN k % 41 = 0 AND pos = 0 THEN CASE WHEN file = 'src7' THEN 'INFO - some error: ' || line
+    WHEN k % 3 = 0 THEN '12:00  run  ERROR - Pipeline failed: Stage ''train'' failed: [OOM_ERROR] {{' || line
+    WHEN k % 3 = 1 THEN 'Configuration error: [BAD] ' || line ELSE 'ERROR: pipeline failed: ' || line END
+  WHEN (k + pos) % 5 = 0 THEN line || ' }}' ELSE line END AS line FROM d),
+m AS (SELECT *, contains(lower(line), 'pipeline failed:') OR contains(lower(line), 'configuration error:') AS marked FROM l WHERE contains(lower(line), 'error:')
+  OR contains(lower(line), 'pipeline failed:')),
+h0 AS (SELECT file, bool_or(marked) AS failed, coalesce(max(line_no) FILTER (WHERE marked), max(line_no)) AS line_no FROM m GROUP BY file),
+h AS (SELECT file, failed, line_no, {STRIP.format('line')} AS s FROM h0 JOIN l USING (file, line_no)),
+g AS (SELECT file, failed, line_no, CASE WHEN starts_with(s, '12:00  run  ') THEN {STRIP.format('substr(s, 13)')} ELSE s END AS head FROM h),
+o AS (SELECT *, CASE WHEN failed THEN length(replace(head, '}}', '')) - length(replace(head, '{{', '')) ELSE 0 END AS open FROM g),
+a AS (SELECT l.file, l.line_no, {STRIP.format('l.line')} AS t, o.open FROM l JOIN o ON o.file = l.file AND l.line_no > o.line_no AND o.open > 0),
+s AS (SELECT *, open + coalesce(sum(length(replace(t, '}}', '')) - length(replace(t, '{{', ''))) OVER (PARTITION BY file ORDER BY line_no
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS still FROM a),
+e AS (SELECT file, min(line_no) FILTER (WHERE still <= 0) AS stop FROM s GROUP BY file),
+c AS (SELECT s.file, string_agg(t, chr(10) ORDER BY line_no) AS more FROM s JOIN e USING (file) WHERE stop IS NULL OR line_no < stop GROUP BY s.file),
+r AS (SELECT o.file, line_no, head || coalesce(chr(10) || more, '') AS raw FROM o LEFT JOIN c USING (file)),
+q AS (SELECT file, line_no, regexp_replace(raw, '^(?:ERROR|WARNING|INFO)\s*-\s*', '') AS raw FROM r),
+u AS (SELECT file, line_no, CASE WHEN starts_with(lower(raw), 'pipeline failed: ') THEN substr(raw, 18) ELSE raw END AS raw FROM q)
+SELECT file, line_no, {STRIP.format(r"regexp_replace(regexp_replace(raw, 'Stage ''[^'']+'' failed:\s*', ''), '\[[A-Z_]+\]\s*', '', 'g')")} AS message FROM u""")
 def last_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last failure line of each log file."""
-    lines = log_lines(Tables(spark, sf_dir))
-    low = F.lower("line")
-    hit = lines.where(low.contains("pipeline failed:") | low.contains("configuration error:"))
-    return hit.groupBy("file").agg(F.max_by("line", "line_no").alias("last_error_line"), F.max("line_no").alias("line_no"))
+    """Last failure of each log file, with the lines that belong to it, cleaned."""
+    return R.last_error(error_lines(Tables(spark, sf_dir)))
 
 
 @job("folder_rollup", sql="WITH " + TREE_SQL + ", " + EXP_SQL + """,
