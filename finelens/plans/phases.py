@@ -26,11 +26,8 @@ from finelens.plans.registry import job
 from finelens.plans.runs import TREE_SQL, run_tree
 from finelens.sources.tables import Tables
 
-K = F.get_json_object("props", "$.k").cast("int")
-
-
 def training_events(t: Tables) -> DataFrame:
-    e = t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", "event_type", "value", K.alias("k"))
+    e = t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     k = F.col("k")
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "Complete").otherwise("info")
     name = F.when(k % 7 == 0, "").when(k % 2 == 0, "sft").otherwise("dpo")
