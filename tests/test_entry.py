@@ -38,3 +38,14 @@ def test_config_hashes_match_python(spark):
         assert got["model_dataset_hash"] == digest(model)
         assert got["training_critical_hash"] == digest(training)
         assert got["late_stage_hash"] == digest({"inference": {"type": p["p_type"]}, "evaluation": {"size": p["p_size"]}})
+
+
+def test_jobs_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    from .conftest import ROOT
+
+    code = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
