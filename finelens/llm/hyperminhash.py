@@ -19,8 +19,8 @@ Work, without all pairs of a group:
    meet all members of other components, in blocks of bounded size.  Inside a
    block, sets of up to ``SMALL`` shingles are compared in full and joined
    as links are found, so a block hands out fewer links than it has
-   components; of pairs with a larger set, the likeliest for each two components
-   is verified on the full sets, and more of them only where it fails.  Links
+   components; of pairs with a larger set, the likeliest few for each two components
+   are verified on the full sets, and more of them only where these fail.  Links
    then join components, not documents.  A group of copies is
    thus never expanded into its pairs, and no bucket member is left out.
 
@@ -64,7 +64,7 @@ SIGMAS = 5.0
 #: exhaustive search they carry all their hashes and are compared in full at once.
 SMALL = 512
 #: Likeliest pairs of larger sets that are verified for two components of a bucket, round by round; None: all.
-QUOTAS = (1, 16, None)
+QUOTAS = (16, None)
 #: Ids hash to so many slots; a broadcast of slots is bounded by it whatever the input.
 SLOTS = 1 << 20
 #: Bucket members in one block of the exhaustive search.

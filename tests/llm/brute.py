@@ -11,14 +11,14 @@ WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, width: int = 2) -> frozenset:
     w = WORD.findall((text or "").translate(LOWER))
-    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*[w[k:] for k in range(width)])) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def near_components(texts: dict[int, str | None]) -> dict[int, int]:
+def near_components(texts: dict[int, str | None], width: int = 2) -> dict[int, int]:
     """doc_id -> smallest doc_id reachable over pairs at Jaccard >= 0.8."""
-    sets = {d: shingles(t) for d, t in texts.items()}
+    sets = {d: shingles(t, width) for d, t in texts.items()}
     parent = {d: d for d in sets}
 
     def find(x: int) -> int:
@@ -54,8 +54,8 @@ def quality(text: str | None) -> dict:
             (not re.search(Q.END_MARKS, s) and len(WORD.findall(s)) < Q.MIN_LINE_WORDS)
             or sum(c in Q.SYMBOLS for c in s) > Q.MAX_SYMBOL_SHARE * len(s)
             or sum(c in "|»›·" for c in s) >= 2
-            or re.search(Q.NAVIGATION, low)
-            or re.search(Q.BOILERPLATE, low)
+            or (len(WORD.findall(s)) <= Q.MAX_NAVIGATION_WORDS and re.search(Q.NAVIGATION, low))
+            or (len(WORD.findall(s)) <= Q.MAX_BOILERPLATE_WORDS and re.search(Q.BOILERPLATE, low))
         )
 
     good = [x for x in lines if not fails(x)]

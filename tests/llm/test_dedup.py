@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from finelens.llm import exact_dedup, hyperminhash, quality_rules
+from finelens.llm import exact_dedup, hyperminhash, pii_surrogates, quality_rules
 
 from . import brute
 
@@ -46,6 +46,29 @@ def test_exact_groups_edges(spark):
     assert set(kept.values()) == {1}  # one row of each group, repeated rows too
 
 
+def test_runs_merge_in_binomial_rounds_without_a_new_sort(spark, monkeypatch):
+    made = []
+    write = exact_dedup.run_table
+
+    def seen(entries, buckets, k):
+        name = write(entries, buckets, k)
+        plan = exact_dedup.merged(spark.table(name))._jdf.queryExecution().executedPlan().toString()
+        made.append((k, spark.table(name).select("run").distinct().count(), plan))
+        return name
+
+    monkeypatch.setattr(exact_dedup, "run_table", seen)
+    rows = [(i, f"text {i % 37}", 1, "x", 2, 3, "r", "t", 4) for i in range(400)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {CLASH}").repartition(11)
+    got = exact_dedup.exact_groups(docs).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == [(i, i % 37, 11 if i % 37 < 30 else 10) for i in range(400)]
+    assert [k for k, _, _ in made] == [0, 1, 2, 3]  # ceil(log2(11)) rounds
+    for _, _, plan in made:
+        assert "SortMergeJoin" in plan and "FullOuter" in plan
+        assert "Exchange" not in plan and "Sort [" not in plan, plan
+    made.clear()
+    assert exact_dedup.exact_groups(docs.coalesce(1)).count() == 400 and not made  # one run: nothing to merge
+
+
 def test_drop_copies_keeps_one_row_of_each_text(spark):
     docs = table(spark, EDGE)
     out = exact_dedup.drop_copies(docs)
@@ -94,21 +117,14 @@ def test_near_groups_match_all_pairs(spark, near_texts):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
-def wide_shingles(text, width):
-    w = brute.WORD.findall((text or "").translate(brute.LOWER))
-    return frozenset(zip(*[w[k:] for k in range(width)])) if len(w) >= width else frozenset([tuple(w)] if w else [])
-
-
 @pytest.mark.parametrize("width", [1, 5])
-def test_near_groups_of_other_widths_match_all_pairs(spark, near_texts, monkeypatch, width):
+def test_near_groups_of_other_widths_match_all_pairs(spark, near_texts, width):
     texts = near_texts | {14: "four words stand here", 15: "FOUR words stand  here", 17: "four words stand", 18: "words four stand here"}
-    two = brute.near_components(texts)
-    monkeypatch.setattr(brute, "shingles", lambda t: wide_shingles(t, width))
-    want = brute.near_components(texts)
-    assert want != two
+    want = brute.near_components(texts, width)
+    assert want != brute.near_components(texts)
     got = {r["doc_id"]: r for r in hyperminhash.near_groups(table(spark, list(texts.items())), width=width).collect()}
     assert {d: r["component_id"] for d, r in got.items()} == want
-    assert all(got[d]["n_shingles"] == len(wide_shingles(t, width)) for d, t in texts.items())
+    assert all(got[d]["n_shingles"] == len(brute.shingles(t, width)) for d, t in texts.items())
 
 
 def test_near_groups_nulls_and_repeated_rows(spark):
@@ -166,10 +182,18 @@ QUALITY = [
     "one two three four five six seven eight nine ten " * 3, "a b c d e a b c d e f g h i j k l m n o p q r s t u v w x y z.",
     "All rights reserved.\nA real sentence stands here with enough words to stay in.\nA real sentence stands here with enough words to stay in.",
     "### *** &&& word " * 20, "menu\nlogin\n" + "Some proper text goes on for quite a while and then it stops.", "x" * 200_000 + " and more words here to reach ten of them all.",
+    "Next we turn to a paragraph that names the privacy policy of a house, and it goes on for more than twenty words in all, as prose does.",
+    "Alle Rechte vorbehalten.\nPolítica de privacidad.\nInicio\nEin Satz mit genügend Wörtern steht hier und bleibt im Text stehen.",
+    "Next page\nNext we shall see how the matter stands today.\nThen a line of plain text follows it and ends well.",
     "é ü ñ words with accents are words too, and this line has many.\x0b\x0cEnd.",
 ]
 
 
+def test_phrases_fail_short_lines_only():
+    kept = [brute.quality(t)["kept"] for t in QUALITY if t and t.startswith(("Next we turn", "Alle Rechte", "Next page"))]
+    assert kept == [True, True, True]
+
+
 def test_quality_matches_brute_force(spark):
     docs = table(spark, list(enumerate(QUALITY)) + [(1, QUALITY[1]), (None, QUALITY[5])])
     got = quality_rules.judge_documents(docs).collect()
@@ -183,3 +207,87 @@ def test_quality_matches_brute_force(spark):
     for r in clean.collect():
         want = brute.quality(QUALITY[5 if r["doc_id"] is None else r["doc_id"]])
         assert want["kept"] and r["text"] == want["clean_text"]
+
+
+def near_copies(n, words=120, seed=5):
+    """One group: n copies of a text with 0 to 9 of its words changed."""
+    rng = random.Random(seed)
+    base, out = random_text(rng, words), []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = "q" + str(rng.randint(0, 99_999))
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_links_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    made: dict = {}
+    keep = hyperminhash.stored
+
+    def counted(df, label):
+        out = keep(df, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(hyperminhash, "stored", counted)
+    seen = []
+    for n in (200, 400, 800):
+        made.clear()
+        rows = near_copies(n)
+        got = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_groups(table(spark, rows)).collect()}
+        if n == 200:
+            assert got == brute.near_components(dict(rows))
+        seen.append((made["star-pairs"], made.get("residual-pairs", 0), made.get("links", 0)))
+    for few, many in zip(seen, seen[1:]):
+        assert all(b <= 2.5 * a + 20 for a, b in zip(few, many)), seen
+
+
+@pytest.mark.parametrize("size", [511, 512, 513])
+def test_sets_about_the_bound_of_small_ones(spark, size):
+    """Pairs at the threshold and one below it, in a group whose hub links with neither."""
+    words = [f"w{i}" for i in range(size + 1)]  # size shingles of two words
+    most = max(k for k in range(size) if 100 * (size - k) >= 80 * (size + k))
+    rows = [(1, " ".join(words))]
+    for doc, changed in ((2, most), (3, most + 1)):
+        rows.append((doc, " ".join(words[: size + 1 - changed] + [f"x{doc}_{i}" for i in range(changed)])))
+    rows += [(10 + i, t) for i, t in enumerate(t for _, t in rows)]
+    got = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_groups(table(spark, rows)).collect()}
+    assert got == brute.near_components(dict(rows))
+
+
+def test_quotas_lose_no_link_of_large_sets(spark, monkeypatch):
+    """Every set counts as large, one candidate a round: still all links."""
+    monkeypatch.setattr(hyperminhash, "SMALL", 0)
+    rows = near_copies(60, words=90, seed=9) + [(100 + i, t) for i, t in near_copies(30, words=70, seed=3)]
+    got = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_groups(table(spark, rows)).collect()}
+    assert got == brute.near_components(dict(rows))
+
+
+def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "NODE_BITS", 3)
+    texts = [" ".join(f"t{i}_{k}" for k in range(12)) for i in range(40)]
+    rows = list(enumerate(texts)) + [(100 + i, t + " more") for i, t in enumerate(texts)]
+    rows = [(i, t + " " + " ".join(f"same{k}" for k in range(2))) for i, t in rows]
+    out = hyperminhash.keep_one_of_each(table(spark, rows))
+    want = {min(ids) for ids in brute_groups(rows).values()}
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(want)
+
+
+def brute_groups(rows):
+    groups: dict = {}
+    for d, c in brute.near_components(dict(rows)).items():
+        groups.setdefault(c, []).append(d)
+    return groups
+
+
+def test_columns_of_any_name_are_kept(spark):
+    odd = "__m string, __pii int, __p int, __r int, __uid int, __key string, __w int, __node long, __j string, __q int, __t string, __lines int, __good int, __kept string, c0 int, c1 string, `a.b` int"
+    base = "This is a line of plain text that ends well and says a good deal more than it must."
+    rows = [(i, base + f" Number {i}, see a{i}@b.com.", "m", 8, 9, 10, 11, "k", 1, 2, "j", 3, "t", 4, 5, "y", 6, "z", 7) for i in (1, 2)]
+    docs = spark.createDataFrame(rows + [rows[0]], f"doc_id long, text string, {odd}")
+    for op in (exact_dedup.drop_copies, hyperminhash.keep_one_of_each, quality_rules.clean_documents, pii_surrogates.anonymised):
+        out = op(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert tuple(r)[2:] == rows[0][2:], op
