@@ -11,6 +11,7 @@ Defined results
 ---------------
 * null or blank text: no words, all counts 0, base_failed, not kept, cleaned
   text empty;
+* a very long line is judged by its end mark and symbols alone: phrases fail short lines only;
 * blank lines are dropped from the cleaned text and count as no loss;
 * repeated rows and null ids are judged one by one like any other;
 * further columns of the input are kept by ``clean_documents``.
@@ -33,15 +34,21 @@ MIN_LINE_WORDS = 3
 MAX_SYMBOL_SHARE = 0.10
 SYMBOLS = "#*$%&|<>"
 
-#: Fixed phrases (lower case) that mark navigation and boilerplate lines.
+#: Lines of more words are prose: a phrase in them is no navigation, no boilerplate.
+MAX_NAVIGATION_WORDS = 6
+MAX_BOILERPLATE_WORDS = 20
+#: Fixed phrases (lower case) that mark navigation and boilerplate lines, in English, German, French and Spanish.
 NAVIGATION = (
     r"^(home|menu|search|login|log in|sign in|sign up|register|next|previous|prev|back|share|"
-    r"read more|skip to content|back to top|site map|sitemap)([\s|>/:.-]|$)"
+    r"read more|skip to content|back to top|site map|sitemap|"
+    r"startseite|anmelden|registrieren|accueil|connexion|inicio|iniciar sesión)([\s|>/:.-]|$)"
 )
 BOILERPLATE = (
     r"all rights reserved|copyright ©|\(c\) \d{4}|©|privacy policy|terms of (use|service)|"
     r"cookie policy|accept cookies|enable javascript|subscribe to our newsletter|"
-    r"licensed under|license, version|under the mit license|lorem ipsum"
+    r"licensed under|license, version|under the mit license|lorem ipsum|"
+    r"alle rechte vorbehalten|datenschutzerklärung|tous droits réservés|politique de confidentialité|"
+    r"todos los derechos reservados|política de privacidad"
 )
 END_MARKS = r"""[.!?…。！？:;"'”’»)\]]$"""
 
@@ -108,8 +115,8 @@ def line_fails(line: Column) -> Column:
             (~ended & (n_words < MIN_LINE_WORDS))
             | (symbols > MAX_SYMBOL_SHARE * F.length(s))
             | (count_of(s, "|»›·") >= 2)
-            | low.rlike(NAVIGATION)
-            | low.rlike(BOILERPLATE)
+            | ((n_words <= MAX_NAVIGATION_WORDS) & low.rlike(NAVIGATION))
+            | ((n_words <= MAX_BOILERPLATE_WORDS) & low.rlike(BOILERPLATE))
         )
 
     return let(F.regexp_replace(line, f"^[{WS}]+|[{WS}]+$", ""), judged)

@@ -84,8 +84,8 @@ judged AS (
     (NOT regexp_matches(s, '@END@') AND len(regexp_split_to_array(s, '[\x20\x09-\x0D]+')) < @MIN_LINE@)
     OR (length(s) - length(translate(s, '@SYM@', '')) > @SHARE@ * length(s))
     OR (length(s) - length(translate(s, '|»›·', '')) >= 2)
-    OR regexp_matches(lower(s), '@NAV@')
-    OR regexp_matches(lower(s), '@BOILER@') AS failed
+    OR (len(regexp_split_to_array(s, '[\x20\x09-\x0D]+')) <= @MAX_NAV@ AND regexp_matches(lower(s), '@NAV@'))
+    OR (len(regexp_split_to_array(s, '[\x20\x09-\x0D]+')) <= @MAX_BOILER@ AND regexp_matches(lower(s), '@BOILER@')) AS failed
   FROM line
 ),
 lines AS (
@@ -118,6 +118,8 @@ def quality_sql() -> str:
         "@BOILER@": q.BOILERPLATE,
         "@SYM@": q.SYMBOLS,
         "@MIN_LINE@": str(q.MIN_LINE_WORDS),
+        "@MAX_NAV@": str(q.MAX_NAVIGATION_WORDS),
+        "@MAX_BOILER@": str(q.MAX_BOILERPLATE_WORDS),
         "@SHARE@": str(q.MAX_SYMBOL_SHARE),
         "@LOSS@": str(q.MAX_LOSS),
     }.items():
