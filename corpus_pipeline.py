@@ -3,6 +3,16 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
+
+Defined results
+---------------
+* a null, empty or blank text has no words: the quality rules reject it;
+* rows without doc_id are judged like any other; where one of several equal or
+  near-equal texts must stay, rows with an id come first, the smallest id before others;
+* repeated rows are copies of each other: one stays;
+* a very long text is judged, compared and cut into pieces whole;
+* an empty table gives no pieces, with the columns of the last stage;
+* further columns of ``documents`` pass through every stage but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +33,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+#: Words of a shingle of the near-dedup stage; near copies have at least 0.8 of their shingles in common.
+NEAR_WORDS = 5
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return hyperminhash.keep_one_of_each(docs)
+    return hyperminhash.keep_one_of_each(docs, width=NEAR_WORDS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
