@@ -240,7 +240,7 @@ def test_pipeline_matches_brute_force(spark, sf001_docs):
     for d in sorted(clean):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", clean[d]), d)
     single = {d: clean[d] for d in first.values()}
-    comp = brute.near_components(single)
+    comp = brute.near_components(single, corpus_pipeline.NEAR_WORDS)
     want = {d for d in single if comp[d] == d}
     out = corpus_pipeline.run(spark, SF001).collect()
     assert {r["doc_id"] for r in out} == want
@@ -265,6 +265,27 @@ def test_stages_keep_the_columns_of_documents(spark):
 
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "pii_surrogates", "packing"]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        if name != "near_dedup":  # covered by the run above
-            assert stage(spark, docs.limit(20), SF001).columns == docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(20), SF001).columns == docs.columns
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, a long text, columns named like the stages' own; then no rows at all."""
+    import corpus_pipeline
+
+    line = "Here stands a line of plain text number {} that says quite enough to be kept by all rules."
+    rows = [(i, line.format(f"n{i} with words w{i}a w{i}b w{i}c"), i) for i in range(6)]
+    rows += [rows[0], (None, rows[1][1], 0), (None, line.format("nobody else has this one, x y z"), 0), (7, None, 0), (8, "", 0), (None, None, 0)]
+    rows += [(9, "\n".join(" ".join(f"v{k}w{j}" for j in range(9)) + "." for k in range(3000)), 0)]
+    odd = "`__node` long, `__q` long, `__key` long, `__pii` long, c0 long"
+    data = [(d, t, "en", "s", len(t or ""), k, 1, 2, 3, 4) for d, t, k in rows]
+    docs = spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, n_chars long, {odd}")
+    docs.repartition(3).write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert sorted({str(r["doc_id"]) for r in out}) == ["0", "1", "2", "3", "4", "5", "9", "None"]
+    assert sum(r["piece"] == 0 for r in out) == 8  # one row of each text
+    pieces = sorted((r["piece"], r["start"], r["length"]) for r in out if r["doc_id"] == 9)
+    assert len(pieces) > 3 and [s for _, s, _ in pieces] == [4096 * p for p, _, _ in pieces]
+    docs.where("1 = 0").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    none = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert none.count() == 0 and none.columns == [*out[0].asDict()]
