@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finelens.functions.text import py_strip
+from finelens.operators.ordering import with_position
 
 # fixed values that must equal the reference
 RESUME_STATUSES = ("failed", "interrupted", "pending", "running", "stale")
@@ -115,6 +116,18 @@ def folder_rollup(runs: DataFrame, path: str = "path") -> DataFrame:
     return ex.groupBy("folder").agg(F.count(F.lit(1)).cast("bigint").alias("runs"), F.max("start_ms").alias("newest_start_ms"))
 
 
+ROOT_GROUP = "(root)"  # fixed value
+
+
+def grouped_by_folder(runs: DataFrame) -> DataFrame:
+    """Runs by the first folder of their path: grp, position (newest first), run_id, status, start_ms, runs, newest_start_ms."""
+    parts = F.split("path", "/")
+    rows = runs.withColumn("grp", F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(ROOT_GROUP)).drop("path")
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).cast("bigint").alias("runs"), F.max("start_ms").alias("newest_start_ms"))
+    placed = with_position(rows, ["grp"], [F.col("start_ms").desc(), F.col("run_id")], "position")
+    return placed.join(sizes, "grp").select("grp", "position", "run_id", "status", "start_ms", "runs", "newest_start_ms")
+
+
 def checkpoint_retention(ckpts: DataFrame, keep_last: int = 2) -> DataFrame:
     """Checkpoints beyond the newest ``keep_last`` per phase by numeric step (the final one is kept).
 

@@ -377,15 +377,20 @@ def latest_metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mp.groupBy("run_id", "key").agg(F.max_by("value", "step").alias("value"), F.max("step").alias("step"))
 
 
-@job("run_progress", sql="WITH " + ATT_SQL + """
+@job("run_progress", sql="WITH " + ATT_SQL + """,
+d AS (SELECT *, CASE WHEN status = 'completed' THEN epoch(completed_at) - epoch(started_at) END AS s FROM att)
 SELECT run_id, CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS completed, CAST(count(*) AS BIGINT) AS total,
-  100.0 * count(*) FILTER (WHERE status = 'completed') / count(*) AS percent FROM att GROUP BY run_id""")
+  100.0 * count(*) FILTER (WHERE status = 'completed') / count(*) AS percent, coalesce(sum(s), 0)::BIGINT AS completed_seconds,
+  max(s)::BIGINT AS longest_seconds, avg(s) AS mean_seconds FROM d GROUP BY run_id""")
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completed / total attempts and percent per run."""
+    """Completed / total attempts, percent, and the time of the completed ones per run."""
     a = attempts(Tables(spark, sf_dir))
-    g = a.groupBy("run_id").agg(
-        F.count_if(F.col("status") == "completed").cast("bigint").alias("completed"), F.count(F.lit(1)).cast("bigint").alias("total")
-    )
+    done = F.col("status") == "completed"
+    seconds = F.when(done, F.unix_timestamp(F.col("completed_at").cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp")))
+    g = a.withColumn("_s", seconds).groupBy("run_id").agg(
+        F.count_if(done).cast("bigint").alias("completed"), F.count(F.lit(1)).cast("bigint").alias("total"),
+        F.coalesce(F.sum("_s"), F.lit(0)).cast("bigint").alias("completed_seconds"), F.max("_s").alias("longest_seconds"), F.avg("_s").alias("mean_seconds"),
+    )
     return g.withColumn("percent", F.lit(100.0) * F.col("completed") / F.col("total"))
 
 
@@ -399,14 +404,17 @@ def resume_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("run_id").agg(F.min(F.when(bad, F.col("attempt_no"))).alias("resume_attempt_no"))
 
 
-@job("runs_grouped", sql="WITH " + TREE_SQL + ", " + EXP_SQL + """
-SELECT experiment AS grp, CAST(count(*) AS BIGINT) AS runs, max(start_ms) AS newest_start_ms FROM exp GROUP BY experiment""")
+@job("runs_grouped", sql="WITH " + TREE_SQL + ", " + EXP_SQL + """,
+p AS (SELECT CASE WHEN CAST(substr(run_id, 2) AS BIGINT) % 9 = 0 THEN run_name ELSE experiment || '/' || run_name END AS path, run_id, status, start_ms FROM exp),
+g AS (SELECT *, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '(root)' END AS grp FROM p)
+SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY start_ms DESC, run_id) - 1 AS position, run_id, status, start_ms,
+  count(*) OVER (PARTITION BY grp) AS runs, max(start_ms) OVER (PARTITION BY grp) AS newest_start_ms FROM g""")
 def runs_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs grouped by their top folder (experiment)."""
+    """Runs by their top folder, newest first, with the group's size; runs in no folder are in (root)."""
     e = experiment_runs(run_tree(Tables(spark, sf_dir)))
-    return e.groupBy(F.col("experiment").alias("grp")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("runs"), F.max("start_ms").alias("newest_start_ms")
-    )
+    loose = F.substring("run_id", 2, 20).cast("bigint") % 9 == 0
+    path = F.when(loose, F.col("run_name")).otherwise(F.concat_ws("/", "experiment", "run_name"))
+    return R.grouped_by_folder(e.select(path.alias("path"), "run_id", "status", "start_ms"))
 
 
 @job("stage_timeline", sql="""SELECT l_orderkey AS attempt_no, 'stage_' || l_linenumber AS stage_name,
