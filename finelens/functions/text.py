@@ -17,6 +17,8 @@ PY_WS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 PY_WS_RUN = PY_WS + "+"
+#: The same characters one by one, for ``btrim``.
+PY_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _c(col: Column | str) -> Column:

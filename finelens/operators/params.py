@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finelens.functions.text import py_strip
+from finelens.functions.text import PY_BLANKS
 
 # ---------------------------------------------------------------------------
 # fixed values that must equal the reference: canonical name -> names it may have, first found wins
@@ -54,14 +54,23 @@ _DIGITS = r"[0-9]+(_[0-9]+)*"
 WHOLE = rf"^[+-]?{_DIGITS}$"
 REAL = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
 SPECIAL = r"^[+-]?([nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+#: How a number starts: what does not needs none of the patterns above.
+NUMERIC = r"^[+-]?[0-9.iInN]"
+
+
+def _strip(text: Column) -> Column:
+    """``py_strip`` for short texts, without a pattern."""
+    return F.btrim(text, F.lit(PY_BLANKS))
+
+
+def _digits(text: Column) -> Column:
+    return F.replace(text, F.lit("_"), F.lit(""))
 
 
 def _real(text: Column) -> Column:
     """The double that a number text stands for; nan and infinities included."""
     special = F.regexp_replace(F.regexp_replace(F.lower(text), "inf(inity)?", "Infinity"), "[+-]?nan", "NaN")
-    return F.when(text.rlike(SPECIAL), special.try_cast("double")).when(
-        text.rlike(REAL), F.regexp_replace(text, "_", "").try_cast("double")
-    )
+    return F.when(text.rlike(REAL), _digits(text).try_cast("double")).when(text.rlike(SPECIAL), special.try_cast("double"))
 
 
 def _typed(kind: Column, text: Column, flag: Column, whole: Column, real: Column) -> Column:
@@ -74,23 +83,34 @@ def _typed(kind: Column, text: Column, flag: Column, whole: Column, real: Column
     )
 
 
-def parse_value(text: Column) -> Column:
-    """kind and value of a parameter text: true / false, whole number, number, else the text itself.
-
-    Numbers may have blanks around them and single underscores between digits.  A whole
-    number beyond 64 bits keeps its kind, with a null value.
-    """
-    s = py_strip(text)
-    flag = F.lower(text).isin("true", "false")
-    real = _real(s)
-    kind = (
+def _kind(text: Column, s: Column) -> Column:
+    """Kind of a parameter text; ``s``: the text without blanks around it."""
+    return (
         F.when(text.isNull(), F.lit("null"))
-        .when(flag, "bool")
+        .when(F.lower(text).isin("true", "false"), "bool")
+        .when(~s.rlike(NUMERIC), "string")
         .when(s.rlike(WHOLE), "int")
-        .when(real.isNotNull(), "float")
+        .when(s.rlike(REAL) | s.rlike(SPECIAL), "float")
         .otherwise("string")
     )
-    return _typed(kind, text, F.lower(text) == "true", F.regexp_replace(s, "_", "").try_cast("bigint"), real)
+
+
+def parse_value(text: Column, s: Column | None = None, kind: Column | None = None) -> Column:
+    """kind and value of a parameter text: true / false, whole number, number, else the text itself.
+
+    Numbers may have blanks around them and single underscores between digits.  A whole
+    number beyond 64 bits keeps its kind, with a null value.  ``s``, ``kind``: where they are at hand.
+    """
+    s = _strip(text) if s is None else s
+    kind = _kind(text, s) if kind is None else kind
+    return _typed(kind, text, F.lower(text) == "true", _digits(s).try_cast("bigint"), _real(s))
+
+
+def with_value(rows: DataFrame, text: str = "raw") -> DataFrame:
+    """``rows`` with ``value``: ``parse_value`` of a column, each step of it evaluated once a row."""
+    at = F.col(text)
+    steps = rows.withColumn("_s", _strip(at)).withColumn("_kind", _kind(at, F.col("_s")))
+    return steps.withColumn("value", parse_value(at, F.col("_s"), F.col("_kind"))).drop("_s", "_kind")
 
 
 def _scalar(s: Column) -> Column:
@@ -100,11 +120,12 @@ def _scalar(s: Column) -> Column:
     kind = (
         F.when(s.isNull() | (low == "none"), F.lit("null"))
         .when(low.isin("true", "false"), "bool")
+        .when(~s.rlike(NUMERIC), "string")
         .when(s.rlike(WHOLE), "int")
         .when(dotted.isNotNull(), "float")
         .otherwise("string")
     )
-    return _typed(kind, s, low == "true", F.regexp_replace(s, "_", "").try_cast("bigint"), dotted)
+    return _typed(kind, s, low == "true", _digits(s).try_cast("bigint"), dotted)
 
 
 def convert_param(text: Column) -> Column:
@@ -112,13 +133,13 @@ def convert_param(text: Column) -> Column:
 
     ``value.kind`` is ``list`` then, and ``items`` is null for anything else.
     """
-    s = py_strip(text)
+    s = _strip(text)
     one = _scalar(s)
     many = (one["kind"] == "string") & s.contains(",")
     listed = F.struct(F.lit("list").alias("kind"), *[F.lit(None).cast(t).alias(n) for n, t in _VALUE_TYPES])
     return F.struct(
         F.when(many, listed).otherwise(one).alias("value"),
-        F.when(many, F.transform(F.split(s, ","), lambda x: _scalar(py_strip(x)))).alias("items"),
+        F.when(many, F.transform(F.split(s, ","), lambda x: _scalar(_strip(x)))).alias("items"),
     )
 
 
@@ -153,14 +174,11 @@ def normalize_params(runs: DataFrame, run: str = "run_id") -> DataFrame:
     return chosen.unionByName(rest).withColumn("value", parse_value(F.col("raw")))
 
 
-def truthy(value: Column) -> Column:
-    """Whether a typed value counts as given: not null, false, zero or empty."""
-    return (
-        F.coalesce(value["bool_value"], F.lit(False))
-        | F.coalesce(value["int_value"] != 0, (value["kind"] == "int") & value["int_value"].isNull())
-        | F.coalesce(value["float_value"] != 0, F.lit(False))
-        | F.coalesce(value["text_value"] != "", F.lit(False))
-    )
+def truthy(text: Column) -> Column:
+    """Whether the typed value of a text counts as given: not null, false, zero or empty."""
+    s = _strip(text)
+    number = F.when(s.rlike(REAL), _digits(s).try_cast("double") != 0).otherwise(True)
+    return F.when(text.isNull() | (text == "") | (F.lower(text) == "false"), False).when(s.rlike(NUMERIC), number).otherwise(True)
 
 
 def merge_params(sources: DataFrame, run: str = "run_id") -> DataFrame:
@@ -169,9 +187,10 @@ def merge_params(sources: DataFrame, run: str = "run_id") -> DataFrame:
     ``sources``: run, precedence (0 is first), source, params (map of texts), typed (whether the
     source's texts stand for typed values, so that "0" and "false" do not count).
     """
-    raw = sources.select(run, "precedence", "source", "typed", F.explode("params").alias("key", "raw"))
-    raw = raw.where(F.col("raw").isNotNull())
-    given = F.when(F.col("typed"), truthy(parse_value(F.col("raw")))).otherwise(F.col("raw") != "")
+    # outer: else Spark filters by the size of the map first, and so builds it twice
+    raw = sources.select(run, "precedence", "source", "typed", F.explode_outer("params").alias("key", "raw"))
+    raw = raw.where(F.col("raw").isNotNull() & F.col("key").isin(*[k for keys in FIELDS.values() for k in keys]))
+    given = F.when(F.col("typed"), truthy(F.col("raw"))).otherwise(F.col("raw") != "")
     fields = F.create_map(
         *[
             x
@@ -180,7 +199,7 @@ def merge_params(sources: DataFrame, run: str = "run_id") -> DataFrame:
             for x in (F.lit(key), F.struct(F.lit(field).alias("field"), F.lit(i).alias("pos")))
         ]
     )
-    found = raw.where(given).withColumn("f", F.element_at(fields, F.col("key"))).where(F.col("f").isNotNull())
+    found = raw.where(given).withColumn("f", F.element_at(fields, F.col("key")))
     best = found.groupBy(run, F.col("f.field").alias("field")).agg(
         F.min_by(F.struct("key", "source", "raw"), F.struct(F.col("f.pos"), F.col("precedence"))).alias("b")
     )

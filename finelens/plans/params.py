@@ -124,12 +124,12 @@ SELECT run_id, field, arg_min(key, (pos, precedence)) AS key, arg_min(source, (p
   arg_min(raw, (pos, precedence)) AS raw FROM g JOIN f USING (key) GROUP BY run_id, field""")
 def merge_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The configuration fields of each run with the source that decides them."""
-    rows = Tables(spark, sf_dir).orders.select(
+    given = Tables(spark, sf_dir).orders.select("o_orderkey", F.expr(f"filter(array({PARAM_ROWS}), x -> x.raw IS NOT NULL)").alias("given"))
+    rows = given.select(
         F.col("o_orderkey").alias("run_id"),
         F.expr("inline(array(" + ", ".join(
             f"struct({i} AS precedence, '{n}' AS source, {str(typed).lower()} AS typed, "
-            f"CASE WHEN {c} THEN transform(filter(array({PARAM_ROWS}), x -> x.raw IS NOT NULL), "
-            f"x -> struct(x.key AS key, {OVERLAY[n].replace('raw', 'x.raw')} AS raw)) END AS kv)"
+            f"CASE WHEN {c} THEN transform(given, x -> struct(x.key AS key, {OVERLAY[n].replace('raw', 'x.raw')} AS raw)) END AS kv)"
             for i, (n, c, typed) in enumerate(SOURCES)
         ) + "))"),
     )

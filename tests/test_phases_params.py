@@ -138,6 +138,23 @@ def test_merge_params_skips_what_is_not_given(spark):
     assert {(r["field"], r["key"], r["source"], r["raw"]) for r in got} == {("batch_size", "batch_size", "root", "0"), ("optimizer", "optimizer", "root", "adam"), ("num_epochs", "num_epochs", "source", "5")}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_param_texts_are_matched_once_a_row(spark):
+    # patterns were repeated for every output of the value, and tried on keys that no field takes
+    runs = spark.createDataFrame([(1, {"lr": "1"})], "run_id long, params map<string,string>").select("run_id", F.map_concat("params").alias("params"))
+    sources = runs.selectExpr("run_id", "0 AS precedence", "'phase' AS source", "true AS typed", "params")
+    plan = plan_of(P.merge_params(sources))
+    assert plan.count("RLIKE") <= 2 and plan.count("INSET") + plan.count(" IN (") >= 1 and "size(map_concat" not in plan
+
+
+@pytest.mark.parametrize("text,given", [("0", False), ("-0_0", False), (" 0.0 ", False), ("0e5", False), ("1e-400", False), ("false", False), ("", False), (None, False), (" ", True), ("false ", True), ("0x", True), ("nan", True), ("-inf", True), ("99999999999999999999", True), ("0.1", True), ("1__0", True)])
+def test_truthy_text(spark, text, given):
+    assert spark.createDataFrame([(text,)], "t string").select(P.truthy(F.col("t"))).first()[0] is given
+
+
 FULL = {"ssh_host": "h", "ssh_port": "22", "workspace_path": "/w"}
 
 
