@@ -152,26 +152,33 @@ def normalize_params(runs: DataFrame, run: str = "run_id") -> DataFrame:
     ``runs``: run, params (map of texts).  ``source_key`` is the name the value was given
     under; ``value`` is typed by ``parse_value``.  A null text counts as absent.
     """
-    raw = runs.select(run, F.explode("params").alias("source_key", "raw")).where(F.col("raw").isNotNull())
+    # outer: else Spark filters by the size of the map first, and so builds it twice
+    raw = runs.select(run, F.explode_outer("params").alias("source_key", "raw")).where(F.col("raw").isNotNull())
+    keys = list(dict.fromkeys(k for ks in ALTERNATES.values() for k in ks))
     places = F.create_map(
         *[
             x
-            for key in dict.fromkeys(k for keys in ALTERNATES.values() for k in keys)
+            for key in keys
             for x in (
                 F.lit(key),
                 F.array(*[F.struct(F.lit(n).alias("name"), F.lit(ks.index(key)).alias("pos")) for n, ks in ALTERNATES.items() if key in ks]),
             )
         ]
     )
-    hits = raw.select(run, "source_key", "raw", F.explode(F.element_at(places, F.col("source_key"))).alias("at"))
+    known = raw.where(F.col("source_key").isin(*keys))
+    hits = known.select(run, "source_key", "raw", F.explode_outer(F.element_at(places, F.col("source_key"))).alias("at"))
     chosen = hits.groupBy(run, F.col("at.name").alias("name")).agg(F.min_by(F.struct("source_key", "raw"), "at.pos").alias("b"))
     chosen = chosen.select(run, "name", "b.*")
-    # an original name that is canonical too is covered: it is among its own alternates or was not found
+    # an original name that is canonical too is covered if it is among its own alternates, or if the run gives any of them;
+    # a null run is equal to no other, so nothing covers its names
     own = raw.select(run, F.col("source_key").alias("name"), "source_key", "raw")
-    rest = own.where(~F.col("name").isin(*ALTERNATES)).unionByName(
-        own.where(F.col("name").isin(*ALTERNATES)).join(chosen.select(run, "name"), [run, "name"], "left_anti")
-    )
-    return chosen.unionByName(rest).withColumn("value", parse_value(F.col("raw")))
+    rest = own.where(~F.col("name").isin(*ALTERNATES) | F.col(run).isNull())
+    apart = {n: ks for n, ks in ALTERNATES.items() if n not in ks}
+    left = own.where(F.col("name").isin(*apart) & F.col(run).isNotNull())
+    covers = raw.where(F.col("source_key").isin(*[k for ks in apart.values() for k in ks]) & F.col(run).isNotNull())
+    named = F.coalesce(*[F.when(F.col("source_key").isin(*ks), F.lit(n)) for n, ks in apart.items()])
+    rest = rest.unionByName(left.join(covers.select(run, named.alias("name")), [run, "name"], "left_anti"))
+    return with_value(chosen.unionByName(rest))
 
 
 def truthy(text: Column) -> Column:

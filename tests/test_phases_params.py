@@ -145,11 +145,22 @@ def plan_of(df):
 def test_param_texts_are_matched_once_a_row(spark):
     # patterns were repeated for every output of the value, and tried on keys that no field takes
     runs = spark.createDataFrame([(1, {"lr": "1"})], "run_id long, params map<string,string>").select("run_id", F.map_concat("params").alias("params"))
+    plan = plan_of(P.normalize_params(runs).select("run_id", "value.*"))
+    assert plan.count("RLIKE") <= 3 * 6 and "size(map_concat" not in plan  # three branches: chosen, others, canonical names without alternates
     sources = runs.selectExpr("run_id", "0 AS precedence", "'phase' AS source", "true AS typed", "params")
     plan = plan_of(P.merge_params(sources))
     assert plan.count("RLIKE") <= 2 and plan.count("INSET") + plan.count(" IN (") >= 1 and "size(map_concat" not in plan
 
 
+def test_normalize_params_repeated_and_null_runs(spark):
+    maps = [(1, {"scheduler": "a"}), (1, {"scheduler": "a"}), (1, {"x": "1"}), (2, {"scheduler": "b"}), (2, {"lr_scheduler_type": "c"}), (None, {"scheduler": "d", "batch_size": "4"}), (None, {"lr_scheduler_type": "e"}), (3, None)]
+    got = P.normalize_params(spark.createDataFrame(maps, "run_id long, params map<string,string>")).collect()
+    assert sorted(((r["run_id"] or 0, r["name"], r["source_key"], r["raw"]) for r in got)) == [
+        (0, "batch_size", "batch_size", "4"), (0, "batch_size", "batch_size", "4"), (0, "lr_scheduler_type", "lr_scheduler_type", "e"), (0, "scheduler", "lr_scheduler_type", "e"), (0, "scheduler", "scheduler", "d"),
+        (1, "scheduler", "scheduler", "a"), (1, "scheduler", "scheduler", "a"), (1, "x", "x", "1"), (2, "lr_scheduler_type", "lr_scheduler_type", "c"), (2, "scheduler", "lr_scheduler_type", "c"),
+    ]
+
+
 @pytest.mark.parametrize("text,given", [("0", False), ("-0_0", False), (" 0.0 ", False), ("0e5", False), ("1e-400", False), ("false", False), ("", False), (None, False), (" ", True), ("false ", True), ("0x", True), ("nan", True), ("-inf", True), ("99999999999999999999", True), ("0.1", True), ("1__0", True)])
 def test_truthy_text(spark, text, given):
     assert spark.createDataFrame([(text,)], "t string").select(P.truthy(F.col("t"))).first()[0] is given
