@@ -29,6 +29,7 @@ STATE_VERSION = 1
 EVENTS_DOC = "events array<struct<seq:bigint,event_type:string,value:double>>"
 STATE_DOC = "schema_version int, logical_run_id string, pipeline_status string, attempts int"
 ENVELOPE_DOC = "stage string, status string, duration_seconds double, error string"
+ENVELOPE_FIELDS = "stage string, status string, started_at string, duration_seconds double, error string, data map<string,string>"
 
 
 def document(text: Column, schema: str) -> Column:
@@ -81,11 +82,10 @@ def envelopes(outcomes: DataFrame, run: str = "run_id") -> DataFrame:
         F.when(F.col("status") == "failed", F.col("error")).alias("error"),
         F.when(skipped, none).otherwise(F.coalesce("data", none)).alias("data"),
     )
-    rows = outcomes.select(run, "seq", "stage", envelope.alias("envelope"))
-    # a map has no order, its text has
-    return rows.groupBy(run, "stage").agg(
-        F.min_by(F.struct("envelope"), F.struct("seq", F.to_json("envelope"))).alias("_e")
-    ).select(run, "stage", F.col("_e.envelope").alias("envelope"))
+    # a map has no order, its text has: the text decides between equal seq, and it alone is dealt out and read back
+    rows = outcomes.select(run, "seq", "stage", F.to_json(envelope).alias("text"))
+    first = rows.groupBy(run, "stage").agg(F.min(F.struct("seq", "text")).alias("_e"))
+    return first.select(run, "stage", F.from_json("_e.text", ENVELOPE_FIELDS).alias("envelope"))
 
 
 def stage_envelopes(docs: DataFrame, run: str = "run_id", text: str = "doc") -> DataFrame:

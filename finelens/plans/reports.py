@@ -214,7 +214,7 @@ def write_stage_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     outcomes = outcomes.withColumn("seq", F.struct("part_seq", "status", "duration_seconds"))
     path = scratch(spark, "envelopes")
-    RC.envelopes(outcomes).select("run_id", F.to_json("envelope").alias("doc")).write.json(path)
+    RC.envelopes(outcomes).select("run_id", F.to_json("envelope").alias("doc")).write.json(path, compression="gzip")
     docs = spark.read.schema("run_id bigint, doc string").json(path)
     back = RC.stage_results(docs.withColumn("_doc", F.col("doc")))
     return back.select(

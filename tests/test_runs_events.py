@@ -8,6 +8,7 @@ from finelens.operators import checks as C
 from finelens.operators import evaluate as EV
 from finelens.operators import events as E
 from finelens.operators import metrics as M
+from finelens.operators import records
 from finelens.operators import runs as R
 
 
@@ -113,3 +114,24 @@ def test_strategy_chains(spark):
     assert got[3] == (2, False, 0, REC.CHAIN_DUPLICATE, "default")
     assert got[4] == (2, False, 0, None, None)
     assert got[5] == (2, False, 0, REC.CHAIN_NONE, None)
+
+
+def test_envelopes_carry_one_text(spark):
+    kinds = "run_id long, seq int, stage string, status string, started_at string, duration_seconds double, error string, data map<string,string>"
+    rows = [
+        (1, 2, "a", "passed", "t2", 1.0, "x", {"k": "late"}),
+        (1, 1, "a", "failed", 't"1\n', 1.0005, "é\\ \x01", {"k": None, 'q"': "v"}),
+        (1, 1, "a", "failed", 't"1\n', 1.0005, "é\\ \x01", {"k": None, 'q"': "w"}),
+        (1, 1, "b", "skipped", None, 5.0, "x", {"k": "v"}),
+        (2, 1, "a", "passed", None, float("nan"), "x", None),
+        (None, None, None, None, None, None, None, None),
+    ]
+    out = records.envelopes(spark.createDataFrame(rows, kinds))
+    # the envelope and its text were both dealt out
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan
+    got = {(r["run_id"], r["stage"]): r["envelope"].asDict() for r in out.collect()}
+    assert got[1, "a"] == {"stage": "a", "status": "failed", "started_at": 't"1\n', "duration_seconds": 1.0, "error": "é\\ \x01", "data": {"k": None, 'q"': "v"}}
+    assert got[1, "b"] == {"stage": "b", "status": "skipped", "started_at": None, "duration_seconds": 0.0, "error": None, "data": {}}
+    assert got[2, "a"]["data"] == {} and got[2, "a"]["duration_seconds"] != got[2, "a"]["duration_seconds"]
+    assert got[None, None] == {"stage": None, "status": None, "started_at": None, "duration_seconds": None, "error": None, "data": {}} and len(got) == 4
