@@ -50,6 +50,8 @@ FIRST_RULE = 50_257
 SYMBOLS = 1 << 16
 #: Ids that close a shard.
 SHARD_IDS = 1 << 20
+#: Distinct segments a worker remembers, some 60 bytes each: rare ones come back after many documents.
+SEGMENTS = 1_600_000
 #: A rule costs 12 bytes and saves 2 a use: rarer pairs are left alone.
 MIN_USES = 8
 #: A round replaces the pairs with at least this share of the highest count.
@@ -279,7 +281,7 @@ def shard_maker(path: str):
             )
 
         for b in batches:
-            for doc, own in zip(b.column(0).to_pylist(), tokens.encoder(path).encode(b.column(1))):
+            for doc, own in zip(b.column(0).to_pylist(), tokens.encoder(path, SEGMENTS).encode(b.column(1))):
                 docs.append(doc)
                 ids.append(np.r_[own, END_ID].astype(np.uint32))
                 size += len(ids[-1])

@@ -5,7 +5,7 @@ blank between two solid characters (byte-level BPE) or at blanks (word BPE),
 and where letters, digits and other signs meet (not behind an apostrophe, nor
 next to a character whose class its bytes do not tell).  Segments are hashed for a whole slice at once; the library encodes each
 distinct segment, and the ids of all texts are gathered from there.  A worker
-keeps what it has encoded, up to ``CACHE`` segments, for its next batches.
+keeps what it has encoded, up to ``CACHE`` segments unless told otherwise, for its next batches.
 
 Segments are told apart by 64-bit hashes of their bytes and length.
 """
@@ -82,9 +82,12 @@ class Encoder:
     Special token strings inside a text are ordinary text.  Null is empty.
     """
 
-    def __init__(self, path: str):
+    cache = CACHE
+
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.cache = cache
         spec = json.load(open(path, encoding="utf-8"))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -182,7 +185,7 @@ class Encoder:
         data, offsets = W.text_bytes(column)
         slices = W.slices(data, offsets)
         while stride := list(islice(slices, STRIDE)):
-            if len(self.known) > CACHE:
+            if len(self.known) > self.cache:
                 self.reset()
             yield from self.encode_stride(stride)
 
@@ -218,9 +221,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
-    return Encoder(path)
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    """One encoder a worker process, file and number of segments to remember."""
+    return Encoder(path, cache)
 
 
 def vocabulary(name: str) -> str:

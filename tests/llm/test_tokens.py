@@ -148,3 +148,19 @@ def test_bounds_are_below_the_best_packing():
         assert bound >= lengths.sum() / packing.CAPACITY - 1e-9
     third = np.full(9, packing.CAPACITY // 3 + 1)
     assert packing.lower_bound(np.bincount(third, minlength=packing.CAPACITY + 1)) >= 4.5 - 1e-9
+
+
+def test_encoder_remembers_up_to_its_cache(monkeypatch):
+    texts = pa.array([f"word{i} alpha beta" for i in range(500)])
+    learned = {}
+    ids = {}
+    for cache in (1, 100_000):
+        coder = tokens.Encoder(tokens.vocabulary(repair.VOCABULARY), cache)
+        sizes = []
+        learn = coder.learn
+        monkeypatch.setattr(coder, "learn", lambda h, raws, f=learn, n=sizes: (n.append(len(raws)), f(h, raws)))
+        ids[cache] = [x.tolist() for _ in range(2) for x in coder.encode(texts)]
+        learned[cache] = len(sizes)
+    assert learned == {1: 2, 100_000: 1} and ids[1] == ids[100_000]
+    # shards remember more than others, whose encoders keep their own bound
+    assert repair.SEGMENTS > tokens.CACHE == tokens.encoder(tokens.vocabulary(repair.VOCABULARY)).cache
