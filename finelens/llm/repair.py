@@ -32,7 +32,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,12 +62,11 @@ MAGIC = 0x52504731
 HEAD = struct.Struct("<6I")
 
 
-#: Bits of the tables of pair hashes that tell which pairs are worth a closer look.
+#: Bits at most of the tables of pair hashes, which have SLOTS slots a frequent pair.
 PAIR_BITS = 22
-
-
-def pair_slots(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - PAIR_BITS)
+SLOTS = 16
+#: Least share of the sequence from which all its pairs are made at once.
+DENSE_SHARE = 1 / 4
 
 
 class Rounds:
@@ -80,42 +78,50 @@ class Rounds:
     """
 
     def __init__(self, seq: np.ndarray, offs: np.ndarray):
-        self.seq, self.offs = seq, offs  # ``offs``: the documents' n + 1 offsets
+        self.seq, self.offs = seq.astype(np.uint16), offs  # ``offs``: the documents' n + 1 offsets
         self.next_rule = FIRST_RULE
-        self.at = np.arange(max(len(seq) - 1, 0))  # places of the pairs to count, ascending
-
-    def glued(self, at: np.ndarray) -> np.ndarray:
-        """Those of the places whose symbol and the next belong to one document."""
-        first = np.zeros(len(self.seq) + 1, bool)
-        first[self.offs] = True
-        return at[~first[at + 1]]
+        self.look = np.ones(len(seq), bool)  # mask of the places of the pairs to count
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places to count whose symbol and the next belong to one document, and their pairs."""
+        seq = self.seq
+        if len(seq):
+            self.look[self.offs[1:] - 1] = False
+        at = np.flatnonzero(self.look)
+        if len(at) < DENSE_SHARE * len(seq):
+            return at, seq[at].astype(np.uint32) << np.uint32(16) | seq[at + 1]
+        every = seq.astype(np.uint32) << np.uint32(16)
+        every[:-1] |= seq[1:]
+        return at, every[at]
 
     def replace(self) -> np.ndarray | None:
         """One round; the pairs of its rules, or None at the end. A rule is made only if it is used MIN_USES times."""
-        at, seq = self.glued(self.at), self.seq
-        keys = seq[at] << np.uint32(16) | seq[at + 1]
+        at, keys = self.pairs()
         ordered = np.sort(keys)
         if not len(ordered):
             return None
-        edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
+        edge = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered)]
         uses = np.diff(edge)
         frequent = np.flatnonzero(uses >= MIN_USES)
-        maybe = np.zeros(1 << PAIR_BITS, bool)
-        maybe[pair_slots(ordered[edge[frequent]])] = True
-        often_at = maybe[pair_slots(keys)]
-        at, keys = at[often_at], keys[often_at]
+        uses, frequent = uses[frequent], ordered[edge[frequent]]
+        if not len(frequent):
+            return None
+        table = PairTable(frequent)
+        slots = table.slots(keys)
         floor = max(MIN_USES, int(uses.max() * ROUND_SHARE))
         while self.next_rule < SYMBOLS:
-            often = frequent[uses[frequent] >= floor]
+            often = np.flatnonzero(uses >= floor)
             by_use = often[np.argsort(-uses[often], kind="stable")][: SYMBOLS - self.next_rule]
-            chosen = ordered[edge[by_use]]
-            where, rule = occurrences(at, keys, chosen)
+            chosen = frequent[by_use]
+            code = table.codes(slots, chosen)
+            where, rule = occurrences(at, *table.found(keys, code))
             used = np.bincount(rule, minlength=len(chosen))
             pays = used >= MIN_USES
-            take = pays[rule]
-            if take.any():
+            if pays.any():
+                take = pays[rule]
                 number = np.cumsum(pays) - 1 + self.next_rule
-                self.merge(at, where[take], number[rule[take]])
+                self.look[at] = code > 0
+                self.merge(where[take], number[rule[take]])
                 self.next_rule += int(pays.sum())
                 return chosen[pays]
             if floor == MIN_USES:
@@ -124,49 +130,76 @@ class Rounds:
             floor = max(MIN_USES, floor // 4)
         return None
 
-    def merge(self, at: np.ndarray, where: np.ndarray, symbols: np.ndarray) -> None:
-        """Puts ``symbols`` in place of the pairs at ``where``; ``at``: places to keep looking at."""
+    def merge(self, where: np.ndarray, symbols: np.ndarray) -> None:
+        """Puts ``symbols`` in place of the pairs at ``where`` (ascending); their places and those before are looked at."""
         self.seq[where] = symbols
         keep = np.ones(len(self.seq), bool)
         keep[where + 1] = False
-        gone = np.zeros(len(keep) + 1, np.int32)
-        np.cumsum(~keep, out=gone[1:])
-        self.seq = self.seq[keep]
-        self.offs = self.offs - gone[self.offs]
-        look = np.zeros(len(self.seq), bool)
-        at = at[keep[at]]
-        look[at - gone[at]] = True
-        new = where - gone[where]
-        look[new] = True
-        look[new[new > 0] - 1] = True
-        self.at = np.flatnonzero(look)
-
-
-def occurrences(at: np.ndarray, keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.look[where] = True
+        self.look[where[where > 0] - 1] = True
+        self.seq, self.look = self.seq[keep], self.look[keep]
+        self.offs = self.offs - np.searchsorted(where, self.offs)
+
+
+class PairTable:
+    """Which of many pairs are frequent, and which of them are chosen, by a table of hashes.
+
+    Codes: 0 a rare pair; 1 maybe frequent; 2 + i maybe the i-th chosen pair.
+    """
+
+    def __init__(self, frequent: np.ndarray):
+        bits = min(PAIR_BITS, (SLOTS * len(frequent)).bit_length())
+        self.shift = np.uint32(32 - bits)
+        self.base = np.zeros(1 << bits, np.uint16)
+        self.base[self.slots(frequent)] = 1
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1)) >> self.shift
+
+    def codes(self, slots: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Code of the pair in each of the slots."""
+        table, own = self.base.copy(), self.slots(chosen)
+        table[own] = np.arange(2, 2 + len(chosen))
+        self.chosen = chosen
+        #: chosen pairs whose slot another one has
+        self.hidden = np.flatnonzero(table[own] != np.arange(2, 2 + len(chosen)))
+        return table[slots]
+
+    def found(self, keys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the keys that are chosen pairs, and of the pairs."""
+        spot = np.flatnonzero(code > 1)
+        pair, own = code[spot].astype(np.intp) - 2, keys[spot]
+        hit = self.chosen[pair] == own
+        if len(self.hidden):
+            other = np.flatnonzero(~hit)
+            by_key = self.hidden[np.argsort(self.chosen[self.hidden])]
+            near = by_key[np.minimum(np.searchsorted(self.chosen[by_key], own[other]), len(by_key) - 1)]
+            same = self.chosen[near] == own[other]
+            hit[other[same]] = True
+            pair[other[same]] = near[same]
+        return spot[hit], pair[hit]
+
+
+def occurrences(at: np.ndarray, spot: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which chosen pairs (most frequent first) are replaced, and the index of each one's pair.
 
-    ``at``, ``keys``: positions of candidates and their pairs.  Of overlapping pairs the more frequent
-    wins; a run of equal symbols pairs from its start.
+    ``at[spot]``, ``rule``: positions of the chosen pairs, ascending, and which pair is there.  Of overlapping
+    pairs the more frequent wins; a run of equal symbols pairs from its start.
     """
-    order = np.argsort(chosen)
-    table = chosen[order]
-    marked = np.zeros(1 << PAIR_BITS, bool)
-    marked[pair_slots(chosen)] = True
-    maybe = np.flatnonzero(marked[pair_slots(keys)])
-    own = keys[maybe]
-    spot = np.minimum(np.searchsorted(table, own), len(table) - 1)
-    hit = table[spot] == own
-    where, rule = at[maybe[hit]], order[spot[hit]]
-    # runs of one pair: only every second position is a candidate
-    run_start = np.r_[True, (where[1:] != where[:-1] + 1) | (rule[1:] != rule[:-1])][: len(where)]
-    start = np.maximum.accumulate(np.where(run_start, np.arange(len(where)), 0))
-    even = (np.arange(len(where)) - start) % 2 == 0
-    where, rule = where[even], rule[even]
-    touch = where[1:] == where[:-1] + 1
-    loses = np.zeros(len(where), bool)
-    loses[1:] |= touch & (rule[1:] > rule[:-1])
-    loses[:-1] |= touch & (rule[:-1] >= rule[1:])
-    return where[~loses], rule[~loses]
+    where = at[spot]
+    keep = np.ones(len(where), bool)
+    touch = np.flatnonzero(where[1:] - where[:-1] == 1)  # these overlap the next one
+    left, right = rule[touch], rule[touch + 1]
+    same = touch[left == right]
+    if len(same):
+        # runs of one pair: only every second position is a candidate
+        n = np.arange(len(same))
+        start = np.maximum.accumulate(np.where(np.r_[True, same[1:] - same[:-1] > 1], n, 0))
+        keep[same[(n - start) % 2 == 0] + 1] = False
+        both = keep[touch] & keep[touch + 1]
+        touch, left, right = touch[both], left[both], right[both]
+    keep[touch + (left < right)] = False
+    return where[keep], rule[keep]
 
 
 def compress(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,15 +214,16 @@ def compress(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             break
         rules.append(np.stack([made >> np.uint32(16), made & np.uint32(0xFFFF)], axis=1))
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return rounds.seq, rounds.offs, table, expansion_lengths(table)
+    return rounds.seq, rounds.offs, table, expansion_lengths(rules)
 
 
-def expansion_lengths(rules: np.ndarray) -> np.ndarray:
-    """Ids that each rule expands to; a rule refers to earlier ones only."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - FIRST_RULE] if a >= FIRST_RULE else 1) + (out[b - FIRST_RULE] if b >= FIRST_RULE else 1))
-    return np.array(out, np.uint32)
+def expansion_lengths(rules: list[np.ndarray]) -> np.ndarray:
+    """Ids that each rule expands to; ``rules``: those of each round, which refer to rules of earlier rounds only."""
+    size, n = np.ones(SYMBOLS, np.uint32), FIRST_RULE
+    for made in rules:
+        size[n : n + len(made)] = size[made[:, 0]] + size[made[:, 1]]
+        n += len(made)
+    return size[FIRST_RULE:n]
 
 
 def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -231,12 +265,19 @@ class Shard:
     @cached_property
     def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of every symbol in one array, and each symbol's start and length there."""
-        known = [(i,) for i in range(self.first)]
-        for a, b in self.rules.tolist():
-            known.append(known[a] + known[b])
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter(chain.from_iterable(known), "<u4", int(size.sum()))
-        return flat, np.cumsum(size) - size, size
+        ids = self.rules.ravel()
+        # a rule refers to earlier ones only, so there are as many turns as rules stand in each other
+        while len(inner := np.flatnonzero(ids >= self.first)):
+            size = np.ones(len(ids), np.int64)
+            size[inner] = 2
+            upto = np.cumsum(size)
+            pairs = self.rules[ids[inner] - self.first]
+            out = np.empty(int(upto[-1]), "<u4")
+            out[upto - 1] = ids
+            out[upto[inner] - 2], out[upto[inner] - 1] = pairs[:, 0], pairs[:, 1]
+            ids = out
+        size = np.r_[np.ones(self.first, np.int64), self.lengths.astype(np.int64)]
+        return np.r_[np.arange(self.first, dtype="<u4"), ids], np.cumsum(size) - size, size
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """Ids that ``symbols`` stand for."""
@@ -267,6 +308,7 @@ class Shard:
 def shard_maker(path: str):
     def run(batches) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        end = np.array([END_ID], np.int32)
         docs: list[int | None] = []
         ids: list[np.ndarray] = []
         size, k = 0, 0
@@ -283,7 +325,7 @@ def shard_maker(path: str):
         for b in batches:
             for doc, own in zip(b.column(0).to_pylist(), tokens.encoder(path, SEGMENTS).encode(b.column(1))):
                 docs.append(doc)
-                ids.append(np.r_[own, END_ID].astype(np.uint32))
+                ids.append(np.concatenate((own, end)))
                 size += len(ids[-1])
                 if size >= SHARD_IDS:
                     yield flush()

@@ -33,9 +33,14 @@ STRIDE = 8
 _WIDE_BLANKS = re.compile(
     rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 )
+#: First bytes of these, looked for before the expression.
+_WIDE_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: Beyond Latin letters, or with odd blanks, a segment goes to the library whole.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
 
+#: Greatest first byte of Latin letters that are not odd, and one.
+_LATIN_END = 0xC9
+
 _SOLID = ~W.BLANK.copy()
 _SOLID[0x1C:0x20] = False
 
@@ -48,9 +53,14 @@ _CLASS[0xC3:0xC6] = 4
 _APOSTROPHE = 0x27
 
 
-def class_cuts(data: np.ndarray) -> np.ndarray:
-    """Mask of the bytes at which a letter, digit or sign follows one of another class."""
-    kind = _CLASS[data]
+def mapped(text: bytes, table: np.ndarray) -> np.ndarray:
+    """``table`` (256 bytes) of every byte."""
+    return np.frombuffer(bytearray(text).translate(table.tobytes()), table.dtype)
+
+
+def class_cuts(data: np.ndarray, text: bytes) -> np.ndarray:
+    """Mask of the bytes at which a letter, digit or sign follows one of another class; ``text``: the same bytes."""
+    kind = mapped(text, _CLASS)
     lead = np.flatnonzero(kind[:-1] == 4)
     second = data[lead + 1]
     # all but the signs of times and division, and the dotted I, whose lower case has a combining dot
@@ -63,6 +73,23 @@ def class_cuts(data: np.ndarray) -> np.ndarray:
     return cut
 
 
+def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, and the place of each hash among them."""
+    ordered = np.sort(hashes)
+    distinct = ordered[np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)]]
+    # hashes are even: their leading bits tell about where they are
+    bits = (4 * len(distinct)).bit_length()
+    shift = np.uint64(64 - bits)
+    first = np.zeros(1 << bits, np.int32)
+    first[(distinct[::-1] >> shift).astype(np.intp)] = np.arange(len(distinct) - 1, -1, -1)
+    place = first[(hashes >> shift).astype(np.intp)]
+    late = np.flatnonzero(distinct[place] != hashes)
+    while len(late):
+        place[late] += 1
+        late = late[distinct[place[late]] != hashes[late]]
+    return distinct, place
+
+
 def byte_table() -> dict[int, str]:
     """Byte to the printable character that stands for it in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -121,11 +148,14 @@ class Encoder:
         if not self.by_word and raw[0] == 0x20 and raw[1:].isalpha():
             return [t.id for t in self.model.tokenize(self.blank + raw[1:].decode("ascii"))]
         text = raw.decode("utf-8")
+        if not self.by_word and max(raw) < _LATIN_END and text.removeprefix(" ").isalpha():
+            return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.table))]
         if _ODD.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         if self.by_word:
             text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
-        parts = [text] if simple(text) else self.split(text)
+        # a word of letters, with or without a blank before it, is one match of the pattern
+        parts = [text] if text.removeprefix(" ").isalpha() else self.split(text)
         out: list[int] = []
         for part in parts:
             shown = part.encode("utf-8").decode("latin-1").translate(self.table)
@@ -136,7 +166,8 @@ class Encoder:
         """Start and end byte of every segment, and the rows' segment offsets."""
         if not len(data):
             return W.bounds(data, offsets)
-        own = class_cuts(data)
+        text = data.tobytes()
+        own = class_cuts(data, text)
         if self.by_word:
             starts, ends, _ = W.bounds(data, offsets)
             own[starts] = True
@@ -144,8 +175,8 @@ class Encoder:
             # a piece ends at the next cut or where its word ends
             word = np.searchsorted(ends, starts, "right")
             return starts, np.minimum(np.r_[starts[1:], len(data)], ends[word]), np.searchsorted(starts, offsets)
-        solid = _SOLID[data]
-        if _WIDE_BLANKS.search(data):
+        solid = mapped(text, _SOLID)
+        if any(lead[:1] in text and lead in text for lead in _WIDE_LEADS) and _WIDE_BLANKS.search(text):
             solid &= data < 0x80
         cut = (data == 0x20) | (data == 0x0A)
         cut[0] = cut[-1] = False
@@ -155,6 +186,8 @@ class Encoder:
         inner = offsets[1:-1]
         cut[inner[inner < len(data)]] = False
         cut[inner[inner > 0] - 1] = False
+        # a single line break is a match of its own
+        cut[np.flatnonzero(cut & (data == 0x0A)) + 1] = True
         cut |= own
         cut[filled] = True
         starts = np.flatnonzero(cut)
@@ -176,6 +209,13 @@ class Encoder:
         self.known = np.insert(self.known, pos, hashes)
         self.slot = np.insert(self.slot, pos, slots)
 
+    def slots_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots of sorted hashes, -1 where a segment is not known."""
+        if not len(self.known):
+            return np.full(len(hashes), -1, np.int64)
+        near = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[near] == hashes, self.slot[near], -1)
+
     def encode(self, column: pa.Array):
         """Yields the int32 ids of every row, in order.
 
@@ -194,14 +234,17 @@ class Encoder:
         for _, _, raw, offs in stride:
             starts, ends, at = self.segments(raw, offs)
             h = W.span_hashes(W.prefix(raw), starts, ends)
-            distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-            parts.append((distinct, back.astype(np.int32), at))
-            new = distinct if not len(self.known) else distinct[
-                self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct
-            ]
-            where = first[np.searchsorted(distinct, new)]
+            distinct, back = places(h)
+            slot = self.slots_of(distinct)
+            new = np.flatnonzero(slot < 0)
+            parts.append((slot, new, distinct[new], back, at))
+            if not len(new):
+                continue
+            where = np.empty(len(distinct), np.int64)
+            where[back] = np.arange(len(back))
+            where = where[new]
             text = raw.tobytes()
-            for x, a, b in zip(new.tolist(), starts[where].tolist(), ends[where].tolist()):
+            for x, a, b in zip(distinct[new].tolist(), starts[where].tolist(), ends[where].tolist()):
                 if x not in fresh:
                     fresh[x] = text[a:b]
         if fresh:
@@ -210,8 +253,9 @@ class Encoder:
             raws = list(fresh.values())
             fresh.clear()
             self.learn(hashes[order], [raws[i] for i in order.tolist()])
-        for distinct, back, at in parts:
-            place = self.slot[np.searchsorted(self.known, distinct)][back]
+        for slot, new, hashes, back, at in parts:
+            slot[new] = self.slots_of(hashes)
+            place = slot[back]
             n = self.count[place]
             upto = np.r_[0, np.cumsum(n)]
             flat = self.flat[np.arange(upto[-1]) + np.repeat(self.first[place] - upto[:-1], n)]

@@ -164,3 +164,63 @@ def test_encoder_remembers_up_to_its_cache(monkeypatch):
     assert learned == {1: 2, 100_000: 1} and ids[1] == ids[100_000]
     # shards remember more than others, whose encoders keep their own bound
     assert repair.SEGMENTS > tokens.CACHE == tokens.encoder(tokens.vocabulary(repair.VOCABULARY)).cache
+
+
+def test_encoder_searches_no_more_than_it_must(monkeypatch):
+    coder = tokens.Encoder(tokens.vocabulary(repair.VOCABULARY))
+    learned = []
+    learn = coder.learn
+    monkeypatch.setattr(coder, "learn", lambda h, raws: (learned.extend(raws), learn(h, raws)))
+    splits = []
+    monkeypatch.setattr(coder, "split", lambda text, f=coder.split: (splits.append(text), f(text))[1])
+
+    class Never:
+        def search(self, text):
+            raise AssertionError("plain text holds no wide blank")
+
+    texts = ["Été Ôter thé", "mot\nÉté\nÔter", None, "x\nÉté", "\nÉté", "fin\n"]
+    want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    with monkeypatch.context() as m:
+        m.setattr(tokens, "_WIDE_BLANKS", Never())
+        assert [x.tolist() for x in coder.encode(pa.array(texts))] == want
+    # the first word of a line is a segment without its line break; words of Latin letters are not split by the pattern
+    assert not [raw for raw in learned if raw[:1] == b"\n" and len(raw) > 1 and raw != b"\n" + "Été".encode()]
+    assert all("\n" in text for text in splits)
+    wide = ["a b  c", "don’t  x", "　 y"]
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in wide]
+    assert [x.tolist() for x in coder.encode(pa.array(wide))] == want
+
+
+def test_places_of_hashes_with_equal_leading_bits():
+    rng = np.random.default_rng(4)
+    near = np.uint64(5 << 60) + rng.integers(0, 50, 400).astype(np.uint64)
+    for hashes in (near, rng.integers(0, 1 << 64, 300, np.uint64), near[:1], near[:0], np.array([2**64 - 1, 0, 2**64 - 1], np.uint64)):
+        distinct, place = tokens.places(hashes)
+        assert distinct.tolist() == sorted(set(hashes.tolist()))
+        assert (distinct[place] == hashes).all()
+
+
+def test_rounds_whatever_shares_a_slot(monkeypatch):
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 6, rng.integers(0, 90)).astype(np.uint32) for _ in range(40)] + [np.full(31, 3, np.uint32)]
+    made = set()
+    for bits in (1, 4, 22):  # with 2 slots, most of the chosen pairs are hidden by others
+        monkeypatch.setattr(repair, "PAIR_BITS", bits)
+        table = repair.PairTable(np.arange(100, 140, dtype=np.uint32))
+        keys, chosen = np.arange(90, 150, dtype=np.uint32), np.array([130, 101, 117, 139], np.uint32)
+        code = table.codes(table.slots(keys), chosen)
+        spot, pair = table.found(keys, code)
+        assert keys[spot].tolist() == [101, 117, 130, 139] and chosen[pair].tolist() == [101, 117, 130, 139]
+        assert (code[10:50] > 0).all()
+        made.add(repair.pack_shard(list(range(len(docs))), docs))
+    assert len(made) == 1
+    shard = repair.Shard(made.pop())
+    assert len(shard.rules) and all((shard.document(k) == d).all() for k, d in enumerate(docs))
+
+
+def test_overlapping_pairs():
+    # the pairs of a a a a b c: (a, a) at 0, 1, 2, (a, b) at 3, (b, c) at 4; what loses to a loser loses, too
+    at = np.arange(5)
+    for rule, where in (([0, 0, 0, 1, 2], [0, 2]), ([1, 1, 1, 0, 2], [0, 3]), ([0, 0, 0, 0, 0], [0, 2, 4])):
+        got, own = repair.occurrences(at, at, np.array(rule))
+        assert got.tolist() == where and own.tolist() == [rule[k] for k in where]
